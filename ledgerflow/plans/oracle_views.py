@@ -71,8 +71,10 @@ outbox_published AS (
 
 
 def with_views(body: str) -> str:
-    """Prefix a query body (which may start with more CTEs, comma-led) with the views."""
+    """Prefix a query body with the views. A body may start with ``RECURSIVE``
+    (it then owns a recursive CTE) and with more CTEs led by a comma."""
     body = body.strip()
-    if body.startswith(","):
-        return "WITH " + VIEWS.strip() + "\n" + body
-    return "WITH " + VIEWS.strip() + "\n" + body
+    head = "WITH "
+    if body.startswith("RECURSIVE"):
+        head, body = "WITH RECURSIVE ", body[len("RECURSIVE"):].strip()
+    return head + VIEWS.strip() + "\n" + body
