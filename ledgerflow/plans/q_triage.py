@@ -15,7 +15,8 @@ DAY = S.DAY_RULES
 MINUTE = S.DEFAULT_RULES
 
 
-def features_sql(window_s: int, hist: int = 50, retention: int = 10) -> str:
+def features_sql(window_s: int, source: str = "payments", tiebreak: str = "event_id",
+                 hist: int = 50, retention: int = 10) -> str:
     """Oracle CTEs ``seq``/``feat``/``snap``: a bounded self-join on row numbers.
 
     Independent of the Spark formulation (which collects a frame array): each
@@ -27,7 +28,7 @@ def features_sql(window_s: int, hist: int = 50, retention: int = 10) -> str:
 seq AS (
   SELECT *, row_number() OVER w AS rn, lag(created_at) OVER w AS prev_t,
          lag(country) OVER w AS previous_country
-  FROM payments WINDOW w AS (PARTITION BY customer_id ORDER BY created_at, event_id)),
+  FROM {source} WINDOW w AS (PARTITION BY customer_id ORDER BY created_at, {tiebreak})),
 pairs AS (
   SELECT a.payment_id, a.rn, a.created_at, a.prev_t, b.rn AS brn, b.created_at AS bt,
          CAST(b.amount * 10000 AS BIGINT) AS bunits, b.country AS bc
@@ -47,10 +48,10 @@ snap AS (
   FROM seq s JOIN feat f USING (payment_id))"""
 
 
-def rules_sql(window_s: int) -> str:
+def rules_sql(window_s: int, source: str = "payments", tiebreak: str = "event_id") -> str:
     """Oracle CTE ``rules`` over ``snap``."""
     amt = "CAST(CAST(amount AS DECIMAL(38,2)) AS VARCHAR)"
-    return features_sql(window_s) + f""",
+    return features_sql(window_s, source, tiebreak) + f""",
 rules AS (
   SELECT *,
     CASE WHEN velocity_count >= 6 THEN 2 WHEN velocity_count >= 4 THEN 1 ELSE 0 END AS velocity_severity,

@@ -186,3 +186,8 @@ REQUEST_BODY = T.StructType([
     T.StructField("country", T.StringType()),
     T.StructField("merchant", T.StringType()),
 ])
+
+
+def with_corrupt_column(schema: T.StructType, name: str = "_corrupt_record") -> T.StructType:
+    """A copy of ``schema`` plus a string column for unparseable records."""
+    return T.StructType(list(schema.fields) + [T.StructField(name, T.StringType())])

@@ -20,7 +20,7 @@ def intake_bodies(requests: DataFrame) -> DataFrame:
 def parse_intake(landing: DataFrame) -> DataFrame:
     """Decode ``body`` with the declared request schema. Unparseable bodies keep
     their text in ``_corrupt_record`` and null fields (they fail validation)."""
-    schema = S.REQUEST_BODY.add("_corrupt_record", "string")
+    schema = S.with_corrupt_column(S.REQUEST_BODY)
     parsed = F.from_json("body", schema, {"columnNameOfCorruptRecord": "_corrupt_record",
                                           "mode": "PERMISSIVE"})
     return landing.withColumn("_b", parsed).select(
