@@ -26,7 +26,8 @@ Skew: a window partition is one task. Customers with more than
 the broadcast key list) are cut into time buckets; each bucket gets a halo of
 the ``H`` rows that precede it, taken from the tails of earlier buckets, so the
 frame sees exactly the rows it would see unsplit. Halo rows are dropped after
-the window.
+the window. A first, cheap job (partial count per customer) decides whether
+any customer is hot; without one the plan is the plain single-shuffle window.
 """
 
 from __future__ import annotations
@@ -137,7 +138,9 @@ def activity_snapshot(df: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
     ``(created_at, tiebreak)``.
     """
     prepared = _prepare(df, tiebreak)
-    if cfg.split_hot:
+    # The hot-key list is a bounded aggregate (at most ``max_hot_customers`` rows);
+    # the halo path is planned only when it is not empty.
+    if cfg.split_hot and _hot_customers(prepared, cfg).take(1):
         staged = _with_halo(prepared, tiebreak, cfg)
         out = _windowed(staged, ["customer_id", "_b"], tiebreak, cfg)
         out = out.filter(~F.col("_halo")).drop("_b", "_halo")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -40,7 +40,9 @@ def decode_events(deliveries: DataFrame) -> DataFrame:
     schema = S.with_corrupt_column(S.REQUESTED_EVENT)
     ev = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record",
                                        "mode": "PERMISSIVE"})
-    out = deliveries.withColumn("_e", ev)
+    # ``inline`` of a one-element array is a Generate: filters on the parsed
+    # fields cannot be pushed below it, so the JSON is parsed once per row.
+    out = deliveries.select("*", F.inline(F.array(F.struct(ev.alias("_e")))))
     error = (F.when(F.col("_e").isNull() | F.col("_e._corrupt_record").isNotNull()
                     | F.col("_e.eventId").isNull() | F.col("_e.paymentId").isNull(),
                     F.concat(F.lit(REASON_UNPARSEABLE), F.coalesce(F.col("value"), F.lit("null"))))
@@ -58,15 +60,14 @@ def decode_events(deliveries: DataFrame) -> DataFrame:
 def first_delivery(decoded: DataFrame) -> DataFrame:
     """In-batch dedup: one row per ``event_id``, the earliest delivery.
 
-    A min-by aggregate (partial per task), so a hot event id cannot pile up in
-    one task. ``deliveries`` counts how many copies arrived.
+    ``row_number() == 1`` over ``(event_id ORDER BY delivered_at, offset)`` is
+    planned as a WindowGroupLimit with a partial limit before the shuffle, so
+    each map task ships at most one copy per event id (a hot event id never
+    piles up in one task).
     """
     ok = decoded.filter(F.col("decode_error").isNull())
-    fields = [c for c in ok.columns if c not in ("event_id",)]
-    first = F.min(F.struct("delivered_at", "offset", *[c for c in fields
-                                                        if c not in ("delivered_at", "offset")]))
-    return (ok.groupBy("event_id").agg(first.alias("_f"), F.count(F.lit(1)).alias("copies"))
-            .select("event_id", "_f.*", "copies"))
+    w = Window.partitionBy("event_id").orderBy("delivered_at", "offset")
+    return ok.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
 
 
 def rules_decider(cfg: S.RuleConfig = S.DEFAULT_RULES) -> Decider:
