@@ -16,8 +16,8 @@ chain per key: ``s0`` = first request, ``s(k+1)`` = first request at or after
    bucket minima (bounded by the number of buckets, not rows);
 2. the chain from ``s0`` is marked by pointer doubling: jump tables
    ``J(j+1) = J(j) o J(j)`` by self-joins, then a descent from ``s0``. That is
-   ``2 * ceil(log2(chain length))`` joins; each jump table is checkpointed to
-   the shared checkpoint folder so the lineage stays flat.
+   ``2 * ceil(log2(chain length))`` joins; each jump table is written to the
+   shared checkpoint folder and read back so the lineage stays flat.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import deterministic_uuid, full_match, not_blank, to_json_keep_nulls
-from ..session import checkpoint_dir
+from ..session import materialize
 
 _MICROS = 1_000_000
 
@@ -183,21 +183,26 @@ def _next_pointer(req: DataFrame, ttl_us: int, bucket_us: int) -> DataFrame:
 
 
 def _chain_members(req: DataFrame, nxt: DataFrame, max_len: int) -> DataFrame:
-    """Request ids on the chain from each key's first request (pointer doubling)."""
-    spark = req.sparkSession
-    checkpoint_dir(spark)
+    """Request ids on the chain from each key's first request (pointer doubling).
+
+    Jump table ``J(k)`` maps a request to the one ``2^k`` chain steps later;
+    ``J(k+1) = J(k) o J(k)`` references ``J(k)`` twice, so each table is
+    written to the shared checkpoint folder and read back (lineage cut). The
+    descent from the first request keeps one reference per level (a left join
+    then ``explode([self, jump])``), so its plan stays linear in the levels.
+    """
     levels = max(1, math.ceil(math.log2(max_len + 1)))
-    jumps = [nxt.select("rid", F.col("nxt").alias("j")).checkpoint()]
+    jumps = [materialize(nxt.select("rid", F.col("nxt").alias("j")), "jump0")]
     for _ in range(1, levels):
         cur = jumps[-1]
         nxt_j = (cur.alias("a").join(cur.alias("b"), F.col("a.j") == F.col("b.rid"), "left")
                  .select(F.col("a.rid").alias("rid"), F.col("b.j").alias("j")))
-        jumps.append(nxt_j.checkpoint())
-    first = req.groupBy("k").agg(F.min(F.struct("t", "rid"))["rid"].alias("rid"))
-    marked = first.select("rid")
+        jumps.append(materialize(nxt_j, f"jump{len(jumps)}"))
+    marked = req.groupBy("k").agg(F.min(F.struct("t", "rid"))["rid"].alias("rid"))
     for table in reversed(jumps):
-        step = (marked.join(table, "rid").filter(F.col("j").isNotNull()).select(F.col("j").alias("rid")))
-        marked = marked.unionByName(step).checkpoint()
+        marked = (marked.select("rid").join(table, "rid", "left")
+                  .select(F.explode(F.array("rid", "j")).alias("rid"))
+                  .filter(F.col("rid").isNotNull()))
     return marked
 
 
@@ -211,8 +216,9 @@ def accept_classes(valid: DataFrame, ttl_seconds: int = S.IDEMPOTENCY_TTL_SECOND
     req = (valid.filter(F.col(key).isNotNull())
            .select(F.col(key).alias("k"), F.unix_micros("received_at").alias("t"),
                    F.col("request_id").alias("rid")))
-    span = req.groupBy("k").agg((F.max("t") - F.min("t")).alias("span")).agg(F.max("span")).first()[0]
-    max_len = int((span or 0) // ttl_us) + 1
+    # Chain length is bounded by the overall time span (a global min/max, no shuffle).
+    lo, hi = req.agg(F.min("t"), F.max("t")).first()
+    max_len = int(((hi or 0) - (lo or 0)) // ttl_us) + 1
     chain = _chain_members(req, _next_pointer(req, ttl_us, bucket_us), max_len)
     first = first_writer_wins(valid, key).select(key, F.col("request_id").alias("_first_rid"))
     out = (valid.filter(F.col(key).isNotNull())
