@@ -134,13 +134,22 @@ def process(deliveries: DataFrame, payments: DataFrame, claimed: DataFrame,
         "outcome_event_id": deterministic_uuid(F.col("event_id"), F.lit("outcome")),
     })
     claims = decided.select("event_id", F.col("delivered_at").alias("processed_at"))   # K4
-    ok = decoded.filter(F.col("decode_error").isNull())
-    # Every copy of a failing event fails on its own (its claim rolls back).
-    orphan_copies = ok.join(orphans.select("event_id"), "event_id", "left_semi")
-    undecided_copies = ok.join(undecided.select("event_id"), "event_id", "left_semi")
-    duplicates = (ok.join(decided.select("event_id", "offset"), ["event_id", "offset"], "left_anti")
-                  .join(orphans.select("event_id"), "event_id", "left_anti")
-                  .join(undecided.select("event_id"), "event_id", "left_anti"))
+    # One join gives every delivery the fate of its event: the first copy of a
+    # decided event is processed, every copy of an orphan or undecided event
+    # fails on its own (its claim rolls back), everything else is a duplicate.
+    def fate_of(df: DataFrame, fate: str) -> DataFrame:
+        return df.select("event_id", F.col("offset").alias("_first"), F.lit(fate).alias("_fate"))
+
+    judged = decided_all.select("event_id", F.col("offset").alias("_first"), F.when(
+        _severity_ok(F.col("decision")), F.lit("processed")).otherwise(F.lit("undecided")).alias("_fate"))
+    fates = judged.unionByName(fate_of(orphans, "orphan"))        # one reference to the decider
+    copies = decoded.join(fates, "event_id", "left").withColumn(
+        "fate",
+        F.when(F.col("decode_error").isNotNull(), F.lit("decode_error"))
+        .when((F.col("_fate") == "processed") & (F.col("offset") == F.col("_first")), F.lit("processed"))
+        .when(F.col("_fate").isin("orphan", "undecided"), F.col("_fate"))
+        .otherwise(F.lit("duplicate")))
+    duplicates = copies.filter(F.col("fate") == "duplicate").drop("_first", "_fate", "fate")
     update = decided.select(
         "payment_id",
         F.col("status").alias("_status"),
@@ -160,17 +169,12 @@ def process(deliveries: DataFrame, payments: DataFrame, claimed: DataFrame,
         F.col("outcome_event_id").alias("event_id"), "event_type", "topic",
         F.col("payment_id").alias("message_key"), to_json_keep_nulls(outcome).alias("payload"),
         F.col("delivered_at").alias("created_at"))
-    failed = (decoded.filter(F.col("decode_error").isNotNull())
-              .select("topic", "offset", "partition", "delivered_at", F.col("decode_error").alias("reason"),
-                      F.col("value").alias("payload"))
-              .unionByName(orphan_copies.select("topic", "offset", "partition", "delivered_at",
-                                          F.concat(F.lit(S.PAYMENT_NOT_FOUND), F.col("payment_id")).alias("reason"),
-                                          F.col("value").alias("payload")))
-              .unionByName(undecided_copies.select("topic", "offset", "partition", "delivered_at",
-                                            F.concat(F.lit(REASON_NO_DECISION), F.col("payment_id")).alias("reason"),
-                                            F.col("value").alias("payload"))))
-    dead = failed.select("topic", "offset", F.lit(S.RETRY_ATTEMPTS).alias("attempt"), "reason", "payload",
-                         "partition", "delivered_at")
+    reason = (F.when(F.col("fate") == "decode_error", F.col("decode_error"))
+              .when(F.col("fate") == "orphan", F.concat(F.lit(S.PAYMENT_NOT_FOUND), F.col("payment_id")))
+              .otherwise(F.concat(F.lit(REASON_NO_DECISION), F.col("payment_id"))))
+    dead = copies.filter(F.col("fate").isin("decode_error", "orphan", "undecided")).select(  # K8
+        "topic", "offset", F.lit(S.RETRY_ATTEMPTS).alias("attempt"), reason.alias("reason"),
+        F.col("value").alias("payload"), "partition", "delivered_at")
     return Processed(decoded, fresh, duplicates, orphans, decided, undecided, claims, payments_after,
                      outcome_outbox, dead)
 
