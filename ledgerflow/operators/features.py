@@ -95,22 +95,30 @@ def _windowed(df: DataFrame, part: list[str], tiebreak: str, cfg: RuleConfig) ->
 
 
 def _hot_customers(df: DataFrame, cfg: RuleConfig) -> DataFrame:
-    """Customers too big for one task; bounded to ``max_hot_customers`` rows."""
-    counts = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
+    """Customers too big for one task, with their bucket origin and width.
+
+    One partial aggregate per customer; at most ``max_hot_customers`` rows
+    survive, which bounds the broadcast. Bucket width is the customer's time
+    span divided into ``ceil(rows / hot_bucket_rows)`` parts.
+    """
+    counts = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"),
+                                           F.max("_t").alias("_hi"))
+    parts = F.ceil(F.col("_n") / cfg.hot_bucket_rows)
+    width = F.greatest(F.lit(cfg.hot_bucket_seconds * _MICROS),
+                       ((F.col("_hi") - F.col("_lo")) / parts).cast("bigint") + 1)
     return (counts.filter(F.col("_n") > cfg.hot_customer_rows)
             .orderBy(F.desc("_n"), "customer_id").limit(cfg.max_hot_customers)
-            .select("customer_id", F.lit(True).alias("_hot")))
+            .select("customer_id", F.lit(True).alias("_hot"), "_lo", width.alias("_w")))
 
 
 def _with_halo(df: DataFrame, tiebreak: str, cfg: RuleConfig) -> DataFrame:
     """Tag hot customers' rows with a time bucket and add the halo rows."""
-    bucket_us = cfg.hot_bucket_seconds * _MICROS
     hot = F.broadcast(_hot_customers(df, cfg))   # size bounded by max_hot_customers
     tagged = (df.join(hot, "customer_id", "left")
-              .withColumn("_b", F.when(F.col("_hot"), F.floor(F.col("_t") / bucket_us))
+              .withColumn("_b", F.when(F.col("_hot"), F.floor((F.col("_t") - F.col("_lo")) / F.col("_w")))
                           .otherwise(F.lit(-1)).cast("bigint"))
               .withColumn("_halo", F.lit(False))
-              .drop("_hot"))
+              .drop("_hot", "_lo", "_w"))
     hmax = cfg.max_history
     hot_rows = tagged.filter(F.col("_b") >= 0).select("customer_id", "_b", "_t", tiebreak, "_a", "country")
     # Last H rows of every (customer, bucket): a per-group limit, computed before the shuffle.

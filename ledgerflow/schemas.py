@@ -77,7 +77,10 @@ class RuleConfig:
     # split, which bounds the broadcast list of hot keys.
     hot_customer_rows: int = 2_000_000
     max_hot_customers: int = 100_000
-    hot_bucket_seconds: int = 3600
+    # Each hot customer's time span is cut into buckets of about this many rows
+    # (width = span * bucket_rows / rows, at least ``hot_bucket_seconds``).
+    hot_bucket_rows: int = 500_000
+    hot_bucket_seconds: int = 1
     split_hot: bool = True
 
 

@@ -68,6 +68,18 @@ def test_window_plan_matches_deque(spark):
 
 
 def test_hot_split_matches_deque(spark):
-    # every customer with more than 20 rows is split into 10-minute buckets
-    check(spark, replace(CFG, hot_customer_rows=20, hot_bucket_seconds=600), 3)
-    check(spark, replace(CFG, hot_customer_rows=5, hot_bucket_seconds=60), 4)
+    # customers with more than 20 (5) rows are split into buckets of about 8 (3) rows
+    check(spark, replace(CFG, hot_customer_rows=20, hot_bucket_rows=8), 3)
+    check(spark, replace(CFG, hot_customer_rows=5, hot_bucket_rows=3), 4)
+    check(spark, replace(CFG, hot_customer_rows=5, hot_bucket_rows=1000, hot_bucket_seconds=600), 5)
+
+
+def test_hot_split_on_dataset_equals_plain_plan(spark, ds):
+    cols = ["payment_id", "velocity_count", "geo_distinct", "previous_country", "avg_prior_amount",
+            "history_retained"]
+    day = RuleConfig(window_seconds=86400)
+    plain = activity_snapshot(ds.payments, replace(day, split_hot=False)).select(*cols)
+    split = activity_snapshot(ds.payments, replace(day, hot_customer_rows=3, hot_bucket_rows=2)).select(*cols)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "BroadcastExchange" in plan
+    assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
