@@ -38,3 +38,14 @@ def stamps(rows: DataFrame, batch_id: int, published_at: Column | None = None,
     at = published_at if published_at is not None else F.current_timestamp()
     return rows.select("event_id", *keep, F.lit(batch_id).cast("bigint").alias("batch_id"),
                        at.alias("published_at"))
+
+
+def write_records(records: DataFrame, target: str, fmt: str = "parquet", **options: str) -> None:
+    """K6 sink: ``fmt="kafka"`` writes ``(topic, key, value)`` to the broker named in
+    ``options`` (needs the Kafka connector jar); otherwise records are appended under
+    ``target`` partitioned by topic."""
+    if fmt == "kafka":
+        (records.select("topic", "key", "value").write.format("kafka")
+         .option("kafka.bootstrap.servers", target).options(**options).save())
+    else:
+        records.write.mode("append").partitionBy("topic").format(fmt).options(**options).save(target)
