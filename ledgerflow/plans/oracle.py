@@ -32,15 +32,32 @@ def norm(v):
     return str(v)
 
 
+def sql_type(dt) -> str:
+    """The DuckDB type name a Spark output type must meet."""
+    from pyspark.sql import types as T
+
+    names = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE",
+             T.StringType: "VARCHAR", T.BooleanType: "BOOLEAN", T.TimestampType: "TIMESTAMP",
+             T.TimestampNTZType: "TIMESTAMP"}
+    if isinstance(dt, T.DecimalType):
+        return f"DECIMAL({dt.precision},{dt.scale})"
+    return names.get(type(dt), dt.simpleString())
+
+
 def compare(spark_df, con, sql: str) -> tuple[bool, str]:
-    """(equal, message) for a Spark DataFrame against the oracle SQL, order-insensitive."""
+    """(equal, message) for a Spark DataFrame against the oracle SQL: same column
+    names and types, same rows in any order."""
     rows = spark_df.collect()
     cols = spark_df.columns
-    cur = con.execute(sql)
-    ocols = [d[0] for d in cur.description]
-    orows = cur.fetchall()
+    rel = con.sql(sql)
+    ocols, otypes = rel.columns, [str(t) for t in rel.types]
+    orows = rel.fetchall()
     if sorted(cols) != sorted(ocols):
         return False, f"columns {sorted(cols)} != {sorted(ocols)}"
+    stypes = {f.name: sql_type(f.dataType) for f in spark_df.schema.fields}
+    wrong = {c: (stypes[c], t) for c, t in zip(ocols, otypes) if stypes[c] != t}
+    if wrong:
+        return False, f"types differ (spark, oracle): {wrong}"
     key = sorted(cols)
     a = sorted(tuple(norm(r[c]) for c in key) for r in rows)
     idx = {c: i for i, c in enumerate(ocols)}

@@ -61,7 +61,7 @@ def audit_counts(ds):
 
 
 @query("audit_outcomes", DECIDED_SQL + _PAYAFTER_SQL + """
-SELECT customer_id, sum(n) AS outcome_events FROM outs GROUP BY customer_id""")
+SELECT customer_id, CAST(sum(n) AS BIGINT) AS outcome_events FROM outs GROUP BY customer_id""")
 def audit_outcomes(ds):
     """Outcome events joined to their payments, per run."""
     pay, out = _processed(ds)
@@ -80,7 +80,7 @@ def audit_duplicates(ds):
 c AS (SELECT customer_id, count(*) AS created,
              count(*) FILTER (WHERE status IN ('PROCESSED', 'BLOCKED')) AS terminal
       FROM after GROUP BY customer_id),
-o AS (SELECT customer_id, sum(n) AS outcome_events, count(*) FILTER (WHERE n > 1) AS duplicated_payments
+o AS (SELECT customer_id, CAST(sum(n) AS BIGINT) AS outcome_events, count(*) FILTER (WHERE n > 1) AS duplicated_payments
       FROM outs GROUP BY customer_id)
 SELECT c.customer_id, c.created, c.terminal, coalesce(o.outcome_events, 0) AS outcome_events,
        coalesce(o.duplicated_payments, 0) AS duplicated_payments,
@@ -167,7 +167,7 @@ b AS (SELECT make_timestamp((epoch_us(ts) // 300000000) * 300000000) AS window_s
              {_bucket_sql('latency_ms')} AS le FROM http_log),
 g AS (SELECT window_start, le, count(*) AS c FROM b GROUP BY 1, 2),
 cum AS (SELECT *, sum(c) OVER (PARTITION BY window_start ORDER BY le) AS cum,
-               sum(c) OVER (PARTITION BY window_start) AS total FROM g),
+               CAST(sum(c) OVER (PARTITION BY window_start) AS BIGINT) AS total FROM g),
 {_hq_sql(0.5, '50').strip()},
 {_hq_sql(0.99, '99').strip()}
 SELECT h50.window_start, h50.total,
@@ -244,7 +244,7 @@ spans AS (
 pts AS (SELECT partition, unnest(range(lo, hi + 1, 60000000)) AS b FROM spans WHERE lo <= hi),
 lag AS (SELECT partition, b, count(*) AS lag FROM pts GROUP BY 1, 2),
 parts AS (SELECT DISTINCT partition FROM deliveries)
-SELECT p.partition, coalesce(max(l.lag), 0) AS max_lag
+SELECT CAST(p.partition AS INTEGER) AS partition, coalesce(max(l.lag), 0) AS max_lag
 FROM parts p LEFT JOIN lag l USING (partition) GROUP BY p.partition""")
 def consumer_lag(ds):
     """Records delivered but not finished (in the retry ladder) per partition, max over minutes."""

@@ -86,7 +86,7 @@ SELECT p.payment_id,
        CASE WHEN d.decision IS NULL THEN p.status ELSE d.status END AS status,
        d.decision AS fraud_decision,
        TRY_CAST(d.risk_score AS DECIMAL(4,3)) AS risk_score,
-       CASE WHEN d.decision IS NULL THEN NULL ELSE to_json(d.reasons) END AS fraud_reasons
+       CASE WHEN d.decision IS NULL THEN NULL ELSE CAST(to_json(d.reasons) AS VARCHAR) END AS fraud_reasons
 FROM stored_payments p LEFT JOIN decided d USING (payment_id)""")
 def payments_after(ds):
     """K5 + R13: payments with terminal status and the triage result."""
