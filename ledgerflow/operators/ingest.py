@@ -216,10 +216,18 @@ def accept_classes(valid: DataFrame, ttl_seconds: int = S.IDEMPOTENCY_TTL_SECOND
     req = (valid.filter(F.col(key).isNotNull())
            .select(F.col(key).alias("k"), F.unix_micros("received_at").alias("t"),
                    F.col("request_id").alias("rid")))
-    # Chain length is bounded by the overall time span (a global min/max, no shuffle).
-    lo, hi = req.agg(F.min("t"), F.max("t")).first()
-    max_len = int(((hi or 0) - (lo or 0)) // ttl_us) + 1
-    chain = _chain_members(req, _next_pointer(req, ttl_us, bucket_us), max_len)
+    # Only keys whose requests span at least one TTL can re-cache; the chain is
+    # computed for those alone (a partial aggregate picks them).
+    spans = req.groupBy("k").agg((F.max("t") - F.min("t")).alias("_span"))
+    long_req = materialize(req.join(spans.filter(F.col("_span") >= ttl_us).select("k"), "k", "left_semi"),
+                           "long_keys")
+    # Chain length is bounded by the longest span (one scalar).
+    lo, hi = long_req.agg(F.min("t"), F.max("t")).first()
+    longest = (hi - lo) if lo is not None else 0
+    if longest >= ttl_us:
+        chain = _chain_members(long_req, _next_pointer(long_req, ttl_us, bucket_us), int(longest // ttl_us) + 1)
+    else:
+        chain = req.limit(0).select("rid")
     first = first_writer_wins(valid, key).select(key, F.col("request_id").alias("_first_rid"))
     out = (valid.filter(F.col(key).isNotNull())
            .join(chain.select(F.col("rid").alias("request_id"), F.lit(True).alias("_on_chain")),
