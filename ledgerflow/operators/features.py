@@ -111,16 +111,16 @@ def _hot_customers(df: DataFrame, cfg: RuleConfig) -> DataFrame:
             .select("customer_id", F.lit(True).alias("_hot"), "_lo", width.alias("_w")))
 
 
-def _with_halo(df: DataFrame, tiebreak: str, cfg: RuleConfig) -> DataFrame:
+def _with_halo(df: DataFrame, tiebreak: str, cfg: RuleConfig, hot: DataFrame) -> DataFrame:
     """Tag hot customers' rows with a time bucket and add the halo rows."""
-    hot = F.broadcast(_hot_customers(df, cfg))   # size bounded by max_hot_customers
-    tagged = (df.join(hot, "customer_id", "left")
+    tagged = (df.join(F.broadcast(hot), "customer_id", "left")          # at most max_hot_customers rows
+              .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
               .withColumn("_b", F.when(F.col("_hot"), F.floor((F.col("_t") - F.col("_lo")) / F.col("_w")))
-                          .otherwise(F.lit(-1)).cast("bigint"))
+                          .otherwise(F.lit(0)).cast("bigint"))
               .withColumn("_halo", F.lit(False))
-              .drop("_hot", "_lo", "_w"))
+              .drop("_lo", "_w"))
     hmax = cfg.max_history
-    hot_rows = tagged.filter(F.col("_b") >= 0).select("customer_id", "_b", "_t", tiebreak, "_a", "country")
+    hot_rows = tagged.filter(F.col("_hot")).select("customer_id", "_b", "_t", tiebreak, "_a", "country")
     # Last H rows of every (customer, bucket): a per-group limit, computed before the shuffle.
     desc = Window.partitionBy("customer_id", "_b").orderBy(F.desc("_t"), F.desc(tiebreak))
     tails = (hot_rows.withColumn("_r", F.row_number().over(desc)).filter(F.col("_r") <= hmax)
@@ -134,22 +134,27 @@ def _with_halo(df: DataFrame, tiebreak: str, cfg: RuleConfig) -> DataFrame:
                     .alias("_r"))
             .select("customer_id", "_b", "_r._t", F.col(f"_r.{tiebreak}").alias(tiebreak),
                     "_r._a", "_r.country", F.lit(True).alias("_halo")))
-    return tagged.unionByName(halo, allowMissingColumns=True)
+    return tagged.drop("_hot").unionByName(halo, allowMissingColumns=True)
 
 
 def activity_snapshot(df: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
-                      tiebreak: str = "event_id") -> DataFrame:
+                      tiebreak: str = "event_id", hot_source: DataFrame | None = None) -> DataFrame:
     """Add the five activity features to every transaction row of ``df``.
 
     ``df`` needs ``customer_id``, ``created_at``, ``amount`` (decimal),
     ``country`` and the tie-break column. Row order within a customer is
-    ``(created_at, tiebreak)``.
+    ``(created_at, tiebreak)``. ``hot_source`` (``customer_id``, ``created_at``)
+    is where hot customers are counted when ``df`` is expensive to compute
+    twice; any superset of ``df``'s customers works (splitting a customer that
+    is not hot is still exact).
     """
     prepared = _prepare(df, tiebreak)
-    # The hot-key list is a bounded aggregate (at most ``max_hot_customers`` rows);
-    # the halo path is planned only when it is not empty.
-    if cfg.split_hot and _hot_customers(prepared, cfg).take(1):
-        staged = _with_halo(prepared, tiebreak, cfg)
+    counted = prepared if hot_source is None else hot_source.select(
+        "customer_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("_t"))
+    hot = _hot_customers(counted, cfg)
+    # The hot-key list is a bounded aggregate; the halo path is planned only when it is not empty.
+    if cfg.split_hot and hot.take(1):
+        staged = _with_halo(prepared, tiebreak, cfg, hot)
         out = _windowed(staged, ["customer_id", "_b"], tiebreak, cfg)
         out = out.filter(~F.col("_halo")).drop("_b", "_halo")
     else:

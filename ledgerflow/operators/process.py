@@ -70,12 +70,16 @@ def first_delivery(decoded: DataFrame) -> DataFrame:
     return ok.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
 
 
-def rules_decider(cfg: S.RuleConfig = S.DEFAULT_RULES) -> Decider:
-    """The decision is columns of the same plan (rules-only reasoner)."""
+def rules_decider(cfg: S.RuleConfig = S.DEFAULT_RULES, hot_source: DataFrame | None = None) -> Decider:
+    """The decision is columns of the same plan (rules-only reasoner).
+
+    ``hot_source`` (e.g. the payments table) is where hot customers are
+    counted, so the event pipeline upstream of the triage runs once.
+    """
 
     def decide(events: DataFrame) -> DataFrame:
         feats = activity_snapshot(events.withColumn("created_at", F.col("delivered_at")), cfg,
-                                  tiebreak="offset")
+                                  tiebreak="offset", hot_source=hot_source)
         return rule_only_decision(rule_findings(feats)).withColumn("created_at", F.col("delivered_at"))
 
     return decide
@@ -113,7 +117,7 @@ def _severity_ok(decision: Column) -> Column:
 def process(deliveries: DataFrame, payments: DataFrame, claimed: DataFrame,
             decider: Decider | None = None, retries: DataFrame | None = None) -> Processed:
     """Process one batch of deliveries against the payments and claims tables."""
-    decider = decider or rules_decider()
+    decider = decider or rules_decider(hot_source=payments)
     if retries is not None:                                   # U2: retried records re-enter
         deliveries = deliveries.unionByName(retries, allowMissingColumns=True)
     decoded = decode_events(deliveries)

@@ -15,7 +15,7 @@ DAY = S.DAY_RULES
 
 def _run(ds, decider=None):
     return P.process(ds.deliveries, ds.stored_payments, ds.claimed,
-                     decider or P.rules_decider(DAY))
+                     decider or P.rules_decider(DAY, hot_source=ds.stored_payments))
 
 
 # Oracle: decodability comes from the scenario flag, not from parsing JSON.

@@ -83,3 +83,16 @@ def test_hot_split_on_dataset_equals_plain_plan(spark, ds):
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "BroadcastExchange" in plan
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
+
+
+def test_hot_split_counted_on_another_table(spark, ds):
+    from ledgerflow.operators import process as P
+
+    day = RuleConfig(window_seconds=86400)
+    forced = replace(day, hot_customer_rows=3, hot_bucket_rows=2)
+    cols = ["event_id", "decision", "risk_score", "reasons"]
+    a = P.process(ds.deliveries, ds.stored_payments, ds.claimed,
+                  P.rules_decider(replace(day, split_hot=False))).decided.select(*cols)
+    b = P.process(ds.deliveries, ds.stored_payments, ds.claimed,
+                  P.rules_decider(forced, hot_source=ds.stored_payments)).decided.select(*cols)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
