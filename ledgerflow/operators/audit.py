@@ -43,7 +43,7 @@ def outcome_rows(outbox: DataFrame, payments: DataFrame, customer_prefix: str |
 
 
 def audit_outcomes(outbox: DataFrame, payments: DataFrame, **runs) -> DataFrame:
-    """Outcome events per run."""
+    """Outcome events per run (``payments`` only supplies each payment's customer)."""
     return outcome_rows(outbox, payments, **runs).groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("outcome_events"))
 
@@ -56,13 +56,16 @@ def audit_duplicates(outbox: DataFrame, payments: DataFrame, **runs) -> DataFram
             .agg(F.count_if(F.col("n") > 1).alias("duplicated_payments")))
 
 
-def audit_verdict(outbox: DataFrame, payments: DataFrame, **runs) -> DataFrame:
+def audit_verdict(outbox: DataFrame, payments: DataFrame, lookup: DataFrame | None = None,
+                  **runs) -> DataFrame:
     """A3: per run, created = terminal = outcome events and no duplicate -> pass.
 
-    One shuffle per aggregate, joined on the (small) run key.
+    ``payments`` gives status; ``lookup`` (default ``payments``) maps outcome rows
+    to customers, so a plain table can stand in for a derived one. One shuffle
+    per aggregate, joined on the (small) run key.
     """
     counts = audit_counts(payments, **runs)
-    per_payment = (outcome_rows(outbox, payments, **runs)
+    per_payment = (outcome_rows(outbox, lookup if lookup is not None else payments, **runs)
                    .groupBy("customer_id", "aggregate_id").agg(F.count(F.lit(1)).alias("n")))
     outs = per_payment.groupBy("customer_id").agg(
         F.sum("n").alias("outcome_events"), F.count_if(F.col("n") > 1).alias("duplicated_payments"))

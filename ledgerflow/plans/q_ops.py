@@ -64,16 +64,16 @@ def audit_counts(ds):
 SELECT customer_id, CAST(sum(n) AS BIGINT) AS outcome_events FROM outs GROUP BY customer_id""")
 def audit_outcomes(ds):
     """Outcome events joined to their payments, per run."""
-    pay, out = _processed(ds)
-    return A.audit_outcomes(out, pay)
+    _, out = _processed(ds)
+    return A.audit_outcomes(out, ds.stored_payments)
 
 
 @query("audit_duplicates", DECIDED_SQL + _PAYAFTER_SQL + """
 SELECT customer_id, count(*) FILTER (WHERE n > 1) AS duplicated_payments FROM outs GROUP BY customer_id""")
 def audit_duplicates(ds):
     """A2: payments with more than one outcome event, per run."""
-    pay, out = _processed(ds)
-    return A.audit_duplicates(out, pay)
+    _, out = _processed(ds)
+    return A.audit_duplicates(out, ds.stored_payments)
 
 
 @query("audit_verdict", DECIDED_SQL + _PAYAFTER_SQL + """,
@@ -90,7 +90,7 @@ FROM c LEFT JOIN o USING (customer_id)""")
 def audit_verdict(ds):
     """A3: loss / duplicate verdict per run (created = terminal = outcomes, no duplicates)."""
     pay, out = _processed(ds)
-    return A.audit_verdict(out, pay)
+    return A.audit_verdict(out, pay, lookup=ds.stored_payments)
 
 
 @query("delete_by_key", """
