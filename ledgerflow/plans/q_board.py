@@ -74,5 +74,5 @@ def outbox_relay_stream(ds):
         stream = spark.readStream.schema(ds.outbox.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/input")
         return relay_query(stream, sink, f"{root}/checkpoint", interval=None)
 
-    run_until_done(start)
+    run_until_done(start, partitions=spark.sparkContext.defaultParallelism)
     return sink.log.committed("stamps", "event_id string, topic string").select("event_id", "topic")

@@ -44,7 +44,7 @@ def _processing_run(ds, crash_at: int = 1):
         return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
                 .trigger(availableNow=True).start())
 
-    run_until_done(start)
+    run_until_done(start, partitions=spark.sparkContext.defaultParallelism)
     return CommitLog(spark, f"{root}/out")
 
 
@@ -93,7 +93,7 @@ def stream_accept(ds):
         return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
                 .trigger(availableNow=True).start())
 
-    run_until_done(start)
+    run_until_done(start, partitions=spark.sparkContext.defaultParallelism)
     pays = sink.log.committed("payments", "payment_id string")
     return pays.select("payment_id", "idempotency_key", "amount", "currency", "customer_id", "card_last4",
                        "country", "merchant", "status", "created_at")

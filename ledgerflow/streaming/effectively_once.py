@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest as I
 from ..operators import process as P
+from ..session import scoped_conf
 
 
 class CommitLog:
@@ -98,15 +99,22 @@ class AcceptSink:
         self.log.commit(batch_id)
 
 
-def run_until_done(start: Callable[[], object], retries: int = 3) -> int:
+def run_until_done(start: Callable[[], object], retries: int = 3, partitions: int | None = None) -> int:
     """Start a stream, and restart it from its checkpoint after a failure.
 
     Returns the number of restarts. ``start`` must build the query on the same
-    checkpoint location every time.
+    checkpoint location every time. ``partitions`` sets the shuffle partitions
+    the query is started with (the query keeps a copy of the session options;
+    stateful operators keep the number in their checkpoint).
     """
     restarts = 0
     while True:
-        query = start()
+        if partitions:
+            spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+            with scoped_conf(spark, **{"spark.sql.shuffle.partitions": str(partitions)}):
+                query = start()
+        else:
+            query = start()
         try:
             query.awaitTermination()
             return restarts

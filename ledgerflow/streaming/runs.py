@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_RULES, RuleConfig
+from ..session import scoped_conf
 from .staging import run_folder
 from .triage_state import stream_activity
 
@@ -29,12 +30,15 @@ def _stage_in_order(df: DataFrame, time_col: str, folder: str, slices: int) -> N
 
 
 def stream_triage_features(spark: SparkSession, payments: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
-                           slices: int = 6, files_per_trigger: int = 2, delay: str = "10 minutes") -> DataFrame:
+                           slices: int = 6, files_per_trigger: int = 2, delay: str = "10 minutes",
+                           state_partitions: int | None = None) -> DataFrame:
     """Replay ``payments`` as a time-ordered stream through the stateful fold.
 
     A far-future sentinel row closes the input: it moves the watermark past
     every real row, the event-time timeouts release what is still buffered, and
-    the sentinel itself stays buffered (it is never emitted).
+    the sentinel itself stays buffered (it is never emitted). The state is
+    split into ``state_partitions`` partitions (fixed by the checkpoint at the
+    first start; default: the cluster's core count).
     """
     root = run_folder(spark, "stream_triage")
     cols = ["payment_id", "customer_id", "created_at", "event_id", "amount", "currency", "country"]
@@ -47,8 +51,10 @@ def stream_triage_features(spark: SparkSession, payments: DataFrame, cfg: RuleCo
     stream = (spark.readStream.schema(data.schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(f"{root}/input"))
     feats = stream_activity(stream, cfg, delay)
-    query = (feats.writeStream.format("parquet").option("path", f"{root}/output")
-             .option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
-             .trigger(availableNow=True).start())
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    with scoped_conf(spark, **{"spark.sql.shuffle.partitions": str(parts)}):
+        query = (feats.writeStream.format("parquet").option("path", f"{root}/output")
+                 .option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
+                 .trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.parquet(f"{root}/output")
