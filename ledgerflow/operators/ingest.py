@@ -13,7 +13,8 @@ chain per key: ``s0`` = first request, ``s(k+1)`` = first request at or after
 
 1. ``next(r)`` = first request of the same key at or after ``t(r) + TTL``, from
    windows partitioned by ``(key, time bucket)`` plus a per-key window over
-   bucket minima (bounded by the number of buckets, not rows);
+   bucket minima (bounded by the number of buckets, not rows); each key's
+   buckets hold about ``bucket_rows`` requests, so a hot key is split too;
 2. the chain from ``s0`` is marked by pointer doubling: jump tables
    ``J(j+1) = J(j) o J(j)`` by self-joins, then a descent from ``s0``. That is
    ``2 * ceil(log2(chain length))`` joins; each jump table is written to the
@@ -155,11 +156,17 @@ def requested_outbox(payments: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- TTL chain
 
-def _next_pointer(req: DataFrame, ttl_us: int, bucket_us: int) -> DataFrame:
-    """``(rid, nxt)``: first request of the same key at or after ``t + ttl``."""
-    tgt = req.select("k", "t", "rid", F.floor(F.col("t") / bucket_us).alias("b"))
-    probe = req.select("k", (F.col("t") + ttl_us).alias("x"), F.col("rid").alias("src"))
-    probe = probe.withColumn("b", F.floor(F.col("x") / bucket_us))
+def _next_pointer(req: DataFrame, ttl_us: int) -> DataFrame:
+    """``(rid, nxt)``: first request of the same key at or after ``t + ttl``.
+
+    ``req`` carries each key's bucket origin ``_lo`` and width ``_w``.
+    """
+    def bucket(c: Column) -> Column:
+        return F.floor((c - F.col("_lo")) / F.col("_w"))
+
+    tgt = req.select("k", "t", "rid", bucket(F.col("t")).alias("b"))
+    probe = req.select("k", (F.col("t") + ttl_us).alias("x"), F.col("rid").alias("src"), "_lo", "_w")
+    probe = probe.select("k", "x", "src", bucket(F.col("x")).alias("b"))
     # (a) inside the probe's bucket: running min over time descending.
     both = (tgt.select("k", "b", F.col("t").alias("time"), F.lit(0).alias("kind"), "rid",
                        F.lit(None).cast("bigint").alias("src"))
@@ -207,25 +214,31 @@ def _chain_members(req: DataFrame, nxt: DataFrame, max_len: int) -> DataFrame:
 
 
 def accept_classes(valid: DataFrame, ttl_seconds: int = S.IDEMPOTENCY_TTL_SECONDS,
-                   bucket_seconds: int = 3600, key: str = "idempotency_key") -> DataFrame:
+                   bucket_rows: int = 100_000, bucket_seconds: int = 1,
+                   key: str = "idempotency_key") -> DataFrame:
     """A4 / Q17-Q19: answer class and payment for every valid request with a key.
 
     Output: request_id, idempotency_key, payment_id, accept_result, status.
+    Each key's time span is cut into buckets of about ``bucket_rows`` requests
+    (at least ``bucket_seconds`` wide) for the next-pointer windows.
     """
-    ttl_us, bucket_us = ttl_seconds * _MICROS, bucket_seconds * _MICROS
+    ttl_us = ttl_seconds * _MICROS
     req = (valid.filter(F.col(key).isNotNull())
            .select(F.col(key).alias("k"), F.unix_micros("received_at").alias("t"),
                    F.col("request_id").alias("rid")))
     # Only keys whose requests span at least one TTL can re-cache; the chain is
-    # computed for those alone (a partial aggregate picks them).
-    spans = req.groupBy("k").agg((F.max("t") - F.min("t")).alias("_span"))
-    long_req = materialize(req.join(spans.filter(F.col("_span") >= ttl_us).select("k"), "k", "left_semi"),
-                           "long_keys")
+    # computed for those alone (picked by a partial aggregate).
+    spans = req.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.min("t").alias("_lo"),
+                                 F.max("t").alias("_hi"))
+    width = F.greatest(F.lit(bucket_seconds * _MICROS),
+                       ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / bucket_rows)).cast("bigint") + 1)
+    long_keys = spans.filter(F.col("_hi") - F.col("_lo") >= ttl_us).select("k", "_lo", width.alias("_w"))
+    long_req = materialize(req.join(long_keys, "k"), "long_keys")
     # Chain length is bounded by the longest span (one scalar).
     lo, hi = long_req.agg(F.min("t"), F.max("t")).first()
     longest = (hi - lo) if lo is not None else 0
     if longest >= ttl_us:
-        chain = _chain_members(long_req, _next_pointer(long_req, ttl_us, bucket_us), int(longest // ttl_us) + 1)
+        chain = _chain_members(long_req, _next_pointer(long_req, ttl_us), int(longest // ttl_us) + 1)
     else:
         chain = req.limit(0).select("rid")
     first = first_writer_wins(valid, key).select(key, F.col("request_id").alias("_first_rid"))

@@ -74,7 +74,7 @@ def test_ttl_chain_with_small_buckets_and_many_keys(spark):
             rows.append(req(i, key=f"k{k}", hours=t))
             i += 1
     valid = I.validate_requests(spark.createDataFrame(rows, REQ_COLS)).filter("valid")
-    got = {r["request_id"]: r["accept_result"] for r in I.accept_classes(valid, bucket_seconds=1800).collect()}
+    got = {r["request_id"]: r["accept_result"] for r in I.accept_classes(valid, bucket_rows=3).collect()}
     expected = {}
     for k in {r[2] for r in rows}:
         expires = None
