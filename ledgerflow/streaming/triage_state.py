@@ -6,8 +6,10 @@ customer's retained history (at most ``max_history`` rows, trimmed to
 fold: a row is folded once the event-time watermark has passed it, so rows are
 folded in event order even when a micro-batch delivers them out of order. An
 event-time timeout releases buffered rows of customers that receive nothing
-new. Rows older than the last folded row of their customer are late: they are
-emitted with ``late = true`` and no features.
+new. Rows behind the watermark are dropped by Spark before the state function
+and counted in the query progress (``numRowsDroppedByWatermark``); a row that
+still reaches the fold behind its customer's last folded row is emitted with
+``late = true`` and no features, never folded out of order.
 
 The fold is the deque of the original, row by row: read previous country and
 prior average, append, trim, count inside the window. Features feed the same
