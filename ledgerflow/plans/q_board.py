@@ -8,8 +8,7 @@ from ..operators import process as P
 from ..operators.board import MISSING, payment_reasons, payments_board
 from ..streaming.effectively_once import run_until_done
 from ..streaming.relay import RelaySink, relay_query
-from ..streaming.runs import _stage_in_order
-from ..streaming.staging import run_folder
+from ..streaming.staging import run_folder, stage_in_order
 from .q_process import DECIDED_SQL, _run
 from .registry import query
 
@@ -51,7 +50,7 @@ def requested_stream(ds):
     """S1 + S2: the requested topic read as a stream (file source here) and decoded."""
     spark = ds.spark
     root = run_folder(spark, "requested_stream")
-    _stage_in_order(ds.deliveries, "delivered_at", f"{root}/input", 4)
+    stage_in_order(ds.deliveries, "delivered_at", f"{root}/input", 4)
     stream = spark.readStream.schema(ds.deliveries.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/input")
     decoded = P.decode_events(stream).select("offset", "event_id", "payment_id",
                                              F.col("decode_error").isNull().alias("decode_ok"))
@@ -67,7 +66,7 @@ def outbox_relay_stream(ds):
     """T5 + K6 + K7: the relay as a stream; every unpublished row is stamped exactly once."""
     spark = ds.spark
     root = run_folder(spark, "outbox_relay")
-    _stage_in_order(ds.outbox, "created_at", f"{root}/input", 4)
+    stage_in_order(ds.outbox, "created_at", f"{root}/input", 4)
     sink = RelaySink(spark, f"{root}/out", ds.outbox_published)
 
     def start():

@@ -13,8 +13,8 @@ from .. import schemas as S
 from ..functions.scalars import join_text
 from ..operators.rules import rule_findings, rule_only_decision
 from ..streaming.effectively_once import AcceptSink, CommitLog, ProcessingSink, run_until_done
-from ..streaming.runs import _stage_in_order, stream_triage_features
-from ..streaming.staging import run_folder
+from ..streaming.runs import stream_triage_features
+from ..streaming.staging import run_folder, stage_in_order
 from .q_ingest import VALIDATION_SQL, _PAY_ID
 from .q_process import DECIDED_SQL, PROC_SQL
 from .q_triage import _triage_sql
@@ -35,7 +35,7 @@ def stream_triage(ds):
 def _processing_run(ds, crash_at: int = 1):
     spark = ds.spark
     root = run_folder(spark, "stream_processing")
-    _stage_in_order(ds.deliveries, "delivered_at", f"{root}/input", 6)
+    stage_in_order(ds.deliveries, "delivered_at", f"{root}/input", 6)
     sink = ProcessingSink(spark, f"{root}/out", ds.stored_payments, ds.claimed, crash_after_outputs=crash_at)
 
     def start():
@@ -84,7 +84,7 @@ def stream_accept(ds):
     """Payments created by the request stream; keys dedupe across batches via committed rows."""
     spark = ds.spark
     root = run_folder(spark, "stream_accept")
-    _stage_in_order(ds.requests, "received_at", f"{root}/input", 6)
+    stage_in_order(ds.requests, "received_at", f"{root}/input", 6)
     sink = AcceptSink(spark, f"{root}/out")
 
     def start():

@@ -13,22 +13,12 @@ from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_RULES, RuleConfig
 from ..session import scoped_conf
-from .staging import run_folder
+from .staging import run_folder, stage_in_order
 from .triage_state import stream_activity
 
 FAR_FUTURE = "2200-01-01 00:00:00"   # inside the pandas timestamp range
 
 
-def _stage_in_order(df: DataFrame, time_col: str, folder: str, slices: int) -> None:
-    """Append ``df`` to ``folder`` slice by slice (oldest first) so files arrive in time order."""
-    t = F.unix_micros(F.col(time_col).cast("timestamp"))
-    lo, hi = df.agg(F.min(t), F.max(t)).first()
-    width = max(1, (hi - lo) // slices + 1)
-    for i in range(slices):
-        part = df.filter((t >= lo + i * width) & (t < lo + (i + 1) * width))
-        part.write.mode("append").parquet(folder)
-
-
 def stream_triage_features(spark: SparkSession, payments: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
                            slices: int = 6, files_per_trigger: int = 2, delay: str = "10 minutes",
                            state_partitions: int | None = None) -> DataFrame:
@@ -43,7 +33,7 @@ def stream_triage_features(spark: SparkSession, payments: DataFrame, cfg: RuleCo
     root = run_folder(spark, "stream_triage")
     cols = ["payment_id", "customer_id", "created_at", "event_id", "amount", "currency", "country"]
     data = payments.select(*cols)
-    _stage_in_order(data, "created_at", f"{root}/input", slices)
+    stage_in_order(data, "created_at", f"{root}/input", slices)
     sentinel = (data.limit(1)
                 .withColumn("payment_id", F.lit("__end__")).withColumn("customer_id", F.lit("__end__"))
                 .withColumn("created_at", F.lit(FAR_FUTURE).cast("timestamp")))

@@ -20,22 +20,18 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
-def stage_slices(df: DataFrame, time_col: str, path: str, slices: int) -> list[str]:
-    """Write ``df`` as ``slices`` consecutive time slices, oldest first, each its own folder.
+def stage_in_order(df: DataFrame, time_col: str, folder: str, slices: int) -> None:
+    """Append ``df`` to ``folder`` as ``slices`` consecutive time slices, oldest first,
+    so the file source sees them arrive in time order.
 
     Slice bounds come from one min/max aggregate; every slice is a filtered
     write, so no slice passes through the driver.
     """
-    lo, hi = df.agg(F.min(F.unix_micros(F.col(time_col).cast("timestamp"))),
-                    F.max(F.unix_micros(F.col(time_col).cast("timestamp")))).first()
-    width = max(1, (hi - lo) // slices + 1)
     t = F.unix_micros(F.col(time_col).cast("timestamp"))
-    folders = []
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
+    width = max(1, (hi - lo) // slices + 1)
     for i in range(slices):
-        folder = f"{path}/slice-{i:05d}"
-        df.filter((t >= lo + i * width) & (t < lo + (i + 1) * width)).write.mode("overwrite").parquet(folder)
-        folders.append(folder)
-    return folders
+        df.filter((t >= lo + i * width) & (t < lo + (i + 1) * width)).write.mode("append").parquet(folder)
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str, starting: str = "earliest") -> DataFrame:
