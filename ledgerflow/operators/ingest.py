@@ -24,6 +24,7 @@ chain per key: ``s0`` = first request, ``s(k+1)`` = first request at or after
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -189,8 +190,8 @@ def _next_pointer(req: DataFrame, ttl_us: int) -> DataFrame:
             .select(F.col("src").alias("rid"), F.coalesce("c", "lm")["rid"].alias("nxt")))
 
 
-def _chain_members(req: DataFrame, nxt: DataFrame, max_len: int) -> DataFrame:
-    """Request ids on the chain from each key's first request (pointer doubling).
+def _chain_members(starts: DataFrame, nxt: DataFrame, max_len: int) -> DataFrame:
+    """Request ids on the chain from each key's start request (pointer doubling).
 
     Jump table ``J(k)`` maps a request to the one ``2^k`` chain steps later;
     ``J(k+1) = J(k) o J(k)`` references ``J(k)`` twice, so each table is
@@ -205,7 +206,7 @@ def _chain_members(req: DataFrame, nxt: DataFrame, max_len: int) -> DataFrame:
         nxt_j = (cur.alias("a").join(cur.alias("b"), F.col("a.j") == F.col("b.rid"), "left")
                  .select(F.col("a.rid").alias("rid"), F.col("b.j").alias("j")))
         jumps.append(materialize(nxt_j, f"jump{len(jumps)}"))
-    marked = req.groupBy("k").agg(F.min(F.struct("t", "rid"))["rid"].alias("rid"))
+    marked = starts.select("rid")
     for table in reversed(jumps):
         marked = (marked.select("rid").join(table, "rid", "left")
                   .select(F.explode(F.array("rid", "j")).alias("rid"))
@@ -215,19 +216,34 @@ def _chain_members(req: DataFrame, nxt: DataFrame, max_len: int) -> DataFrame:
 
 def accept_classes(valid: DataFrame, ttl_seconds: int = S.IDEMPOTENCY_TTL_SECONDS,
                    bucket_rows: int = 100_000, bucket_seconds: int = 1,
-                   key: str = "idempotency_key") -> DataFrame:
+                   key: str = "idempotency_key", existing: DataFrame | None = None) -> DataFrame:
     """A4 / Q17-Q19: answer class and payment for every valid request with a key.
 
     Output: request_id, idempotency_key, payment_id, accept_result, status.
     Each key's time span is cut into buckets of about ``bucket_rows`` requests
     (at least ``bucket_seconds`` wide) for the next-pointer windows.
+
+    ``existing`` (``idempotency_key, payment_id, status, created_at``) holds
+    payments made before this batch: their creation cached the answer, so the
+    key's chain starts at the first request at or after ``created_at + TTL``
+    (answered from the table), earlier replays are cache hits, and answers carry
+    the stored payment id; the table path answers with the stored status.
     """
     ttl_us = ttl_seconds * _MICROS
     req = (valid.filter(F.col(key).isNotNull())
            .select(F.col(key).alias("k"), F.unix_micros("received_at").alias("t"),
                    F.col("request_id").alias("rid")))
-    # Only keys whose requests span at least one TTL can re-cache; the chain is
-    # computed for those alone (picked by a partial aggregate).
+    first = F.min(F.struct("t", "rid"))
+    starts = req.groupBy("k").agg(first["rid"].alias("rid"), first["t"].alias("_st"))
+    old = None
+    if existing is not None:
+        old = existing.select(F.col(key).alias("k"), F.unix_micros("created_at").alias("_c"),
+                              F.col("payment_id").alias("_pid"), F.col("status").alias("_status"))
+        reopened = (req.join(old.select("k", "_c"), "k").filter(F.col("t") >= F.col("_c") + ttl_us)
+                    .groupBy("k").agg(first["rid"].alias("rid"), first["t"].alias("_st")))
+        starts = starts.join(old.select("k"), "k", "left_anti").unionByName(reopened)
+    # Only keys whose requests span at least one TTL can re-cache more than once;
+    # next pointers are computed for those alone (picked by a partial aggregate).
     spans = req.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.min("t").alias("_lo"),
                                  F.max("t").alias("_hi"))
     width = F.greatest(F.lit(bucket_seconds * _MICROS),
@@ -238,16 +254,45 @@ def accept_classes(valid: DataFrame, ttl_seconds: int = S.IDEMPOTENCY_TTL_SECOND
     lo, hi = long_req.agg(F.min("t"), F.max("t")).first()
     longest = (hi - lo) if lo is not None else 0
     if longest >= ttl_us:
-        chain = _chain_members(long_req, _next_pointer(long_req, ttl_us), int(longest // ttl_us) + 1)
+        chain = _chain_members(starts, _next_pointer(long_req, ttl_us), int(longest // ttl_us) + 1)
     else:
-        chain = req.limit(0).select("rid")
-    first = first_writer_wins(valid, key).select(key, F.col("request_id").alias("_first_rid"))
+        chain = starts.select("rid")
     out = (valid.filter(F.col(key).isNotNull())
            .join(chain.select(F.col("rid").alias("request_id"), F.lit(True).alias("_on_chain")),
                  "request_id", "left")
-           .join(first, key))
-    result = (F.when(F.col("request_id") == F.col("_first_rid"), "created")
+           .join(starts.select(F.col("k").alias(key), F.col("rid").alias("_start"), "_st"), key, "left"))
+    pid = payment_id_for(F.col(key))
+    status = F.lit(S.STATUS_RECEIVED)
+    is_new = F.lit(True)
+    if old is not None:
+        out = out.join(old.select(F.col("k").alias(key), "_pid", "_status"), key, "left")
+        is_new = F.col("_pid").isNull()
+        pid = F.coalesce(F.col("_pid"), pid)
+        # table answers, and cache hits after one, carry the stored status
+        reread = F.col("_st").isNotNull() & (F.unix_micros("received_at") >= F.col("_st"))
+        status = F.when(~is_new & reread, F.col("_status")).otherwise(status)
+    result = (F.when(is_new & (F.col("request_id") == F.col("_start")), "created")
               .when(F.col("_on_chain"), "idempotent_db").otherwise("idempotent_redis"))
-    return out.select("request_id", key, payment_id_for(F.col(key)).alias("payment_id"),
-                      result.alias("accept_result"),
-                      F.lit(S.STATUS_RECEIVED).alias("status"))
+    return out.select("request_id", key, pid.alias("payment_id"), result.alias("accept_result"),
+                      status.alias("status"))
+
+
+@dataclass
+class Intake:
+    payments: DataFrame      # K1: one RECEIVED row per new key
+    outbox: DataFrame        # K2: its requested event
+    rejected: DataFrame      # P1 + P2: invalid or keyless requests with their violations
+    answers: DataFrame       # S8 / A4: payment, status and answer class per accepted request
+
+
+def ingest_batch(requests: DataFrame, existing: DataFrame | None = None, with_answers: bool = True) -> Intake:
+    """One intake run: ``validate (split) -> first writer per key -> left anti existing
+    -> {payments, outbox, rejected}`` plus the answer each accepted request gets.
+    ``existing`` is the payments table (answers need ``payment_id, status, created_at``)."""
+    checked = validate_requests(requests)
+    valid = checked.filter(F.col("valid"))
+    rejected = checked.filter(~F.col("valid")).select(
+        "request_id", "idempotency_key", "received_at", "violations")
+    pays = new_payments(valid, existing)
+    answers = accept_classes(valid, existing=existing) if with_answers else None
+    return Intake(pays, requested_outbox(pays), rejected, answers)

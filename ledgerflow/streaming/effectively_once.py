@@ -86,16 +86,18 @@ class ProcessingSink:
 
 class AcceptSink:
     """``foreachBatch`` target for the request stream (T3): first valid request per
-    key creates the payment unless a committed batch already created it."""
+    key creates the payment (and its outbox row) unless a committed batch already
+    created it; rejected requests are kept with their violations."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.log = CommitLog(spark, root)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        valid = I.validate_requests(batch).filter("valid")
         before = self.log.committed("payments", "idempotency_key string", exclude=batch_id)
-        new = I.new_payments(valid, existing=before.select("idempotency_key"))
-        self.log.write("payments", new, batch_id)
+        out = I.ingest_batch(batch, existing=before, with_answers=False)
+        self.log.write("payments", out.payments, batch_id)
+        self.log.write("outbox", out.outbox, batch_id)
+        self.log.write("rejected", out.rejected, batch_id)
         self.log.commit(batch_id)
 
 

@@ -86,3 +86,30 @@ def test_ttl_chain_with_small_buckets_and_many_keys(spark):
             else:
                 expected[r[0]], expires = "idempotent_db", r[1] + timedelta(hours=24)
     assert got == expected
+
+
+def test_ingest_batch_splits_and_dedupes_against_existing(spark):
+    rows = [req(1, key="a"), req(2, key="a", hours=1), req(3, key=None), req(4, key="b", currency="usd"),
+            req(5, key="c")]
+    df = spark.createDataFrame(rows, REQ_COLS)
+    existing = spark.createDataFrame([("c", "old-c", "PROCESSED", T0 - timedelta(hours=30))],
+                                     "idempotency_key string, payment_id string, status string, created_at timestamp")
+    out = I.ingest_batch(df, existing=existing)
+    assert sorted(r["idempotency_key"] for r in out.payments.collect()) == ["a"]
+    assert out.outbox.count() == 1
+    assert sorted(r["request_id"] for r in out.rejected.collect()) == [3, 4]
+    answers = {r["request_id"]: (r["accept_result"], r["payment_id"], r["status"]) for r in out.answers.collect()}
+    assert answers[1][0] == "created" and answers[2][0] == "idempotent_redis" and answers[1][1] == answers[2][1]
+    assert answers[5] == ("idempotent_db", "old-c", "PROCESSED")     # created 30 h before: cache expired
+
+
+def test_existing_key_inside_ttl_is_a_cache_hit(spark):
+    rows = [req(1, key="c", hours=0), req(2, key="c", hours=10), req(3, key="c", hours=30)]
+    existing = spark.createDataFrame([("c", "old-c", "BLOCKED", T0 - timedelta(hours=5))],
+                                     "idempotency_key string, payment_id string, status string, created_at timestamp")
+    valid = I.validate_requests(spark.createDataFrame(rows, REQ_COLS)).filter("valid")
+    got = {r["request_id"]: (r["accept_result"], r["payment_id"], r["status"])
+           for r in I.accept_classes(valid, existing=existing).collect()}
+    # creation at -5 h cached until 19 h; request at 30 h re-reads the table (re-cached until 54 h)
+    assert got == {1: ("idempotent_redis", "old-c", "RECEIVED"), 2: ("idempotent_redis", "old-c", "RECEIVED"),
+                   3: ("idempotent_db", "old-c", "BLOCKED")}
