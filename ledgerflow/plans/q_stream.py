@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import join_text
+from ..operators import process as P
 from ..operators.rules import rule_findings, rule_only_decision
 from ..streaming.effectively_once import AcceptSink, CommitLog, ProcessingSink, run_until_done
 from ..streaming.runs import stream_triage_features
 from ..streaming.staging import run_folder, stage_in_order
 from .q_ingest import VALIDATION_SQL, _PAY_ID
 from .q_process import DECIDED_SQL, PROC_SQL
-from .q_triage import _triage_sql
+from .q_triage import _triage_sql, rules_sql
 from .registry import query
 
 DAY = S.DAY_RULES
@@ -32,11 +33,12 @@ def stream_triage(ds):
                       join_text(F.col("reasons")).alias("reasons_text"))
 
 
-def _processing_run(ds, crash_at: int = 1):
+def _processing_run(ds, crash_at: int = 1, decider=None):
     spark = ds.spark
     root = run_folder(spark, "stream_processing")
     stage_in_order(ds.deliveries, "delivered_at", f"{root}/input", 6)
-    sink = ProcessingSink(spark, f"{root}/out", ds.stored_payments, ds.claimed, crash_after_outputs=crash_at)
+    sink = ProcessingSink(spark, f"{root}/out", ds.stored_payments, ds.claimed, decider=decider,
+                          crash_after_outputs=crash_at)
 
     def start():
         stream = (spark.readStream.schema(ds.deliveries.schema).option("maxFilesPerTrigger", 2)
@@ -97,3 +99,19 @@ def stream_accept(ds):
     pays = sink.log.committed("payments", "payment_id string")
     return pays.select("payment_id", "idempotency_key", "amount", "currency", "customer_id", "card_last4",
                        "country", "merchant", "status", "created_at")
+
+
+@query("stream_outcomes", PROC_SQL + rules_sql(86400) + """
+SELECT f.payment_id, CASE WHEN r.recommended = 'APPROVE' THEN 'PROCESSED' ELSE 'BLOCKED' END AS status,
+       r.recommended AS fraud_decision, r.rule_risk AS risk_score
+FROM found f JOIN findings r USING (payment_id)""")
+def stream_outcomes(ds):
+    """T1 + K9 composed: the stateful triage stream writes decisions with full customer
+    history; the effectively-once processor (crash and restart included) takes them
+    through a table decider. Committed payment updates equal batch triage."""
+    feats = stream_triage_features(ds.spark, ds.payments, DAY).filter(~F.col("late"))
+    decisions = rule_only_decision(rule_findings(feats)).select("payment_id", "decision", "risk_score", "reasons")
+    log = _processing_run(ds, decider=P.table_decider(decisions))
+    ups = log.committed("payment_updates", "payment_id string, status string, fraud_decision string, "
+                                           "risk_score double")
+    return ups.select("payment_id", "status", "fraud_decision", "risk_score")

@@ -8,7 +8,8 @@ from ledgerflow.schemas import RuleConfig
 
 from conftest import SF_SMALL
 
-STREAMING = {"stream_triage", "stream_claims", "effectively_once", "stream_accept"}
+STREAMING = {"stream_triage", "stream_claims", "effectively_once", "stream_accept", "stream_outcomes",
+             "requested_stream", "outbox_relay_stream"}
 ITERATIVE = {"accept_result", "accepted_by_result"}        # checkpointed jump tables
 
 
