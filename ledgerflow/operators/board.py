@@ -24,8 +24,9 @@ def payments_board(payments: DataFrame) -> DataFrame:
     ).orderBy(F.desc("created_at"), "payment_id")
 
 
-def payment_reasons(payments: DataFrame) -> DataFrame:
+def payment_reasons(payments: DataFrame, keep_empty: bool = True) -> DataFrame:
     """F10 + F11: reasons JSON text -> one row per reason (position from 0);
-    payments without reasons keep one row with nulls."""
+    with ``keep_empty`` payments without reasons keep one row with nulls."""
     arr = reasons_from_json(F.col("fraud_reasons"))
-    return payments.select("payment_id", F.posexplode_outer(arr).alias("pos", "reason"))
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    return payments.select("payment_id", explode(arr).alias("pos", "reason"))

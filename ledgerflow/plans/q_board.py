@@ -34,12 +34,10 @@ def q_payments_board(ds):
 @query("payment_reasons", _AFTER_SQL + """
 SELECT payment_id, CAST(pos AS INTEGER) AS pos, reason FROM (
   SELECT payment_id, generate_subscripts(reasons, 1) - 1 AS pos, unnest(reasons) AS reason
-  FROM after WHERE len(reasons) > 0)
-UNION ALL
-SELECT payment_id, NULL, NULL FROM after WHERE reasons IS NULL OR len(reasons) = 0""")
+  FROM after WHERE len(reasons) > 0)""")
 def q_payment_reasons(ds):
-    """F10 + F11: stored reasons JSON exploded to one row per reason."""
-    return payment_reasons(_run(ds).payments_after)
+    """F10 + F11: stored reasons JSON exploded to one row per reason (payments with reasons)."""
+    return payment_reasons(_run(ds).payments_after, keep_empty=False)
 
 
 @query("requested_stream", """

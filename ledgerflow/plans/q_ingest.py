@@ -98,7 +98,7 @@ _EVT_ID = sql_uuid("idempotency_key", "'requested-event'")
 firsts AS (SELECT v.* FROM valid v JOIN winners w USING (idempotency_key, request_id))
 SELECT {_PAY_ID} AS payment_id, idempotency_key, amount, currency, customer_id, card_last4, country,
        merchant, 'RECEIVED' AS status, received_at AS created_at
-FROM firsts""")
+FROM firsts""", decimals=('amount',))
 def ingest_payments(ds):
     """K1 + P4: one RECEIVED payment row per idempotency key."""
     v = _validated(ds).filter("valid")
@@ -175,7 +175,7 @@ def payment_by_idem_key(ds):
 
 
 @query("payment_by_id", """
-SELECT v.payment_id, p.status, p.amount FROM verdicts v JOIN stored_payments p USING (payment_id)""")
+SELECT v.payment_id, p.status, p.amount FROM verdicts v JOIN stored_payments p USING (payment_id)""", decimals=('amount',))
 def payment_by_id(ds):
     """Primary-key lookup of many ids (the verdicts' payment ids) by an inner join."""
     p = ds.stored_payments.select("payment_id", "status", "amount")
@@ -183,7 +183,7 @@ def payment_by_id(ds):
 
 
 @query("payments_scan", """
-SELECT payment_id, customer_id, amount, status FROM stored_payments""")
+SELECT payment_id, customer_id, amount, status FROM stored_payments""", decimals=('amount',))
 def payments_scan(ds):
     """S3: table scan with a declared schema (only the projected columns are read)."""
     return ds.stored_payments.select("payment_id", "customer_id", "amount", "status")
@@ -191,7 +191,7 @@ def payments_scan(ds):
 
 @query("request_intake", """
 SELECT request_id, idempotency_key, amount, currency, customer_id, card_last4, country, merchant
-FROM requests""")
+FROM requests""", decimals=('amount',))
 def request_intake(ds):
     """Landing rows ``(idempotency_key, body, received_at)`` decoded with the declared body schema."""
     parsed = parse_intake(intake_bodies(ds.requests))

@@ -87,7 +87,7 @@ SELECT p.payment_id,
        d.decision AS fraud_decision,
        TRY_CAST(d.risk_score AS DECIMAL(4,3)) AS risk_score,
        CASE WHEN d.decision IS NULL THEN NULL ELSE CAST(to_json(d.reasons) AS VARCHAR) END AS fraud_reasons
-FROM stored_payments p LEFT JOIN decided d USING (payment_id)""")
+FROM stored_payments p LEFT JOIN decided d USING (payment_id)""", decimals=('risk_score',))
 def payments_after(ds):
     """K5 + R13: payments with terminal status and the triage result."""
     return _run(ds).payments_after.select("payment_id", "status", "fraud_decision", "risk_score",

@@ -81,7 +81,7 @@ def effectively_once(ds):
 firsts AS (SELECT v.* FROM valid v JOIN winners w USING (idempotency_key, request_id))
 SELECT {_PAY_ID} AS payment_id, idempotency_key, amount, currency, customer_id, card_last4, country,
        merchant, 'RECEIVED' AS status, received_at AS created_at
-FROM firsts""")
+FROM firsts""", decimals=('amount',))
 def stream_accept(ds):
     """Payments created by the request stream; keys dedupe across batches via committed rows."""
     spark = ds.spark

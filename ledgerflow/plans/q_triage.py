@@ -136,7 +136,7 @@ _SNAP_COLS = ("velocity_count", "geo_distinct", "previous_country", "avg_prior_a
 
 @query("activity_snapshot", features_sql(86400) + """
 SELECT payment_id, customer_id, velocity_count, geo_distinct, previous_country,
-       avg_prior_amount, history_retained FROM snap""")
+       avg_prior_amount, history_retained FROM snap""", decimals=('avg_prior_amount',))
 def q_activity_snapshot(ds):
     """All activity features for every payment."""
     return activity_snapshot(ds.payments, DAY).select("payment_id", "customer_id", *_SNAP_COLS)
@@ -155,7 +155,8 @@ query("geo_distinct", features_sql(86400) + "\nSELECT payment_id, geo_distinct F
     _single("geo_distinct"))
 query("previous_country", features_sql(86400) + "\nSELECT payment_id, previous_country FROM snap")(
     _single("previous_country"))
-query("avg_prior_amount", features_sql(86400) + "\nSELECT payment_id, avg_prior_amount FROM snap")(
+query("avg_prior_amount", features_sql(86400) + "\nSELECT payment_id, avg_prior_amount FROM snap",
+      decimals=("avg_prior_amount",))(
     _single("avg_prior_amount"))
 query("history_retained", features_sql(86400) + "\nSELECT payment_id, history_retained FROM snap")(
     _single("history_retained"))

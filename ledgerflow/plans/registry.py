@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.views import Dataset
 from .oracle_views import with_views
@@ -21,20 +23,37 @@ class Query:
     doc: str
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(Dataset(spark, sf_dir))
+        """The query result as handed to the comparison: decimal columns (money,
+        risk) are presented as DOUBLE, the nearest double of the exact decimal,
+        so both engines give identical float64 values."""
+        df = self.build(Dataset(spark, sf_dir))
+        return df.select(*[F.col(f.name).cast("double").alias(f.name)
+                           if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+                           for f in df.schema.fields])
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
-    """Register ``fn(Dataset) -> DataFrame`` under ``name`` with its oracle body."""
+def _as_double(sql: str, cols: tuple[str, ...]) -> str:
+    if not cols:
+        return sql
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({casts}) FROM (\n{sql}\n) AS q"
+
+
+def query(name: str, sql: str | None = None, decimals: tuple[str, ...] = ()) -> Callable[[Builder], Builder]:
+    """Register ``fn(Dataset) -> DataFrame`` under ``name`` with its oracle body.
+
+    ``decimals`` names the DECIMAL output columns; the oracle presents them as
+    DOUBLE like ``Query.run`` does.
+    """
 
     def deco(fn: Builder) -> Builder:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, with_views(sql) if sql is not None else None,
-                               (fn.__doc__ or "").strip())
+        oracle = _as_double(with_views(sql), decimals) if sql is not None else None
+        REGISTRY[name] = Query(name, fn, oracle, (fn.__doc__ or "").strip())
         return fn
 
     return deco

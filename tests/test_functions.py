@@ -54,3 +54,11 @@ def test_retried_records_reenter_and_dedupe(spark):
     retry = deliveries(spark, [event("e1", "p1")]).withColumn("offset", F.lit(99).cast("bigint"))
     r = P.process(main, stored(spark, "p1"), no_claims(spark), stub(spark, "APPROVE"), retries=retry)
     assert r.claims.count() == 1 and r.duplicates.count() == 1
+
+
+def test_payment_reasons_outer_and_inner(spark):
+    from ledgerflow.operators.board import payment_reasons
+    df = spark.createDataFrame([("p1", '["a","b"]'), ("p2", None)], "payment_id string, fraud_reasons string")
+    outer = sorted((r["payment_id"], r["pos"], r["reason"]) for r in payment_reasons(df).collect())
+    assert outer == [("p1", 0, "a"), ("p1", 1, "b"), ("p2", None, None)]
+    assert payment_reasons(df, keep_empty=False).count() == 2
