@@ -20,7 +20,7 @@ FAR_FUTURE = "2200-01-01 00:00:00"   # inside the pandas timestamp range
 
 
 def stream_triage_features(spark: SparkSession, payments: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
-                           slices: int = 6, files_per_trigger: int = 2, delay: str = "10 minutes",
+                           slices: int = 4, files_per_trigger: int = 2, delay: str = "10 minutes",
                            state_partitions: int | None = None) -> DataFrame:
     """Replay ``payments`` as a time-ordered stream through the stateful fold.
 
