@@ -62,3 +62,9 @@ def test_payment_reasons_outer_and_inner(spark):
     outer = sorted((r["payment_id"], r["pos"], r["reason"]) for r in payment_reasons(df).collect())
     assert outer == [("p1", 0, "a"), ("p1", 1, "b"), ("p2", None, None)]
     assert payment_reasons(df, keep_empty=False).count() == 2
+
+
+def test_any_reason_contains_ignores_case(spark):
+    df = spark.createDataFrame([(["Velocity: 6 charges", "x"],), (["amount"],)], "r array<string>")
+    got = [row[0] for row in df.select(X.any_reason_contains(F.col("r"), "VELOCITY")).collect()]
+    assert got == [True, False]
