@@ -23,13 +23,21 @@ class Query:
     doc: str
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        """The query result as handed to the comparison: decimal columns (money,
+        """The query result as handed to the comparison. Decimal columns (money,
         risk) are presented as DOUBLE, the nearest double of the exact decimal,
-        so both engines give identical float64 values."""
+        so both engines give identical float64 values; instants are presented as
+        TIMESTAMP_NTZ, the type of the tables' own ``ts`` and of DuckDB's TIMESTAMP."""
         df = self.build(Dataset(spark, sf_dir))
-        return df.select(*[F.col(f.name).cast("double").alias(f.name)
-                           if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-                           for f in df.schema.fields])
+
+        def shown(f: T.StructField):
+            if isinstance(f.dataType, T.DecimalType):
+                return F.col(f.name).cast("double").alias(f.name)
+            if isinstance(f.dataType, T.TimestampType):
+                # the views read the naive ``ts`` in the session zone; this is its exact inverse
+                return F.col(f.name).cast("timestamp_ntz").alias(f.name)
+            return F.col(f.name)
+
+        return df.select(*[shown(f) for f in df.schema.fields])
 
 
 REGISTRY: dict[str, Query] = {}
