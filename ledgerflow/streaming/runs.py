@@ -20,27 +20,30 @@ FAR_FUTURE = "2200-01-01 00:00:00"   # inside the pandas timestamp range
 
 
 def stream_triage_features(spark: SparkSession, payments: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
-                           slices: int = 4, files_per_trigger: int = 2, delay: str = "10 minutes",
+                           slices: int = 4, files_per_trigger: int = 2, delay_seconds: int = 600,
                            state_partitions: int | None = None) -> DataFrame:
     """Replay ``payments`` as a time-ordered stream through the stateful fold.
 
     A far-future sentinel row closes the input: it moves the watermark past
     every real row, the event-time timeouts release what is still buffered, and
-    the sentinel itself stays buffered (it is never emitted). The state is
+    the sentinel itself stays buffered (it is never emitted). The watermark
+    delay is at least one slice's time span, since the files of a slice arrive
+    in no particular order among themselves. The state is
     split into ``state_partitions`` partitions (fixed by the checkpoint at the
     first start; default: the cluster's core count).
     """
     root = run_folder(spark, "stream_triage")
     cols = ["payment_id", "customer_id", "created_at", "event_id", "amount", "currency", "country"]
     data = payments.select(*cols)
-    stage_in_order(data, "created_at", f"{root}/input", slices)
+    width_us = stage_in_order(data, "created_at", f"{root}/input", slices)
     sentinel = (data.limit(1)
                 .withColumn("payment_id", F.lit("__end__")).withColumn("customer_id", F.lit("__end__"))
                 .withColumn("created_at", F.lit(FAR_FUTURE).cast("timestamp")))
     sentinel.write.mode("append").parquet(f"{root}/input")
     stream = (spark.readStream.schema(data.schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(f"{root}/input"))
-    feats = stream_activity(stream, cfg, delay)
+    delay = max(delay_seconds, width_us // 1_000_000 + 1)
+    feats = stream_activity(stream, cfg, f"{delay} seconds")
     parts = state_partitions or spark.sparkContext.defaultParallelism
     with scoped_conf(spark, **{"spark.sql.shuffle.partitions": str(parts)}):
         query = (feats.writeStream.format("parquet").option("path", f"{root}/output")

@@ -20,9 +20,11 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
-def stage_in_order(df: DataFrame, time_col: str, folder: str, slices: int) -> None:
+def stage_in_order(df: DataFrame, time_col: str, folder: str, slices: int) -> int:
     """Append ``df`` to ``folder`` as ``slices`` consecutive time slices, oldest first,
-    so the file source sees them arrive in time order.
+    so the file source sees them arrive in time order. Returns the slice width in
+    microseconds: files of one slice have no order among themselves, so an
+    event-time watermark over the replay needs at least that much delay.
 
     Slice bounds come from one min/max aggregate; every slice is a filtered
     write, so no slice passes through the driver.
@@ -32,6 +34,7 @@ def stage_in_order(df: DataFrame, time_col: str, folder: str, slices: int) -> No
     width = max(1, (hi - lo) // slices + 1)
     for i in range(slices):
         df.filter((t >= lo + i * width) & (t < lo + (i + 1) * width)).write.mode("append").parquet(folder)
+    return width
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str, starting: str = "earliest") -> DataFrame:

@@ -54,9 +54,15 @@ def _avg(units: list[int]) -> Decimal | None:
     return (Decimal(cents) / 100).quantize(Decimal("0.01"))
 
 
-def make_fold(cfg: RuleConfig):
+def make_fold(cfg: RuleConfig, idle_ttl_seconds: int | None = None):
+    """The per-customer fold. With ``idle_ttl_seconds`` a customer idle for longer
+    than that in event time is forgotten: a row arriving later starts from an
+    empty history, and state with nothing buffered is removed once the watermark
+    passes the customer's last row plus the TTL (off by default: the original
+    never forgets a customer)."""
     window_us = cfg.window_seconds * 1_000_000
     retention_us = window_us * cfg.retention_windows
+    idle_ttl_us = None if idle_ttl_seconds is None else idle_ttl_seconds * 1_000_000
     hmax = cfg.max_history
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -81,6 +87,8 @@ def make_fold(cfg: RuleConfig):
             if ht and t < ht[-1]:
                 out.append({**row, "late": True})
                 continue
+            if idle_ttl_us is not None and ht and t > ht[-1] + idle_ttl_us:
+                ht, ha, hc = [], [], []                      # idle longer than the TTL: forgotten
             previous = hc[-1] if hc else None
             avg = _avg(ha)
             ht.append(t), ha.append(int(Decimal(amt) * 10000)), hc.append(country)
@@ -95,23 +103,32 @@ def make_fold(cfg: RuleConfig):
                         "geo_distinct": len({c for c in inside if c is not None}),
                         "previous_country": previous, "avg_prior_amount": avg,
                         "history_retained": len(ht), "late": False})
-        cols = [list(c) for c in zip(*keep)] if keep else [[] for _ in _PENDING]
-        state.update((ht, ha, hc, *cols))
-        if keep:
-            state.setTimeoutTimestamp(max(r[1] for r in keep) // 1000 + 1)
+        idle_ms = None if idle_ttl_seconds is None or not ht else ht[-1] // 1000 + idle_ttl_seconds * 1000
+        if not keep and idle_ms is not None and watermark_us // 1000 >= idle_ms:
+            state.remove()                                   # idle customer: forget the history
+        else:
+            cols = [list(c) for c in zip(*keep)] if keep else [[] for _ in _PENDING]
+            state.update((ht, ha, hc, *cols))
+            if keep:
+                state.setTimeoutTimestamp(max(r[1] for r in keep) // 1000 + 1)
+            elif idle_ms is not None:
+                state.setTimeoutTimestamp(max(idle_ms, watermark_us // 1000 + 1))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
 
     return fold
 
 
-def stream_activity(stream: DataFrame, cfg: RuleConfig = DEFAULT_RULES, delay: str = "10 minutes") -> DataFrame:
+def stream_activity(stream: DataFrame, cfg: RuleConfig = DEFAULT_RULES, delay: str = "10 minutes",
+                    idle_ttl_seconds: int | None = None) -> DataFrame:
     """Activity features over a payments stream (needs ``payment_id, customer_id,
-    created_at, event_id, amount, currency, country``)."""
+    created_at, event_id, amount, currency, country``). ``idle_ttl_seconds``
+    bounds state growth by evicting idle customers (default: never)."""
     src = (stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
            .withWatermark("created_at", delay)
            .withColumn("_t", F.unix_micros("created_at"))
            .select("payment_id", "customer_id", "created_at", "_t", "event_id", "amount", "currency",
                    "country"))
     return src.groupBy("customer_id").applyInPandasWithState(
-        make_fold(cfg), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        make_fold(cfg, idle_ttl_seconds), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.EventTimeTimeout)

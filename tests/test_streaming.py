@@ -23,15 +23,16 @@ def rows(spec):
             for pid, c, s, a, country in spec]
 
 
-def run_stream(spark, files, delay="2 minutes"):
+def run_stream(spark, files, delay="2 minutes", idle_ttl_seconds=None):
     """Each element of ``files`` is one arrival (a list of rows); returns the output rows."""
     root = run_folder(spark, "t1-test")
     for i, f in enumerate(files):
-        spark.createDataFrame(rows(f), PAYMENT_COLS).write.mode("append").parquet(f"{root}/in")
+        # one file per arrival, so arrivals are read in order
+        spark.createDataFrame(rows(f), PAYMENT_COLS).coalesce(1).write.mode("append").parquet(f"{root}/in")
     schema = spark.createDataFrame([], PAYMENT_COLS).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     out = stream_activity(stream.select("payment_id", "customer_id", "created_at", "event_id", "amount",
-                                        "currency", "country"), CFG, delay)
+                                        "currency", "country"), CFG, delay, idle_ttl_seconds)
     q = (out.writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -61,3 +62,14 @@ def test_rows_behind_the_watermark_never_reach_the_fold(spark):
     assert sorted(out) == ["p1", "p2", "p4", "p9"]
     assert not any(r["late"] for r in out.values())
     assert out["p2"]["previous_country"] == "US" and out["p2"]["velocity_count"] == 1
+
+
+def test_idle_customers_are_evicted_only_when_asked(spark):
+    first = [("p1", "c", 0, "100.00", "US")]
+    later = [("p2", "c", 5000, "10.00", "GB")]          # returns after 5000 s
+    filler = [("p3", "x", 3000, "1.00", "US")]
+    keep = {r["payment_id"]: r for r in run_stream(spark, [first, filler, later, SENTINEL]).collect()}
+    assert keep["p2"]["previous_country"] == "US" and str(keep["p2"]["avg_prior_amount"]) == "100.00"
+    gone = {r["payment_id"]: r for r in run_stream(spark, [first, filler, later, SENTINEL],
+                                                   idle_ttl_seconds=600).collect()}
+    assert gone["p2"]["previous_country"] is None and gone["p2"]["avg_prior_amount"] is None
