@@ -8,7 +8,7 @@ from ..operators import process as P
 from ..operators.board import MISSING, payment_reasons, payments_board
 from ..streaming.effectively_once import run_until_done
 from ..streaming.relay import RelaySink, relay_query
-from ..streaming.staging import run_folder, stage_in_order
+from ..streaming.staging import replay_in_order, run_folder
 from .q_process import DECIDED_SQL, _run
 from .registry import query
 
@@ -48,13 +48,16 @@ def requested_stream(ds):
     """S1 + S2: the requested topic read as a stream (file source here) and decoded."""
     spark = ds.spark
     root = run_folder(spark, "requested_stream")
-    stage_in_order(ds.deliveries, "delivered_at", f"{root}/input", 4)
-    stream = spark.readStream.schema(ds.deliveries.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/input")
-    decoded = P.decode_events(stream).select("offset", "event_id", "payment_id",
-                                             F.col("decode_error").isNull().alias("decode_ok"))
-    q = (decoded.writeStream.format("parquet").option("path", f"{root}/output")
-         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+
+    def drain():
+        stream = spark.readStream.schema(ds.deliveries.schema).parquet(f"{root}/input")
+        decoded = P.decode_events(stream).select("offset", "event_id", "payment_id",
+                                                 F.col("decode_error").isNull().alias("decode_ok"))
+        q = (decoded.writeStream.format("parquet").option("path", f"{root}/output")
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    replay_in_order(ds.deliveries, "delivered_at", f"{root}/input", 4, drain)
     return spark.read.parquet(f"{root}/output")
 
 
@@ -64,12 +67,12 @@ def outbox_relay_stream(ds):
     """T5 + K6 + K7: the relay as a stream; every unpublished row is stamped exactly once."""
     spark = ds.spark
     root = run_folder(spark, "outbox_relay")
-    stage_in_order(ds.outbox, "created_at", f"{root}/input", 4)
     sink = RelaySink(spark, f"{root}/out", ds.outbox_published)
 
     def start():
-        stream = spark.readStream.schema(ds.outbox.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/input")
+        stream = spark.readStream.schema(ds.outbox.schema).parquet(f"{root}/input")
         return relay_query(stream, sink, f"{root}/checkpoint", interval=None)
 
-    run_until_done(start, partitions=spark.sparkContext.defaultParallelism)
+    replay_in_order(ds.outbox, "created_at", f"{root}/input", 4,
+                    lambda: run_until_done(start, partitions=spark.sparkContext.defaultParallelism))
     return sink.log.committed("stamps", "event_id string, topic string").select("event_id", "topic")

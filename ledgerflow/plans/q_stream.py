@@ -15,7 +15,7 @@ from ..operators import process as P
 from ..operators.rules import rule_findings, rule_only_decision
 from ..streaming.effectively_once import AcceptSink, CommitLog, ProcessingSink, run_until_done
 from ..streaming.runs import stream_triage_features
-from ..streaming.staging import run_folder, stage_in_order
+from ..streaming.staging import replay_in_order, run_folder
 from .q_ingest import VALIDATION_SQL, _PAY_ID
 from .q_process import DECIDED_SQL, PROC_SQL
 from .q_triage import _triage_sql, rules_sql
@@ -36,17 +36,16 @@ def stream_triage(ds):
 def _processing_run(ds, crash_at: int = 1, decider=None):
     spark = ds.spark
     root = run_folder(spark, "stream_processing")
-    stage_in_order(ds.deliveries, "delivered_at", f"{root}/input", 6)
     sink = ProcessingSink(spark, f"{root}/out", ds.stored_payments, ds.claimed, decider=decider,
                           crash_after_outputs=crash_at)
 
     def start():
-        stream = (spark.readStream.schema(ds.deliveries.schema).option("maxFilesPerTrigger", 2)
-                  .parquet(f"{root}/input"))
+        stream = spark.readStream.schema(ds.deliveries.schema).parquet(f"{root}/input")
         return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
                 .trigger(availableNow=True).start())
 
-    run_until_done(start, partitions=spark.sparkContext.defaultParallelism)
+    replay_in_order(ds.deliveries, "delivered_at", f"{root}/input", 4,
+                    lambda: run_until_done(start, partitions=spark.sparkContext.defaultParallelism))
     return CommitLog(spark, f"{root}/out")
 
 
@@ -86,16 +85,15 @@ def stream_accept(ds):
     """Payments created by the request stream; keys dedupe across batches via committed rows."""
     spark = ds.spark
     root = run_folder(spark, "stream_accept")
-    stage_in_order(ds.requests, "received_at", f"{root}/input", 6)
     sink = AcceptSink(spark, f"{root}/out")
 
     def start():
-        stream = (spark.readStream.schema(ds.requests.schema).option("maxFilesPerTrigger", 2)
-                  .parquet(f"{root}/input"))
+        stream = spark.readStream.schema(ds.requests.schema).parquet(f"{root}/input")
         return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
                 .trigger(availableNow=True).start())
 
-    run_until_done(start, partitions=spark.sparkContext.defaultParallelism)
+    replay_in_order(ds.requests, "received_at", f"{root}/input", 4,
+                    lambda: run_until_done(start, partitions=spark.sparkContext.defaultParallelism))
     pays = sink.log.committed("payments", "payment_id string")
     return pays.select("payment_id", "idempotency_key", "amount", "currency", "customer_id", "card_last4",
                        "country", "merchant", "status", "created_at")

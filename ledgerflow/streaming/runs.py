@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_RULES, RuleConfig
 from ..session import scoped_conf
-from .staging import run_folder, stage_in_order
+from .staging import replay_in_order, run_folder
 from .triage_state import stream_activity
 
 FAR_FUTURE = "2200-01-01 00:00:00"   # inside the pandas timestamp range
@@ -24,18 +24,19 @@ def stream_triage_features(spark: SparkSession, payments: DataFrame, cfg: RuleCo
                            state_partitions: int | None = None) -> DataFrame:
     """Replay ``payments`` as a time-ordered stream through the stateful fold.
 
-    A far-future sentinel row closes the input: it moves the watermark past
-    every real row, the event-time timeouts release what is still buffered, and
-    the sentinel itself stays buffered (it is never emitted). The watermark
-    delay is at least one slice's time span, since the files of a slice arrive
-    in no particular order among themselves. The state is
-    split into ``state_partitions`` partitions (fixed by the checkpoint at the
-    first start; default: the cluster's core count).
+    Slices are appended oldest first, so their files arrive in time order; the
+    files of one slice have no order among themselves, so the watermark delay
+    is at least one slice's time span (no row of a slice can fall behind the
+    watermark). A far-future sentinel row closes the input: it moves the
+    watermark past every real row, the event-time timeouts release what is
+    still buffered, and the sentinel itself stays buffered (it is never
+    emitted). The state is split into ``state_partitions`` partitions (fixed by
+    the checkpoint at the first start; default: the cluster's core count).
     """
     root = run_folder(spark, "stream_triage")
     cols = ["payment_id", "customer_id", "created_at", "event_id", "amount", "currency", "country"]
     data = payments.select(*cols)
-    width_us = stage_in_order(data, "created_at", f"{root}/input", slices)
+    width_us = replay_in_order(data, "created_at", f"{root}/input", slices)
     sentinel = (data.limit(1)
                 .withColumn("payment_id", F.lit("__end__")).withColumn("customer_id", F.lit("__end__"))
                 .withColumn("created_at", F.lit(FAR_FUTURE).cast("timestamp")))

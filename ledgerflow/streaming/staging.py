@@ -8,6 +8,7 @@ file source picks up in arrival order.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,20 +21,24 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
-def stage_in_order(df: DataFrame, time_col: str, folder: str, slices: int) -> int:
-    """Append ``df`` to ``folder`` as ``slices`` consecutive time slices, oldest first,
-    so the file source sees them arrive in time order. Returns the slice width in
-    microseconds: files of one slice have no order among themselves, so an
-    event-time watermark over the replay needs at least that much delay.
+def replay_in_order(df: DataFrame, time_col: str, folder: str, slices: int,
+                    drain: Callable[[], object] | None = None) -> int:
+    """Append ``df`` to ``folder`` as ``slices`` consecutive time slices, oldest first.
 
-    Slice bounds come from one min/max aggregate; every slice is a filtered
-    write, so no slice passes through the driver.
+    With ``drain`` (a function that runs the stream with ``availableNow`` from
+    its checkpoint), the stream is drained after every slice, so a micro-batch
+    never mixes slices and rows are seen in slice order however many files a
+    slice is written as; every drain after the first is a restart. Returns the
+    slice width in microseconds. Slice bounds come from one min/max aggregate;
+    every slice is a filtered write, so no slice passes through the driver.
     """
     t = F.unix_micros(F.col(time_col).cast("timestamp"))
     lo, hi = df.agg(F.min(t), F.max(t)).first()
     width = max(1, (hi - lo) // slices + 1)
     for i in range(slices):
         df.filter((t >= lo + i * width) & (t < lo + (i + 1) * width)).write.mode("append").parquet(folder)
+        if drain is not None:
+            drain()
     return width
 
 
