@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 from ..functions.scalars import join_text
 from ..operators import ingest as I
 from ..sources.intake import intake_bodies, parse_intake

@@ -3,8 +3,6 @@
 from datetime import datetime, timedelta
 from decimal import Decimal
 
-from ledgerflow import schemas as S
-
 T0 = datetime(2026, 1, 1, 0, 0, 0)
 PAYMENT_COLS = ("payment_id string, event_id bigint, created_at timestamp, customer_id string, "
                 "amount decimal(19,4), currency string, card_last4 string, country string, merchant string")

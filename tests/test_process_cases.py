@@ -4,7 +4,6 @@ import json
 from datetime import timedelta
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from ledgerflow import schemas as S
 from ledgerflow.operators import process as P
