@@ -36,9 +36,13 @@ def run_stream(spark, files, delay="2 minutes", idle_ttl_seconds=None):
     q = (out.writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
+    LAST_QUERY[0] = q
     return spark.read.parquet(f"{root}/out")
 
 
+LAST_QUERY = [None]
+
+
 SENTINEL = [("p999", "zz", 10 ** 7, "1.00", "US")]
 
 
@@ -60,6 +64,9 @@ def test_rows_behind_the_watermark_never_reach_the_fold(spark):
     out = {r["payment_id"]: r for r in run_stream(spark, [first, [("p9", "x", 1500, "1.00", "US")], late,
                                                           SENTINEL]).collect()}
     assert sorted(out) == ["p1", "p2", "p4", "p9"]
+    from ledgerflow.streaming.monitor import rows_dropped_by_watermark, rows_processed
+    assert rows_dropped_by_watermark(LAST_QUERY[0]) == 1          # p3
+    assert rows_processed(LAST_QUERY[0]) == 6
     assert not any(r["late"] for r in out.values())
     assert out["p2"]["previous_country"] == "US" and out["p2"]["velocity_count"] == 1
 
