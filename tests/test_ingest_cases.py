@@ -113,3 +113,18 @@ def test_existing_key_inside_ttl_is_a_cache_hit(spark):
     # creation at -5 h cached until 19 h; request at 30 h re-reads the table (re-cached until 54 h)
     assert got == {1: ("idempotent_redis", "old-c", "RECEIVED"), 2: ("idempotent_redis", "old-c", "RECEIVED"),
                    3: ("idempotent_db", "old-c", "BLOCKED")}
+
+
+def test_malformed_bodies_are_kept_and_rejected(spark):
+    from ledgerflow.sources.intake import parse_intake
+
+    landing = spark.createDataFrame(
+        [(1, "k1", '{"amount": "12.5", "currency": "USD", "customerId": "c"}', T0),
+         (2, "k2", "{bad", T0), (3, "k3", '{"amount": "abc", "currency": "USD", "customerId": "c"}', T0)],
+        "request_id bigint, idempotency_key string, body string, received_at timestamp")
+    parsed = {r["request_id"]: r for r in parse_intake(landing).collect()}
+    assert parsed[1]["amount"] == Decimal("12.5000") and parsed[1]["_corrupt_record"] is None
+    assert parsed[2]["_corrupt_record"] == "{bad" and parsed[2]["amount"] is None
+    assert parsed[3]["_corrupt_record"] is not None
+    checked = {r["request_id"]: r["valid"] for r in I.validate_requests(parse_intake(landing)).collect()}
+    assert checked == {1: True, 2: False, 3: False}
