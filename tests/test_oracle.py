@@ -2,12 +2,13 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from ledgerflow.plans.catalog import REGISTRY
 from ledgerflow.plans.oracle import compare, duckdb_connection
 
 from conftest import SF_SMALL
 
-SQL = oracle_sql()
+SQL = {name: q.sql for name, q in REGISTRY.items() if q.sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +16,9 @@ def con():
     return duckdb_connection(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_oracle(spark, con, name):
-    df = queries()[name](spark, SF_SMALL)
+    df = REGISTRY[name].run(spark, SF_SMALL)
     if name not in SQL:
         assert df.count() >= 0
         return
@@ -26,7 +27,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle_sql():
-    assert set(SQL) == set(queries())
+    assert set(SQL) == set(REGISTRY)
 
 
 def test_entry_smoke(spark):
