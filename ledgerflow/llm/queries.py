@@ -39,3 +39,141 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
     return both.select("doc_id", packed_length().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+OP6_SQL = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+urls AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts),
+judged AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule
+  FROM urls)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+
+@query("op6_url_filter", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(concat_ws('|', '0', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 6)
+              AS BIGINT) AS cell
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, 2 * CAST(sum(size) AS DOUBLE) AS cap,
+         CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight
+  FROM docs GROUP BY source),
+nth AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k FROM sources),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM nth),
+lev AS (SELECT level FROM levels WHERE cap >= weight * level ORDER BY k LIMIT 1),
+goals AS (
+  SELECT source, source_size, CASE WHEN cap < weight * level THEN cap ELSE weight * level END AS target
+  FROM sources, lev),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+         target - (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END) * source_size AS rest
+  FROM goals),
+cells AS (SELECT source, cell, sum(size) AS n FROM docs GROUP BY source, cell),
+sums AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY cell) AS upto FROM cells),
+once AS (
+  SELECT s.source, max(s.cell) AS last FROM sums s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+  WHERE rest > 0 AND (upto <= rest OR (upto - n < rest AND upto - rest < rest - upto + n)) GROUP BY s.source)
+SELECT d.doc_id, d.size, CAST(p.source_size AS BIGINT) AS source_size, p.target,
+       CAST(p.whole AS BIGINT) + CASE WHEN d.cell <= o.last THEN 1 ELSE 0 END AS copies,
+       d.size * (CAST(p.whole AS BIGINT) + CASE WHEN d.cell <= o.last THEN 1 ELSE 0 END) AS taken
+FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+LEFT JOIN once o ON d.source IS NOT DISTINCT FROM o.source
+"""
+
+
+@query("op7_source_mix", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))[0]
+
+
+OP8_SQL = """
+WITH sums AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+                     sha1(coalesce(html, '')) AS sha FROM pages),
+typed AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS last FROM sums)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+         ((CAST('0x' || substr(sha, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN NULL ELSE last END AS refers_to
+FROM typed
+"""
+
+
+@query("op8_warc_zip", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
+@query("op9_simhash_groups")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op2_nearest_vectors")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import joined, learn_from_text, of_kind, scan
+
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, learn_from_text(docs))
+    return found.select("doc_id", *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "random")],
+                        F.sha2(joined(of_kind("assign", "access", "hex")), 256).alias("base_sha256"),
+                        joined("spans").alias("spans"))
+
+
+@query("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import removed_lines, without_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = without_lines(docs, removed_lines(docs), told="lines")
+    return clean.select("doc_id", "lines.n_lines", "lines.n_removed", "lines.kept_in", "text")
