@@ -138,8 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     if cut_points is None or any(cut_points[f"{SIGNALS[0]}_{bad}"] is None for bad in (True, False)):
         return DecisionList()
     cuts = {s: sorted({float(x) for bad in (True, False) for x in cut_points[f"{s}_{bad}"]}) for s in SIGNALS}
-    binned = [F.struct(F.lit(k).alias("k"), F.size(F.filter(F.array(*map(F.lit, cuts[s])), lambda c, s=s: F.col(s) > c)).alias("bin"))
-              for k, s in enumerate(SIGNALS)]
+    binned = [F.struct(F.lit(k).alias("k"), bin_of(s, cuts[s]).alias("bin")) for k, s in enumerate(SIGNALS)]
     rows = stages.table(rows.withColumn("binned", F.array(*binned)), "binned")
     left, rules = F.lit(True), []
     while len(rules) < max_rules:
@@ -154,6 +153,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return DecisionList(tuple(rules))
 
 
+def bin_of(signal: str, cuts: list[float]) -> Column:
+    """Number of cut points below the signal."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(signal) > c))
+
+
 def grow(rows: DataFrame, cuts: dict[str, list[float]], max_literals: int) -> tuple[Literal, ...]:
     """The conjunction that adds, each time, the literal of the highest information gain."""
     rule: list[Literal] = []
