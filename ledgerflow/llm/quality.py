@@ -38,48 +38,47 @@ def without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
-def repeated_words(words: Column) -> Column:
-    """Words in windows of three that stand twice or more in ``words``."""
-    last = F.size(words) - 3
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
-        F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("at")))
-    return F.when(last < 1, F.array().cast("array<struct<h:bigint,at:int>>")).otherwise(F.sort_array(grams))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def twice(grams: Column) -> Column:
-    """Positions, in order, of the windows that stand twice or more."""
-    same = lambda g, i: F.coalesce(g["h"] == F.get(grams, i)["h"], F.lit(False))
-    found = F.filter(grams, lambda g, i: same(g, i - 1) | same(g, i + 1))
-    return F.sort_array(F.transform(found, lambda g: g["at"]))
+def repeated_words(words: Column) -> Column:
+    """Number of words in windows of three that stand twice or more in ``words``."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(
+        F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("at")))
+    same = lambda g, h, i: F.coalesce(g["h"] == F.get(h, i)["h"], F.lit(False))
+    twice = lambda grams: F.filter(grams, lambda g, i: same(g, grams, i - 1) | same(g, grams, i + 1))
+    starts = F.sort_array(F.transform(let(F.sort_array(grams), twice), lambda g: g["at"]))
+    covered = F.aggregate(starts, F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n")),
+                          lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(F.lit(3), p - a["at"])).alias("n")),
+                          lambda a: a["n"])
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(covered)
 
 
 def signals(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """Columns ``keep`` with the counts of :data:`COUNTS` and the signals of :data:`SIGNALS`
-    of each row. Every project computes what the next one uses more than once."""
-    df = df.select(*keep, text, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
-                   F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
-    df = df.select(*keep, text, F.size("words").cast("long").alias("n_words"),
-                   F.char_length(without(F.col(text), BLANKS)).cast("long").alias("word_chars"),
-                   (F.char_length(text) - F.char_length(without(F.col(text), SYMBOLS))).cast("long").alias("n_symbols"),
-                   F.size("lines").alias("n_lines"),
-                   (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-                   F.size(F.array_distinct("words")).alias("n_distinct"),
-                   F.regexp_count(text, F.lit(r"\p{Lu}")).alias("n_capitals"),
-                   (F.char_length(text) - F.char_length(without(F.col(text), "!"))).alias("n_shouts"),
-                   (F.char_length(text) - F.char_length(without(F.col(text), "0123456789"))).alias("n_digits"),
-                   repeated_words(F.col("words")).alias("grams"))
-    rest = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_distinct", "n_capitals", "n_shouts", "n_digits"]
-    df = df.select(*keep, *rest, twice(F.col("grams")).alias("twice"))
-    covered = F.aggregate("twice", F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n")),
-                          lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(F.lit(3), p - a["at"])).alias("n")),
-                          lambda a: a["n"])
-    df = df.select(*keep, *rest, covered.alias("n_repeat_words"))
+    """Columns ``keep`` with the counts of :data:`COUNTS`, the signals of :data:`SIGNALS` and
+    ``mark`` of each row. ``mark`` is never negative; a condition that uses it stays above
+    the expressions here, so that they are not evaluated again in a pushed-down filter."""
+    text = F.col(text)
+    of_words = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).alias("n_distinct"),
+        repeated_words(w).alias("n_repeat_words")))
+    of_lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lambda x: F.struct(
+        F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    taken = lambda chars: (F.char_length(text) - F.char_length(without(text, chars))).cast("long")
+    df = df.select(*keep, of_words.alias("of_words"), of_lines.alias("of_lines"),
+                   F.char_length(without(text, BLANKS)).cast("long").alias("word_chars"),
+                   taken(SYMBOLS).alias("n_symbols"), F.regexp_count(text, F.lit(r"\p{Lu}")).alias("n_capitals"),
+                   taken("!").alias("n_shouts"), taken("0123456789").alias("n_digits"),
+                   F.monotonically_increasing_id().alias("mark"))
+    df = df.select(*keep, "of_words.*", "of_lines.*", "word_chars", "n_symbols", "n_capitals", "n_shouts", "n_digits", "mark")
     part = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     return df.select(*keep, *COUNTS, part("word_chars", "n_words").alias("word_length"),
                      part("n_symbols", "n_words").alias("symbols"), part("n_dup_lines", "n_lines").alias("dup_lines"),
                      part("n_repeat_words", "n_words").alias("repeats"), part("n_distinct", "n_words").alias("distinct"),
                      part("n_capitals", "word_chars").alias("capitals"), part("n_shouts", "n_words").alias("shouts"),
-                     part("n_digits", "word_chars").alias("digits"))
+                     part("n_digits", "word_chars").alias("digits"), "mark")
 
 
 @dataclass(frozen=True)
@@ -210,14 +209,12 @@ def judge(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col
     """``id``, the counts, ``base_failed`` and ``kept`` of every row."""
     rows = signals(id_text(docs, id_col, text_col), "id")
     return rows.select(F.col("id").alias(id_col), *COUNTS, base_failed().alias("base_failed"),
-                       (~base_failed() & rules.kept()).alias("kept"))
+                       (~base_failed() & rules.kept() & (F.col("mark") >= 0)).alias("kept"))
 
 
 def keep(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the base rules and the list keep, with their own columns."""
     rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"),
                        F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
-    kept = F.when(~base_failed() & rules.kept(), F.array("row"))
-    # a generator, so that the signals are computed once and not again inside a pushed-down filter
-    return signals(rows, "row").select(F.explode(kept).alias("row")).select(
-        *[F.col("row").getField(c).alias(c) for c in docs.columns])
+    kept = signals(rows, "row").where(~base_failed() & rules.kept() & (F.col("mark") >= 0))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
