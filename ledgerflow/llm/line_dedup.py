@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD, Stages, named
 from .components import components
@@ -43,6 +44,9 @@ NODE_SEED = 42                       # Spark's xxhash64 of a string has this see
 #: Characters whose shingles are hashed at a time.
 CHUNK = 1 << 21
 
+TOLD = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()),
+                     T.StructField("kept_in", T.ArrayType(T.LongType()))])
+
 _rnd = np.random.default_rng(20)
 MULTIPLIERS = _rnd.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 # where an empty bin looks for a filled one: first at random, then round about
@@ -267,7 +271,7 @@ def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", tex
     joined = df.join(gone, named(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
     text_at, schema = df.columns.index(text_col), df.schema
     if told:
-        schema = schema.add(told, "struct<n_lines:bigint,n_removed:bigint,kept_in:array<bigint>>")
+        schema = T.StructType([*schema, T.StructField(told, TOLD)])
     told_type = pa.struct([("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
 
     def rebuild(batches):

@@ -35,6 +35,8 @@ PART_ROWS = 4_096
 LEAST = 64
 #: Neighbours of a vector in the graph.
 DEGREE = 10
+#: Cells are searched in this many tasks at most; a task then has several.
+MAX_TASKS = 50_000
 #: Recall wanted on held-out queries of the sample.
 RECALL = 0.96
 
@@ -220,7 +222,7 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "ve
     stored = sized.where("not asks").select("part", "id", "v", "asks", block("homes").alias("i"), each("askers").alias("j"))
     asking = sized.where("asks").select("part", "id", "v", "asks", each("homes").alias("i"), block("askers").alias("j"))
 
-    def search(key, cell: pa.Table) -> pa.Table:
+    def search(key, cell):
         cell = cell.combine_chunks()
         asks = cell.column("asks").to_numpy()
         ids = cell.column("id").to_numpy()
@@ -233,7 +235,10 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "ve
                          "near": pa.array([[{"far": -s, "vec_id": i} for i, s in zip(a.tolist(), b.tolist())]
                                            for _, a, b in found], NEAR)})
 
-    found = stored.unionAll(asking.select(*stored.columns)).groupBy("part", "i", "j").applyInArrow(
+    # by cells, not by bytes: a cell is few bytes and much work
+    n_cells = full.agg(F.sum(F.col("homes") * F.col("askers"))).first()[0] or 1
+    cells = stored.unionAll(asking.select(*stored.columns)).repartition(min(int(n_cells), MAX_TASKS), "part", "i", "j")
+    found = cells.groupBy("part", "i", "j").applyInArrow(
         search, "query_id long, near array<struct<far:double,vec_id:long>>")
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return best.select("query_id", F.posexplode("near").alias("at", "n")).select(

@@ -35,6 +35,8 @@ SAMPLE = 32_768
 SHARD = 8_192
 #: Sample points a leaf must have at least.
 LEAST = 16
+#: Cells are compared in this many tasks at most; a task then has several.
+MAX_TASKS = 50_000
 SHINGLE_CHUNK = 65_536
 
 
@@ -196,7 +198,7 @@ def near_links(points: DataFrame, reach: int, stages: Stages) -> DataFrame:
     ask = asking.select("shard", "fp", "asks", other.alias("mine"), upto("homes")).select(
         "shard", "fp", "asks", *cell(True, x, mine, F.lit(0)))
 
-    def link(key, part: pa.Table) -> pa.Table:
+    def link(key, part):
         fp = part.column("fp").to_numpy().view("u8")
         if part.column("ask_cell")[0].as_py():
             asks = part.column("asks").to_numpy()
@@ -206,8 +208,11 @@ def near_links(points: DataFrame, reach: int, stages: Stages) -> DataFrame:
             a, b = near_pairs(fp[side == 0], fp[side == 1] if side.any() else None, reach)
         return pa.table({"a": a.view("i8"), "b": b.view("i8")})
 
-    cells = within.unionAll(asked).unionAll(ask)
-    return stages.table(cells.groupBy("shard", "ask_cell", "i", "j").applyInArrow(link, "a long, b long"), "pairs")
+    key = ["shard", "ask_cell", "i", "j"]
+    # by cells, not by bytes: a cell is few bytes and much work
+    n_cells = full.agg(F.sum(F.col("homes") * (F.col("homes") + 1) / 2 + F.col("homes") * F.col("askers"))).first()[0] or 1
+    cells = within.unionAll(asked).unionAll(ask).repartition(min(int(n_cells), MAX_TASKS), *key)
+    return stages.table(cells.groupBy(*key).applyInArrow(link, "a long, b long"), "pairs")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 3, reach: int = 3, seed: int = 42, id_col: str = "doc_id",

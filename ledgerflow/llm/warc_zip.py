@@ -38,6 +38,8 @@ from .common import Stages, named
 
 #: A package is closed when its archive has this many bytes.
 PACKAGE_BYTES = 32 << 20
+#: Packages are read in this many tasks at most; a task then reads several.
+MAX_TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 RECORD_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -289,7 +291,9 @@ def read_packages(packages: DataFrame, path_col: str = "path") -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return packages.select(path_col).repartition(path_col).mapInArrow(run, RECORDS)
+    # as many tasks as packages (to a point): the paths are too few bytes to tell how much there is to read
+    tasks = max(1, min(packages.count(), MAX_TASKS))
+    return packages.select(path_col).repartition(tasks, path_col).mapInArrow(run, RECORDS)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
