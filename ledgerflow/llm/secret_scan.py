@@ -49,6 +49,8 @@ CODE[list(ALPHABET.encode())] = np.arange(1, STATES)
 #: A run is judged from this size on.
 RUN_SIZE = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{RUN_SIZE},}}")
+#: Characters a random run has at least; rulers and fillers have fewer.
+DISTINCT = 6
 #: Natural log of how much likelier a run must be as a random string (odds of one in e^-14 among runs).
 LEAST_RATIO = 14.0
 #: Part of the random model that is uniform, so that alphabets which the samples lack count too.
@@ -104,7 +106,7 @@ class Models:
         found = pattern_spans(text)
         out = [(a, b, kind) for a, b, kind, _ in found]
         for m in RUN.finditer(text):
-            if self.score(m.group()) >= LEAST_RATIO and not any(a < m.end() and m.start() < b for a, b, _, _ in found):
+            if len(set(m.group())) >= DISTINCT and self.score(m.group()) >= LEAST_RATIO and not any(a < m.end() and m.start() < b for a, b, _, _ in found):
                 out.append((m.start(), m.end(), 3))
         return sorted(out, key=lambda s: (s[0], s[2]))
 

@@ -21,6 +21,8 @@ def brute(rows):
     """Removed (doc, line) of rows (doc, text) with distinct ids."""
     lines = [(d, n, x) for d, t in sorted(r for r in rows if r[0] is not None and r[1]) for n, x in enumerate(t.split("\n")) if x.split()]
     up = list(range(len(lines)))
+    sets = [{x[i:i + 5] for i in range(max(1, len(x) - 4))} for _, _, x in lines]
+    alike = lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)
 
     def find(i):
         while up[i] != i:
@@ -29,7 +31,7 @@ def brute(rows):
 
     for i in range(len(lines)):
         for j in range(i):
-            if find(i) != find(j) and similar(lines[i][2], lines[j][2]):
+            if alike(sets[i], sets[j]) and find(i) != find(j):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
     return {(lines[i][0], lines[i][1]): lines[find(i)][:2] for i in range(len(lines)) if find(i) != i}
