@@ -31,8 +31,11 @@ from .components import components
 
 #: Points of the sample from which the tree is built, at most.
 SAMPLE = 32_768
-#: Points stored in a shard, about; a fuller one is worked off in blocks of this size.
-SHARD = 8_192
+#: Points stored in a shard, about. Larger shards compare more, smaller ones are asked by more
+#: points of other shards (each level of the tree sends about a quarter of its points across).
+SHARD = 32_768
+#: A shard with more points than this is worked off in blocks of this size.
+BLOCK = 65_536
 #: Sample points a leaf must have at least.
 LEAST = 16
 #: Cells are compared in this many tasks at most; a task then has several.
@@ -154,7 +157,7 @@ def near_pairs(stored: np.ndarray, asking: np.ndarray | None, reach: int) -> tup
     label = np.arange(len(points))
     at, shift = 0, 0 if own else len(stored)
     while at < len(q):
-        end = min(at + 256, len(q))
+        end = min(at + 128, len(q))
         lo = np.searchsorted(ds, dq[at] - reach)
         hi = np.searchsorted(ds, dq[end - 1] + reach, "right")
         i, j = np.nonzero(np.bitwise_count(q[at:end, None] ^ s[None, lo:hi]) <= reach)
@@ -181,7 +184,7 @@ def near_links(points: DataFrame, reach: int, stages: Stages) -> DataFrame:
 
     dealt = stages.table(points.mapInArrow(deal, "fp long, shard long, asks boolean"), "dealt")
     # a full shard is worked off in blocks: a row a shard, no more than the sample has points
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / SHARD)).cast("int")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
     full = dealt.groupBy("shard").agg(blocks(F.count_if(~F.col("asks"))).alias("homes"),
                                       blocks(F.count_if("asks") / 4).alias("askers"))
     rows = dealt.join(F.broadcast(full), "shard")

@@ -81,6 +81,7 @@ def test_repeated_rows_and_null_ids(spark):
 @pytest.mark.parametrize("shard", [64, 500])
 def test_links_are_exact_with_many_shards_and_blocks(spark, monkeypatch, shard):
     monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "BLOCK", shard)
     rnd = np.random.default_rng(8)
     seeds = rnd.integers(0, 1 << 63, 500, dtype=np.uint64)
     points = set(seeds.tolist())
