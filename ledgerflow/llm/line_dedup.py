@@ -185,12 +185,49 @@ def shingle_set(line: str) -> set[str]:
     return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def similar(a: set[str], b: set[str]) -> bool:
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if len(small) < SIMILAR * len(large):
-        return False
-    both = len(small & large)
-    return both >= SIMILAR * (len(a) + len(b) - both)
+def shingle_codes(line: str) -> np.ndarray | None:
+    """The shingle set as sorted numbers of twelve bits a character; None if a character has more."""
+    codes = np.frombuffer((line + "\0" * (SHINGLE - len(line))).encode("utf-32-le", "surrogatepass"), "<u4")
+    if codes.max() >= 1 << 12:
+        return None
+    codes = codes.astype(np.uint64)
+    n = len(codes) - SHINGLE + 1
+    packed = codes[:n].copy()
+    for k in range(1, SHINGLE):
+        packed = packed << np.uint64(12) | codes[k:k + n]
+    packed.sort()
+    return packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+
+
+def enough(both: int, a: int, b: int) -> bool:
+    return both >= SIMILAR * (a + b - both)
+
+
+class Comparer:
+    """Exact similarity of pairs of lines; remembers a bounded amount of shingle sets."""
+
+    def __init__(self, room: int = 4_000_000):
+        self.known, self.room, self.used = {}, room, 0
+
+    def codes(self, node: int, line: str) -> np.ndarray | None:
+        if node not in self.known:
+            if self.used > self.room:
+                self.known, self.used = {}, 0
+            self.known[node] = shingle_codes(line)
+            self.used += len(line)
+        return self.known[node]
+
+    def similar(self, a: int, b: int, x: str, y: str) -> bool:
+        p, q = self.codes(a, x), self.codes(b, y)
+        if p is None or q is None:
+            p, q = shingle_set(x), shingle_set(y)
+            return enough(len(p & q), len(p), len(q))
+        small, large = (p, q) if len(p) <= len(q) else (q, p)
+        if len(small) < SIMILAR * len(large):
+            return False
+        at = np.searchsorted(large, small)
+        at[at == len(large)] = 0
+        return enough(int(np.count_nonzero(large[at] == small)), len(p), len(q))
 
 
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,14 +237,9 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = pairs.join(one, "a").join(other, "b").select("a", "b", "line_a", "line_b")
 
     def check(batches):
-        last, sets = None, {}
+        similar = Comparer().similar
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                if b != last:                             # rows come sorted by b, as the join leaves them
-                    last, sets = b, shingle_set(y)
-                if similar(shingle_set(x), sets):
-                    out.append((a, b))
+            out = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)) if similar(a, b, x, y)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()),
                                               pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
@@ -233,10 +265,16 @@ def line_links(docs: DataFrame, lines: DataFrame, stages: Stages) -> DataFrame:
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     across = across.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = stages.table(checked(across, texts), "across")
-    stages.drop("members", "texts", "placed")
+    stages.drop("members", "texts")
     if more.isEmpty():
         return roots
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), stages, "second")
+    # the links found across components join whole components: only their roots take part
+    of = placed.select(F.col("node").alias("a"), F.col("root").alias("x")).distinct()
+    joins = more.join(of, "a").join(of.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+    merged = components(joins.select(F.col("x").alias("a"), F.col("y").alias("b")), stages, "second")
+    moved = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return (roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+            .unionAll(merged))
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -133,3 +133,13 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert L.removed_lines(none).count() == 0
     assert L.without_lines(none, L.removed_lines(none)).count() == 0
+
+
+def test_comparer_equals_sets():
+    rnd = random.Random(8)
+    lines = ["".join(rnd.choices("abcé" + ("漢🙂" if i % 3 == 0 else ""), k=rnd.randint(1, 40))) for i in range(60)] + ["a", "ab", "abcde"]
+    for room in (10, 10 ** 6):
+        compare = L.Comparer(room)
+        for i, x in enumerate(lines):
+            for j, y in enumerate(lines):
+                assert compare.similar(i, j, x, y) == similar(x, y)
