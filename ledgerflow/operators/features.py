@@ -43,12 +43,14 @@ FEATURE_COLUMNS = ("velocity_count", "geo_distinct", "previous_country",
                    "avg_prior_amount", "history_retained")
 
 _MICROS = 1_000_000
+# 1e-4 units of any DECIMAL(19,4) amount, and the sum of a frame of them
+UNITS, SUM = "decimal(20,0)", "decimal(26,0)"
 
 
 def _prepare(df: DataFrame, tiebreak: str) -> DataFrame:
     return (df
             .withColumn("_t", F.unix_micros(F.col("created_at").cast("timestamp")))
-            .withColumn("_a", (F.col("amount") * 10000).cast("bigint")))
+            .withColumn("_a", (F.col("amount") * 10000).cast(UNITS)))
 
 
 def _feature_columns(h: Column, prev_t: Column, t: Column, cfg: RuleConfig) -> dict[str, Column]:
@@ -62,7 +64,7 @@ def _feature_columns(h: Column, prev_t: Column, t: Column, cfg: RuleConfig) -> d
     kept = F.filter(last, lambda x: x["t"] >= t - retention_us)
     prior = F.filter(F.slice(h, 1, n - 1), lambda x: x["t"] >= prev_t - retention_us)
     prior_n = F.size(prior).cast("bigint")
-    prior_sum = F.aggregate(prior, F.lit(0).cast("bigint"), lambda acc, x: acc + x["a"])
+    prior_sum = F.aggregate(prior, F.lit(0).cast(SUM), lambda acc, x: (acc + x["a"]).cast(SUM))
     return {
         "_pn": prior_n,
         "_ps": prior_sum,

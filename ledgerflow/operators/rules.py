@@ -2,8 +2,9 @@
 
 Each rule yields a severity (0 APPROVE, 1 ESCALATE, 2 BLOCK), a risk and an
 optional signal text. Within a rule the branches are an ``else if`` chain;
-across rules severity and risk fold with ``greatest``. Everything stays inside
-whole-stage codegen: no Python on the row path.
+across rules severity and risk fold with ``greatest``. Built-in expressions only,
+no Python on the row path; the signal list is a higher-order function, which
+Spark interprets.
 """
 
 from __future__ import annotations
@@ -27,24 +28,24 @@ def _rule(branches: list[tuple[Column, int, float, Column]], prefix: str) -> dic
     return {f"{prefix}_severity": sev, f"{prefix}_risk": risk, f"{prefix}_signal": sig}
 
 
-def velocity_rule(count: Column) -> dict[str, Column]:
+def velocity_rule(count: Column, window_seconds: int = 60) -> dict[str, Column]:
     """Many charges for one customer inside the window."""
     c = count.cast("string")
     return _rule([
         (count >= S.VELOCITY_BLOCK, 2, S.RISK_VELOCITY_BLOCK,
-         F.concat(F.lit("velocity: "), c, F.lit(" charges in 60s for this customer (card-testing pattern)"))),
+         F.concat(F.lit("velocity: "), c, F.lit(f" charges in {window_seconds}s for this customer (card-testing pattern)"))),
         (count >= S.VELOCITY_ESCALATE, 1, S.RISK_VELOCITY_ESCALATE,
-         F.concat(F.lit("velocity: "), c, F.lit(" charges in 60s (elevated)"))),
+         F.concat(F.lit("velocity: "), c, F.lit(f" charges in {window_seconds}s (elevated)"))),
     ], "velocity")
 
 
-def geo_rule(distinct: Column, previous: Column, country: Column) -> dict[str, Column]:
+def geo_rule(distinct: Column, previous: Column, country: Column, window_seconds: int = 60) -> dict[str, Column]:
     """R2: several countries inside the window, else a country change (ignoring case)."""
     changed = previous.isNotNull() & country.isNotNull() & (F.lower(previous) != F.lower(country))
     return _rule([
         (distinct >= 2, 2, S.RISK_GEO_BLOCK,
          F.concat(F.lit("geo-velocity: charges from "), distinct.cast("string"),
-                  F.lit(" countries within 60s (impossible travel)"))),
+                  F.lit(f" countries within {window_seconds}s (impossible travel)"))),
         (changed, 1, S.RISK_GEO_ESCALATE,
          F.concat(F.lit("geo-mismatch: country changed from "), previous, F.lit(" to "), country)),
     ], "geo")
@@ -66,15 +67,15 @@ def amount_rule(amount: Column, currency: Column, avg_prior: Column) -> dict[str
     ], "amount")
 
 
-def rule_findings(df: DataFrame) -> DataFrame:
+def rule_findings(df: DataFrame, cfg: S.RuleConfig = S.DEFAULT_RULES) -> DataFrame:
     """R1-R6 on a frame that carries the activity features.
 
     Adds per-rule ``{velocity,geo,amount}_{severity,risk,signal}`` and the folds
     ``recommended`` (name), ``severity`` (0..2), ``rule_risk`` and ``signals``.
     """
     cols: dict[str, Column] = {}
-    cols.update(velocity_rule(F.col("velocity_count")))
-    cols.update(geo_rule(F.col("geo_distinct"), F.col("previous_country"), F.col("country")))
+    cols.update(velocity_rule(F.col("velocity_count"), cfg.window_seconds))
+    cols.update(geo_rule(F.col("geo_distinct"), F.col("previous_country"), F.col("country"), cfg.window_seconds))
     cols.update(amount_rule(F.col("amount"), F.col("currency"), F.col("avg_prior_amount")))
     out = df.withColumns(cols)
     signals = F.array_compact(F.array("velocity_signal", "geo_signal", "amount_signal"))

@@ -30,4 +30,4 @@ def evaluation_input(events: DataFrame) -> DataFrame:
 def triage(payments: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
            reasoner: Reasoner = rule_only_decision, tiebreak: str = "event_id") -> DataFrame:
     """Decision, risk and reasons for every payment, in one shuffle by customer."""
-    return reasoner(rule_findings(activity_snapshot(payments, cfg, tiebreak)))
+    return reasoner(rule_findings(activity_snapshot(payments, cfg, tiebreak), cfg))

@@ -41,7 +41,7 @@ requests AS (
          event_type AS merchant
   FROM base),
 deliveries AS (
-  SELECT p.*, d.d AS delivery, event_id % 4 AS partition, event_id * 3 + d.d - 1 AS "offset",
+  SELECT p.*, d.d AS delivery, event_id % 4 AS partition, (event_id // 4) * 3 + d.d - 1 AS "offset",
          'e' || event_id AS ev_id, event_id % 61 = 0 AS bad_payload,
          p.created_at + to_seconds(d.d - 1) AS delivered_at
   FROM payments p, (SELECT unnest([1, 2, 3]) AS d) d
@@ -62,7 +62,11 @@ http_log AS (
 outbox AS (
   SELECT event_id + 1 AS id, 'payment' AS aggregate_type, payment_id AS aggregate_id,
          'e' || event_id AS event_id, 'PaymentRequested' AS event_type, 'payments.requested' AS topic,
-         payment_id AS message_key, customer_id, created_at
+         payment_id AS message_key, customer_id, created_at,
+         '{"eventId":"e' || event_id || '","paymentId":"' || payment_id || '","idempotencyKey":"key-' || event_id
+           || '","amount":' || CAST(amount AS VARCHAR) || ',"currency":"' || currency || '","customerId":"' || customer_id
+           || '","cardLast4":' || coalesce('"' || card_last4 || '"', 'null') || ',"country":' || coalesce('"' || country || '"', 'null')
+           || ',"merchant":"' || merchant || '"}' AS payload
   FROM payments),
 outbox_published AS (
   SELECT 'e' || event_id AS event_id, event_id // 100 AS batch_id, ts + INTERVAL 1 SECOND AS published_at

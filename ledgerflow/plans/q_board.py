@@ -62,9 +62,10 @@ def requested_stream(ds):
 
 
 @query("outbox_relay_stream", """
-SELECT event_id, topic FROM outbox WHERE event_id NOT IN (SELECT event_id FROM outbox_published)""")
+SELECT event_id, topic, message_key AS key, payload AS value FROM outbox
+WHERE event_id NOT IN (SELECT event_id FROM outbox_published)""")
 def outbox_relay_stream(ds):
-    """T5 + K6 + K7: the relay as a stream; every unpublished row is stamped exactly once."""
+    """T5 + K6 + K7: the relay as a stream; every unpublished row is published, with its payload, and stamped exactly once."""
     spark = ds.spark
     root = run_folder(spark, "outbox_relay")
     sink = RelaySink(spark, f"{root}/out", ds.outbox_published)
@@ -75,4 +76,6 @@ def outbox_relay_stream(ds):
 
     replay_in_order(ds.outbox, "created_at", f"{root}/input", 4,
                     lambda: run_until_done(start, partitions=spark.sparkContext.defaultParallelism))
-    return sink.log.committed("stamps", "event_id string, topic string").select("event_id", "topic")
+    stamps = sink.log.committed("stamps", "event_id string").select("event_id")
+    records = sink.log.committed("records", "topic string, key string, value string, event_id string")
+    return records.join(stamps, "event_id").select("event_id", "topic", "key", "value")

@@ -231,26 +231,3 @@ def dlq_increase_5m(ds):
     """Dead letters per 5-minute range, every minute (dead after 1 + 2 + 4 s of retries)."""
     dead = _run(ds).dead_letters.withColumn("dead_at", F.col("delivered_at") + F.expr("INTERVAL 7 SECONDS"))
     return M.sliding_increase(dead, "dead_at")
-
-
-@query("consumer_lag", PROC_SQL + """,
-fin AS (
-  SELECT d.partition, d.delivered_at,
-         CASE WHEN x."offset" IS NULL THEN d.delivered_at ELSE d.delivered_at + INTERVAL 7 SECOND END AS finished_at
-  FROM deliveries d LEFT JOIN dead x ON d."offset" = x."offset"),
-spans AS (
-  SELECT partition, CAST(ceil(epoch_us(delivered_at) / 60000000) AS BIGINT) * 60000000 AS lo,
-         CAST(ceil(epoch_us(finished_at) / 60000000) AS BIGINT) * 60000000 - 60000000 AS hi FROM fin),
-pts AS (SELECT partition, unnest(range(lo, hi + 1, 60000000)) AS b FROM spans WHERE lo <= hi),
-lag AS (SELECT partition, b, count(*) AS lag FROM pts GROUP BY 1, 2),
-parts AS (SELECT DISTINCT partition FROM deliveries)
-SELECT CAST(p.partition AS INTEGER) AS partition, coalesce(max(l.lag), 0) AS max_lag
-FROM parts p LEFT JOIN lag l USING (partition) GROUP BY p.partition""")
-def consumer_lag(ds):
-    """Records delivered but not finished (in the retry ladder) per partition, max over minutes."""
-    r = _run(ds)
-    dead = r.dead_letters.select("offset", F.lit(True).alias("_dead"))
-    d = ds.deliveries.join(dead, "offset", "left")
-    finished = F.when(F.col("_dead"), F.col("delivered_at") + F.expr("INTERVAL 7 SECONDS")).otherwise(
-        F.col("delivered_at"))
-    return M.in_flight_lag(d, finished)

@@ -28,12 +28,19 @@ orph AS (SELECT * FROM fresh WHERE payment_id NOT IN (SELECT payment_id FROM sto
 orph_copies AS (SELECT * FROM ok WHERE ev_id IN (SELECT ev_id FROM orph)),
 bad AS (SELECT * FROM deliveries WHERE bad_payload),
 dead AS (
-  SELECT 'payments.requested' AS topic, "offset", delivered_at,
-         'Unparseable PaymentRequested payload: {bad' AS reason FROM bad
+  SELECT 'payments.requested' AS topic, partition, "offset", delivered_at,
+         'Unparseable PaymentRequested payload: {bad' AS reason, '{bad' AS payload FROM bad
   UNION ALL
-  SELECT 'payments.requested', "offset", delivered_at, 'Payment not found for id=' || payment_id FROM orph_copies)"""
+  SELECT 'payments.requested', c.partition, c."offset", c.delivered_at, 'Payment not found for id=' || c.payment_id,
+         o.payload FROM orph_copies c JOIN outbox o ON c.ev_id = o.event_id)"""
 
-DECIDED_SQL = PROC_SQL + rules_sql(86400, "found", "\"offset\"") + f""",
+# Transactions evaluated by earlier runs are history of the decisions.
+DECIDED_SQL = PROC_SQL + """,
+seen AS (
+  SELECT payment_id, created_at, customer_id, amount, currency, country, ev_id, "offset", partition, delivered_at FROM found
+  UNION ALL
+  SELECT payment_id, created_at, customer_id, amount, currency, country, 'e' || event_id, NULL, NULL, created_at
+  FROM payments WHERE 'e' || event_id IN (SELECT event_id FROM claimed))""" + rules_sql(86400, "seen", "ev_id") + f""",
 decided AS (
   SELECT ev_id, payment_id, "offset", delivered_at, recommended AS decision, rule_risk AS risk_score,
          list_concat(CASE WHEN velocity_signal IS NULL AND geo_signal IS NULL AND amount_signal IS NULL
@@ -43,7 +50,7 @@ decided AS (
          CASE WHEN recommended = 'APPROVE' THEN 'PROCESSED' ELSE 'BLOCKED' END AS status,
          CASE WHEN recommended = 'APPROVE' THEN 'payments.processed' ELSE 'payments.blocked' END AS topic,
          CASE WHEN recommended = 'APPROVE' THEN 'PaymentProcessed' ELSE 'PaymentBlocked' END AS event_type
-  FROM findings)"""
+  FROM findings WHERE "offset" IS NOT NULL)"""
 
 
 @query("event_decode", """
@@ -60,7 +67,7 @@ def event_decode(ds):
 SELECT ev_id AS event_id, delivered_at AS processed_at FROM decided""")
 def claim_events(ds):
     """K4 + J2 + T7: new claims, only for events that reached the end of the plan."""
-    return _run(ds).claims
+    return _run(ds).claims.select("event_id", "processed_at")
 
 
 @query("event_payment_join", PROC_SQL + """
@@ -118,10 +125,10 @@ def processed_by_status(ds):
 
 
 @query("dead_letters", PROC_SQL + """
-SELECT topic, "offset", 4 AS attempt, reason FROM dead""")
+SELECT topic, CAST(partition AS INTEGER) AS partition, "offset", 4 AS attempt, reason, payload FROM dead""")
 def dead_letters(ds):
     """K8: quarantine rows (topic, offset, attempt, reason) after the retry ladder."""
-    return _run(ds).dead_letters.select("topic", "offset", "attempt", "reason")
+    return _run(ds).dead_letters.select("topic", "partition", "offset", "attempt", "reason", "payload")
 
 
 @query("retry_schedule", PROC_SQL + """,
@@ -166,4 +173,4 @@ def fail_closed(ds):
     are quarantined: no claim, payment stays RECEIVED."""
     r = _run(ds, _verdict_decider(ds))
     return r.undecided.select("event_id", "payment_id",
-                              F.concat(F.lit(P.REASON_NO_DECISION), F.col("payment_id")).alias("reason"))
+                              F.concat(F.lit(S.REASON_NO_DECISION), F.col("payment_id")).alias("reason"))

@@ -13,7 +13,7 @@ from .. import schemas as S
 from ..functions.scalars import join_text
 from ..operators import process as P
 from ..operators.rules import rule_findings, rule_only_decision
-from ..streaming.effectively_once import AcceptSink, CommitLog, ProcessingSink, run_until_done
+from ..streaming.effectively_once import CLAIMS, DEAD, UPDATES, AcceptSink, CommitLog, ProcessingSink, current_payments, run_until_done
 from ..streaming.runs import stream_triage_features
 from ..streaming.staging import replay_in_order, run_folder
 from .q_ingest import VALIDATION_SQL, _PAY_ID
@@ -33,11 +33,39 @@ def stream_triage(ds):
                       join_text(F.col("reasons")).alias("reasons_text"))
 
 
-def _processing_run(ds, crash_at: int = 1, decider=None):
+class CrashOnce(CommitLog):
+    """Fails once, after a batch's outputs are written and before its marker."""
+
+    def __init__(self, spark, root: str, at: int):
+        super().__init__(spark, root)
+        self.at = at
+
+    def commit(self, batch_id: int) -> None:
+        if batch_id == self.at:
+            self.at = None
+            raise RuntimeError(f"injected crash before the marker of batch {batch_id}")
+        super().commit(batch_id)
+
+
+_RUNS: dict[tuple[str, str], CommitLog] = {}
+
+
+def _processed(ds):
+    """The tables that one run over the dataset has left; several reports read them."""
+    key = (ds.spark.sparkContext.applicationId, ds.sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = _processing_run(ds)
+    return _RUNS[key]
+
+
+def _processing_run(ds, crash_at: int = 1000, decider=None):
+    """Deliveries replayed through the processor, with one crash and restart; ends when
+    the retry queue is empty."""
     spark = ds.spark
     root = run_folder(spark, "stream_processing")
-    sink = ProcessingSink(spark, f"{root}/out", ds.stored_payments, ds.claimed, decider=decider,
-                          crash_after_outputs=crash_at)
+    log = CrashOnce(spark, f"{root}/out", crash_at)
+    sink = ProcessingSink(spark, f"{root}/out", ds.stored_payments, ds.claimed, log=log,
+                          decider=decider or P.rules_decider(DAY, hot_source=ds.stored_payments))
 
     def start():
         stream = spark.readStream.schema(ds.deliveries.schema).parquet(f"{root}/input")
@@ -46,15 +74,16 @@ def _processing_run(ds, crash_at: int = 1, decider=None):
 
     replay_in_order(ds.deliveries, "delivered_at", f"{root}/input", 4,
                     lambda: run_until_done(start, partitions=spark.sparkContext.defaultParallelism))
-    return CommitLog(spark, f"{root}/out")
+    sink.drain()
+    return log
 
 
 @query("stream_claims", DECIDED_SQL + """
 SELECT ev_id AS event_id, delivered_at AS processed_at FROM decided""")
 def stream_claims(ds):
     """T2 + T7 + K9: claims written by the deliveries stream, with one injected crash and restart."""
-    log = _processing_run(ds)
-    return log.committed("claims", "event_id string, processed_at timestamp").select("event_id", "processed_at")
+    log = _processed(ds)
+    return log.committed("claims", CLAIMS).select("event_id", "processed_at")
 
 
 @query("effectively_once", DECIDED_SQL + """
@@ -62,8 +91,8 @@ SELECT (SELECT count(*) FROM decided) AS claims, (SELECT count(*) FROM decided)
        CAST(0 AS BIGINT) AS duplicated_payments, (SELECT count(*) FROM dead) AS dead_letters""")
 def effectively_once(ds):
     """After a crash mid-stream and a restart: every event once, no duplicate outcome."""
-    log = _processing_run(ds)
-    claims = log.committed("claims", "event_id string, processed_at timestamp").select(F.lit(0).alias("_k"))
+    log = _processed(ds)
+    claims = log.committed("claims", CLAIMS).select(F.lit(0).alias("_k"))
     outs = (log.committed("outcome_outbox", "aggregate_id string").groupBy("aggregate_id")
             .agg(F.count(F.lit(1)).alias("_n")))
     dead = log.committed("dead_letters", "offset bigint").select(F.lit(2).alias("_k"))
@@ -101,8 +130,8 @@ def stream_accept(ds):
 
 @query("stream_outcomes", PROC_SQL + rules_sql(86400) + """
 SELECT f.payment_id, CASE WHEN r.recommended = 'APPROVE' THEN 'PROCESSED' ELSE 'BLOCKED' END AS status,
-       r.recommended AS fraud_decision, r.rule_risk AS risk_score
-FROM found f JOIN findings r USING (payment_id)""")
+       r.recommended AS fraud_decision, CAST(r.rule_risk AS DECIMAL(4,3)) AS risk_score
+FROM found f JOIN findings r USING (payment_id)""", decimals=("risk_score",))
 def stream_outcomes(ds):
     """T1 + K9 composed: the stateful triage stream writes decisions with full customer
     history; the effectively-once processor (crash and restart included) takes them
@@ -110,6 +139,74 @@ def stream_outcomes(ds):
     feats = stream_triage_features(ds.spark, ds.payments, DAY).filter(~F.col("late"))
     decisions = rule_only_decision(rule_findings(feats)).select("payment_id", "decision", "risk_score", "reasons")
     log = _processing_run(ds, decider=P.table_decider(decisions))
-    ups = log.committed("payment_updates", "payment_id string, status string, fraud_decision string, "
-                                           "risk_score double")
+    ups = log.committed("payment_updates", UPDATES)
     return ups.select("payment_id", "status", "fraud_decision", "risk_score")
+
+
+@query("stream_payments_after", DECIDED_SQL + """
+SELECT p.payment_id,
+       CASE WHEN d.decision IS NULL THEN p.status ELSE d.status END AS status,
+       d.decision AS fraud_decision,
+       TRY_CAST(d.risk_score AS DECIMAL(4,3)) AS risk_score,
+       CASE WHEN d.decision IS NULL THEN NULL ELSE CAST(to_json(d.reasons) AS VARCHAR) END AS fraud_reasons
+FROM stored_payments p LEFT JOIN decided d USING (payment_id)""", decimals=("risk_score",))
+def stream_payments_after(ds):
+    """K5 + J6 + T8: micro-batches decide with the history of earlier ones and of earlier runs, so
+    the payments they leave equal those of one batch."""
+    after = current_payments(_processed(ds), ds.stored_payments)
+    return after.select("payment_id", "status", "fraud_decision", "risk_score", "fraud_reasons")
+
+
+@query("stream_dead_letters", PROC_SQL + """
+SELECT topic, CAST(partition AS INTEGER) AS partition, "offset", 4 AS attempt, reason, payload,
+       delivered_at + INTERVAL 7 SECOND AS died_at FROM dead""")
+def stream_dead_letters(ds):
+    """K8 + T6: records that failed four attempts (after 1, 2 and 4 s), with their payload."""
+    dead = _processed(ds).committed("dead_letters", DEAD)
+    return dead.select("topic", "partition", "offset", "attempt", "reason", "payload",
+                       F.col("next_attempt_at").alias("died_at"))
+
+
+@query("stream_conservation", DECIDED_SQL + """
+SELECT (SELECT count(*) FROM deliveries) AS delivered, (SELECT count(*) FROM decided) AS processed,
+       (SELECT count(*) FROM ok) - (SELECT count(*) FROM decided) - (SELECT count(*) FROM orph_copies) AS duplicates,
+       (SELECT count(*) FROM dead) AS dead_letters""")
+def stream_conservation(ds):
+    """Every delivered record ends as processed, duplicate or dead letter, once."""
+    log = _processed(ds)
+    kinds = [ds.deliveries.select(F.lit("delivered").alias("kind")),
+             log.committed("claims", CLAIMS).select(F.lit("processed").alias("kind")),
+             log.committed("duplicates", "topic string").select(F.lit("duplicates").alias("kind")),
+             log.committed("dead_letters", DEAD).select(F.lit("dead_letters").alias("kind"))]
+    both = kinds[0].unionAll(kinds[1]).unionAll(kinds[2]).unionAll(kinds[3])
+    return both.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("delivered", "processed", "duplicates", "dead_letters")])
+
+
+@query("stream_retry", DECIDED_SQL + """
+SELECT payment_id, 'Payment not found for id=' || payment_id AS first_reason FROM orph""")
+def stream_retry(ds):
+    """T6 + U2: payments that are missing at the first attempt and arrive before the next one: their
+    events re-enter by the retry queue and are processed."""
+    spark = ds.spark
+    root = run_folder(spark, "stream_retry")
+    missing = ds.payments.filter(F.col("event_id") % 53 == 0).select(
+        "payment_id", "amount", "currency", "customer_id", "card_last4", "country", "merchant", "created_at",
+        F.lit(S.STATUS_RECEIVED).alias("status"))
+    here = [ds.stored_payments]
+    sink = ProcessingSink(spark, f"{root}/out", lambda: here[0], ds.claimed,
+                          P.rules_decider(DAY, hot_source=ds.stored_payments))
+    ds.deliveries.write.parquet(f"{root}/input")
+
+    def start():
+        stream = spark.readStream.schema(ds.deliveries.schema).parquet(f"{root}/input")
+        return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
+                .trigger(availableNow=True).start())
+
+    run_until_done(start, partitions=spark.sparkContext.defaultParallelism)
+    here[0] = ds.stored_payments.unionByName(missing, allowMissingColumns=True)     # they arrive
+    sink.drain()
+    log = sink.log
+    first = log.committed("failed", "topic string, partition int, offset bigint, attempt int, value string, reason string") \
+        .filter((F.col("attempt") == 1) & F.col("reason").startswith(S.PAYMENT_NOT_FOUND)) \
+        .select(F.get_json_object("value", "$.paymentId").alias("payment_id"), F.col("reason").alias("first_reason")).distinct()
+    return log.committed("payment_updates", UPDATES).select("payment_id").join(first, "payment_id")

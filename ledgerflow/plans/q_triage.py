@@ -31,7 +31,7 @@ seq AS (
   FROM {source} WINDOW w AS (PARTITION BY customer_id ORDER BY created_at, {tiebreak})),
 pairs AS (
   SELECT a.payment_id, a.rn, a.created_at, a.prev_t, b.rn AS brn, b.created_at AS bt,
-         CAST(b.amount * 10000 AS BIGINT) AS bunits, b.country AS bc
+         CAST(b.amount * 10000 AS HUGEINT) AS bunits, b.country AS bc
   FROM seq a JOIN seq b ON a.customer_id = b.customer_id AND b.rn BETWEEN a.rn - {hist} AND a.rn),
 feat AS (
   SELECT payment_id,
@@ -58,8 +58,8 @@ rules AS (
     CASE WHEN velocity_count >= 6 THEN 0.95::DOUBLE WHEN velocity_count >= 4 THEN 0.6::DOUBLE
          ELSE 0.0::DOUBLE END AS velocity_risk,
     CASE WHEN velocity_count >= 6
-           THEN 'velocity: ' || velocity_count || ' charges in 60s for this customer (card-testing pattern)'
-         WHEN velocity_count >= 4 THEN 'velocity: ' || velocity_count || ' charges in 60s (elevated)'
+           THEN 'velocity: ' || velocity_count || ' charges in {window_s}s for this customer (card-testing pattern)'
+         WHEN velocity_count >= 4 THEN 'velocity: ' || velocity_count || ' charges in {window_s}s (elevated)'
     END AS velocity_signal,
     CASE WHEN geo_distinct >= 2 THEN 2
          WHEN previous_country IS NOT NULL AND country IS NOT NULL
@@ -68,7 +68,7 @@ rules AS (
          WHEN previous_country IS NOT NULL AND country IS NOT NULL
               AND lower(previous_country) <> lower(country) THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END AS geo_risk,
     CASE WHEN geo_distinct >= 2
-           THEN 'geo-velocity: charges from ' || geo_distinct || ' countries within 60s (impossible travel)'
+           THEN 'geo-velocity: charges from ' || geo_distinct || ' countries within {window_s}s (impossible travel)'
          WHEN previous_country IS NOT NULL AND country IS NOT NULL
               AND lower(previous_country) <> lower(country)
            THEN 'geo-mismatch: country changed from ' || previous_country || ' to ' || country

@@ -9,7 +9,7 @@ from ..functions.scalars import join_text
 from ..operators.features import activity_snapshot
 from ..operators.rules import rule_findings
 from ..operators.triage import triage
-from ..operators.verdict import PROMPT_TEMPLATE, prompt, verdict_reasoner
+from ..operators.verdict import prompt, verdict_reasoner
 from .q_triage import rules_sql
 from .registry import query
 
@@ -49,17 +49,15 @@ def verdict_reconcile(ds):
                       join_text(F.col("reasons")).alias("reasons_text"), "model_used")
 
 
-def _sql_literal(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-@query("verdict_prompt", rules_sql(86400) + f"""
+@query("verdict_prompt", rules_sql(86400) + """
 SELECT payment_id,
-       printf({_sql_literal(PROMPT_TEMPLATE)}, CAST(CAST(amount AS DECIMAL(38,2)) AS VARCHAR), currency,
-              customer_id, coalesce(country, 'unknown'), coalesce(merchant, 'unknown'),
-              coalesce(card_last4, 'unknown'), recommended, rule_risk, signals_text) AS prompt
+       '{"transaction":{"amount":"' || CAST(CAST(amount AS DECIMAL(38,2)) AS VARCHAR) || '","currency":"' || currency
+         || '","customer":"' || customer_id || '","country":"' || coalesce(country, 'unknown') || '","merchant":"'
+         || coalesce(merchant, 'unknown') || '","card":"' || coalesce(card_last4, 'unknown')
+         || '"},"rules":{"floor":"' || recommended || '","risk":"' || printf('%.2f', rule_risk)
+         || '","signals":' || to_json(signals_text) || '}}' AS prompt
 FROM findings""")
 def verdict_prompt(ds):
-    """The scorer prompt for every payment (transaction, rule floor, risk, signals)."""
-    f = rule_findings(activity_snapshot(ds.payments, DAY))
+    """The scorer's input for every payment (transaction, rule floor, risk, signals)."""
+    f = rule_findings(activity_snapshot(ds.payments, DAY), DAY)
     return f.select("payment_id", prompt(f).alias("prompt"))

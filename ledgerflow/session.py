@@ -50,18 +50,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must be set by the cluster (a shared filesystem). Only a
     local-mode session without the setting gets a scratch folder of its own.
     """
+    context = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(current)
         return current
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="ledgerflow-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerflow-ckpt-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df, name: str = "stage"):

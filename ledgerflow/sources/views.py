@@ -40,6 +40,16 @@ def _cents(value: Column) -> Column:
     return F.round(value * 100, 2).cast(schemas.AMOUNT)
 
 
+def _requested_event() -> Column:
+    """JSON of a payment's requested event."""
+    eid = F.col("event_id").cast("string")
+    return F.to_json(F.struct(
+        F.concat(F.lit("e"), eid).alias("eventId"), F.col("payment_id").alias("paymentId"),
+        F.concat(F.lit("key-"), eid).alias("idempotencyKey"), "amount", "currency",
+        F.col("customer_id").alias("customerId"), F.col("card_last4").alias("cardLast4"), "country", "merchant"),
+        {"ignoreNullFields": "false"})
+
+
 class Dataset:
     """Lazy DataFrames of one dataset folder. Nothing is cached or collected."""
 
@@ -126,24 +136,12 @@ class Dataset:
         p = self.payments
         eid = F.col("event_id")
         copies = F.when(eid % 49 == 0, 3).when(eid % 7 == 0, 2).otherwise(1)
-        event = F.struct(
-            F.concat(F.lit("e"), eid.cast("string")).alias("eventId"),
-            F.col("payment_id").alias("paymentId"),
-            F.concat(F.lit("key-"), eid.cast("string")).alias("idempotencyKey"),
-            "amount",
-            "currency",
-            F.col("customer_id").alias("customerId"),
-            F.col("card_last4").alias("cardLast4"),
-            "country",
-            "merchant",
-        )
-        payload = F.when(eid % 61 == 0, F.lit("{bad")).otherwise(
-            F.to_json(event, {"ignoreNullFields": "false"}))
+        payload = F.when(eid % 61 == 0, F.lit("{bad")).otherwise(_requested_event())
         d = F.explode(F.sequence(F.lit(1), copies)).alias("delivery")
         return p.select("event_id", "created_at", payload.alias("value"), d).select(
             F.lit(schemas.TOPIC_REQUESTED).alias("topic"),
             (F.col("event_id") % 4).cast("int").alias("partition"),
-            (F.col("event_id") * 3 + F.col("delivery") - 1).alias("offset"),
+            (F.expr("event_id div 4") * 3 + F.col("delivery") - 1).alias("offset"),     # repeats across partitions
             F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("key"),
             "value",
             (F.col("created_at") + F.make_interval(secs=F.col("delivery") - 1)).alias("delivered_at"),
@@ -152,11 +150,13 @@ class Dataset:
 
     @cached_property
     def claimed(self) -> DataFrame:
-        """``processed_events`` as it stands before this run: every 11th event."""
-        b = self.base
-        return b.filter(F.col("event_id") % 11 == 0).select(
+        """``processed_events`` as it stands before this run: every 11th event, with the
+        transaction that was evaluated."""
+        p = self.payments
+        return p.filter(F.col("event_id") % 11 == 0).select(
             F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"),
-            F.col("ts").cast("timestamp").alias("processed_at"))
+            F.col("created_at").alias("processed_at"), "customer_id", F.col("created_at").alias("delivered_at"),
+            "amount", "country")
 
     @cached_property
     def verdicts(self) -> DataFrame:
@@ -192,6 +192,7 @@ class Dataset:
             F.lit(schemas.EVENT_TYPE_REQUESTED).alias("event_type"),
             F.lit(schemas.TOPIC_REQUESTED).alias("topic"),
             F.col("payment_id").alias("message_key"),
+            _requested_event().alias("payload"),
             F.col("customer_id"),
             F.col("created_at"),
         )

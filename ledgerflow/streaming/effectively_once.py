@@ -43,83 +43,142 @@ class CommitLog:
         marker.write.mode("overwrite").parquet(f"{self.root}/_commits/batch_id={batch_id}")
 
     def committed(self, name: str, schema: str, exclude: int | None = None) -> DataFrame:
-        """Rows of ``name`` from committed batches (optionally without one batch)."""
-        empty = self.spark.createDataFrame([], f"{schema}, batch_id bigint")
+        """Rows of ``name`` from committed batches (optionally without one batch), read
+        with the declared ``schema``."""
+        schema = f"{schema}, batch_id bigint"
         if not (self._exists(f"{self.root}/{name}") and self._exists(f"{self.root}/_commits")):
-            return empty
-        rows = self.spark.read.parquet(f"{self.root}/{name}")
-        marks = self.spark.read.parquet(f"{self.root}/_commits").select("batch_id")
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        marks = self.spark.read.schema("committed bigint, batch_id bigint").parquet(f"{self.root}/_commits").select("batch_id")
         out = rows.join(marks, "batch_id", "left_semi")
         if exclude is not None:
             out = out.filter(F.col("batch_id") != exclude)
         return out
 
+    def last(self, before: int | None = None) -> int | None:
+        """The latest committed batch, or the latest before one."""
+        if not self._exists(f"{self.root}/_commits"):
+            return None
+        marks = self.spark.read.schema("committed bigint").parquet(f"{self.root}/_commits")
+        return (marks if before is None else marks.filter(F.col("committed") < before)).agg(F.max("committed")).first()[0]
+
+    def of_batch(self, name: str, schema: str, batch_id: int | None) -> DataFrame:
+        """Rows of ``name`` that one batch has written."""
+        path = f"{self.root}/{name}/batch_id={batch_id}"
+        if batch_id is None or not self._exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
-class ProcessingSink:
-    """``foreachBatch`` target for the deliveries stream (K9 + T2 + T7 + T8).
 
-    Claims never expire, so the claims table only grows. Each batch first
-    narrows it to the batch's own event ids (a semi join; the id list is
-    broadcast when the batch has at most ``broadcast_rows`` rows, otherwise
-    shuffled), and only that narrow set meets the batch in the anti join.
+CLAIMS = ("event_id string, processed_at timestamp, customer_id string, delivered_at timestamp, "
+          "amount decimal(19,4), country string")
+QUEUE = ("topic string, partition int, offset bigint, key string, attempt int, next_attempt_at timestamp, "
+         "delivered_at timestamp, value string, reason string")
+DEAD = QUEUE.replace("value string", "payload string")
+UPDATES = ("payment_id string, status string, fraud_decision string, risk_score decimal(4,3), "
+           "fraud_reasons string, updated_at timestamp")
+# Batch n of the stream is committed as n * STEP; the numbers between are for ``drain``.
+STEP = 1000
 
-    ``crash_after_outputs`` injects one failure after a batch's outputs are
-    written but before its marker, to exercise the replay path in tests.
+
+class ProcessingSink:
+    """``foreachBatch`` target for the deliveries stream (K9 + T2 + T6 + T7 + T8).
+
+    Claims never expire, so the claims table only grows. Each batch first narrows it
+    to the batch's own event ids, and to its customers for their history (semi joins;
+    their strategy is left to run-time sizes).
+
+    A failing record goes to the retry queue and enters a later batch when its time
+    has come, by the event time of that batch; after its last attempt it is a dead
+    letter, with its payload. The queue is rewritten by each batch and only the last
+    committed one is read. ``payments`` may be a function, which is called for every
+    batch, so that a payment that arrives between two attempts is found. ``drain``
+    works off what is still queued when the input has ended.
     """
 
-    def __init__(self, spark: SparkSession, root: str, payments: DataFrame, claimed: DataFrame,
-                 decider: P.Decider | None = None, crash_after_outputs: int | None = None,
-                 broadcast_rows: int = 5_000_000):
-        self.log = CommitLog(spark, root)
-        self.payments, self.claimed = payments, claimed
+    def __init__(self, spark: SparkSession, root: str, payments: DataFrame | Callable[[], DataFrame], claimed: DataFrame,
+                 decider: P.Decider | None = None, log: CommitLog | None = None):
+        self.log = log or CommitLog(spark, root)
+        self.payments = payments if callable(payments) else lambda: payments
+        self.claimed = claimed
         self.decider = decider
-        self.crash_after_outputs = crash_after_outputs
-        self.broadcast_rows = broadcast_rows
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = batch.withColumns({"attempt": F.lit(1), "next_attempt_at": F.lit(None).cast("timestamp")}).persist()
         try:
-            self._process(batch, batch_id)
+            clock = batch.agg(F.max("delivered_at")).first()[0]
+            self._process(batch, batch_id * STEP, F.lit(clock).cast("timestamp"))
         finally:
             batch.unpersist()
 
-    def _process(self, batch: DataFrame, batch_id: int) -> None:
-        ids = P.decode_events(batch).select("event_id").filter(F.col("event_id").isNotNull())
-        small = batch.count() <= self.broadcast_rows           # size check before broadcasting
-        before = self.log.committed("claims", "event_id string, processed_at timestamp", exclude=batch_id)
-        claimed = self.claimed.select("event_id").unionByName(before.select("event_id"))
-        relevant = claimed.join(F.broadcast(ids) if small else ids.distinct(), "event_id", "left_semi")
-        r = P.process(batch, self.payments, relevant, self.decider)
+    def drain(self) -> int:
+        """Give every queued record its remaining attempts; returns the number of rounds."""
+        rounds = 0
+        while True:
+            last = self.log.last()
+            queue = self.log.of_batch("retry_queue", QUEUE, last)
+            clock = queue.agg(F.max("next_attempt_at")).first()[0]
+            if clock is None:
+                return rounds
+            self._process(queue.limit(0), last + 1, F.lit(clock).cast("timestamp"))
+            rounds += 1
+
+    def _process(self, batch: DataFrame, batch_id: int, clock) -> None:
+        queue = self.log.of_batch("retry_queue", QUEUE, self.log.last(before=batch_id))
+        due = F.coalesce(F.col("next_attempt_at") <= clock, F.lit(False))
+        records = batch.unionByName(queue.filter(due), allowMissingColumns=True)
+        claims = self.log.committed("claims", CLAIMS, exclude=batch_id).drop("batch_id")
+        claimed = self.claimed.unionByName(claims, allowMissingColumns=True)
+        ids = P.decode_events(records).select("event_id").distinct()
+        held: list[DataFrame] = []
+        try:
+            self._write(batch_id, clock, queue, due, claimed, ids, records, held)
+        finally:
+            for df in held:
+                df.unpersist()
+
+    def _write(self, batch_id, clock, queue, due, claimed, ids, records, held) -> None:
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return df
+
+        r = P.process(records, self.payments(), claimed.join(ids, "event_id", "left_semi"), self.decider,
+                      history=claimed if set(P.EVALUATED) <= set(claimed.columns) else None, hold=hold)
         self.log.write("claims", r.claims, batch_id)
         self.log.write("outcome_outbox", r.outcome_outbox, batch_id)
-        self.log.write("payment_updates", r.decided.select(
-            "payment_id", "status", F.col("decision").alias("fraud_decision"), "risk_score"), batch_id)
-        self.log.write("dead_letters", r.dead_letters.drop("payload"), batch_id)
-        if self.crash_after_outputs == batch_id:
-            self.crash_after_outputs = None
-            raise RuntimeError(f"injected crash after outputs of batch {batch_id}")
+        self.log.write("payment_updates", r.payment_updates, batch_id)
+        self.log.write("duplicates", r.duplicates.select(*P.RECORD), batch_id)
+        self.log.write("failed", r.failed, batch_id)
+        failed = self.log.of_batch("failed", QUEUE, batch_id)
+        tried_at = F.coalesce("next_attempt_at", "delivered_at")
+        self.log.write("dead_letters", P.exhausted(failed), batch_id)
+        self.log.write("retry_queue", P.next_attempts(failed, tried_at).unionByName(queue.filter(~due)), batch_id)
         self.log.commit(batch_id)
 
 
+def current_payments(log: CommitLog, payments: DataFrame) -> DataFrame:
+    """K5: the payments table with every committed update applied, the last one of each payment."""
+    updates = log.committed("payment_updates", UPDATES)
+    columns = [c for c in updates.columns if c not in ("payment_id", "batch_id")]
+    last = updates.groupBy("payment_id").agg(F.max_by(F.struct(*columns), F.struct("updated_at", "batch_id")).alias("u"))
+    return P.apply_updates(payments, last.select("payment_id", "u.*"))
+
+
 class AcceptSink:
     """``foreachBatch`` target for the request stream (T3): first valid request per
     key creates the payment (and its outbox row) unless a committed batch already
     created it; rejected requests are kept with their violations. Committed
-    payments are narrowed to the batch's keys first (checked broadcast, as in
-    ``ProcessingSink``)."""
+    payments are narrowed to the batch's keys first (as in ``ProcessingSink``)."""
 
-    def __init__(self, spark: SparkSession, root: str, broadcast_rows: int = 5_000_000):
+    def __init__(self, spark: SparkSession, root: str):
         self.log = CommitLog(spark, root)
-        self.broadcast_rows = broadcast_rows
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             keys = batch.select("idempotency_key").filter(F.col("idempotency_key").isNotNull())
-            small = batch.count() <= self.broadcast_rows
             before = self.log.committed("payments", "idempotency_key string", exclude=batch_id)
-            relevant = before.join(F.broadcast(keys) if small else keys.distinct(), "idempotency_key",
-                                   "left_semi")
+            relevant = before.join(keys.distinct(), "idempotency_key", "left_semi")
             out = I.ingest_batch(batch, existing=relevant, with_answers=False)
             self.log.write("payments", out.payments, batch_id)
             self.log.write("outbox", out.outbox, batch_id)

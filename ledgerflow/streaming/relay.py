@@ -24,13 +24,17 @@ class RelaySink:
         self.published = published
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = self.log.committed("stamps", "event_id string", exclude=batch_id).select("event_id")
-        stamped = self.published.select("event_id").unionByName(before)
-        rows = PB.pending(batch, stamped)
-        records = rows.select("topic", F.col("message_key").alias("key"), "event_id")
-        self.log.write("records", records, batch_id)
-        self.log.write("stamps", PB.stamps(rows, batch_id, keep=("topic",)), batch_id)
-        self.log.commit(batch_id)
+        batch = batch.persist()
+        try:
+            before = self.log.committed("stamps", "event_id string", exclude=batch_id).select("event_id")
+            stamped = self.published.select("event_id").unionByName(before)
+            stamped = stamped.join(batch.select("event_id").distinct(), "event_id", "left_semi")   # the batch's own
+            rows = PB.pending(batch, stamped)
+            self.log.write("records", PB.publish_records(rows), batch_id)
+            self.log.write("stamps", PB.stamps(rows, batch_id, keep=("topic",)), batch_id)
+            self.log.commit(batch_id)
+        finally:
+            batch.unpersist()
 
 
 def relay_query(stream: DataFrame, sink: RelaySink, checkpoint: str, interval: str | None = "500 milliseconds"):

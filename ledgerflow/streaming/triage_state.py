@@ -39,7 +39,7 @@ OUTPUT_SCHEMA = (
     "avg_prior_amount decimal(19,2), history_retained bigint, late boolean")
 
 STATE_SCHEMA = (
-    "ht array<bigint>, ha array<bigint>, hc array<string>, "
+    "ht array<bigint>, ha array<string>, hc array<string>, "
     "pid array<string>, pt array<bigint>, pe array<bigint>, pa array<string>, pcur array<string>, "
     "pc array<string>")
 
@@ -69,7 +69,7 @@ def make_fold(cfg: RuleConfig, idle_ttl_seconds: int | None = None):
         (customer,) = key
         if state.exists:
             st = state.get
-            ht, ha, hc = list(st[0] or []), list(st[1] or []), list(st[2] or [])
+            ht, ha, hc = list(st[0] or []), [int(a) for a in st[1] or []], list(st[2] or [])
             pending = list(zip(*[st[i] or [] for i in range(3, 9)]))
         else:
             ht, ha, hc, pending = [], [], [], []
@@ -108,7 +108,7 @@ def make_fold(cfg: RuleConfig, idle_ttl_seconds: int | None = None):
             state.remove()                                   # idle customer: forget the history
         else:
             cols = [list(c) for c in zip(*keep)] if keep else [[] for _ in _PENDING]
-            state.update((ht, ha, hc, *cols))
+            state.update((ht, [str(a) for a in ha], hc, *cols))      # units may exceed 64 bits
             if keep:
                 state.setTimeoutTimestamp(max(r[1] for r in keep) // 1000 + 1)
             elif idle_ms is not None:

@@ -40,7 +40,7 @@ def test_scorer_hook_feeds_the_reconciler(spark):
     findings = rule_findings(activity_snapshot(pays))
 
     def scorer(pdf: pd.DataFrame) -> pd.DataFrame:
-        assert pdf["prompt"].str.contains("severity floor").all()
+        assert pdf["prompt"].str.contains('"floor":').all()
         return pd.DataFrame({"payment_id": pdf["payment_id"], "decision": "BLOCK", "risk_score": 0.85,
                              "reasons": [["model says block"]] * len(pdf)})
 

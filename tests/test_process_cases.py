@@ -4,6 +4,7 @@ import json
 from datetime import timedelta
 from decimal import Decimal
 
+from pyspark.sql import functions as F
 
 from ledgerflow import schemas as S
 from ledgerflow.operators import process as P
@@ -71,7 +72,7 @@ def test_null_decision_is_quarantined_without_claim(spark):
                   stub(spark, None))
     assert r.claims.count() == 0 and r.outcome_outbox.count() == 0
     assert r.payments_after.collect()[0]["status"] == "RECEIVED"
-    assert r.dead_letters.collect()[0]["reason"].startswith(P.REASON_NO_DECISION)
+    assert r.dead_letters.collect()[0]["reason"].startswith(S.REASON_NO_DECISION)
 
 
 def test_malformed_payloads_are_dead_letters(spark):
@@ -95,3 +96,36 @@ def test_retry_ladder(spark):
         "payments.requested-dlt"]
     assert [(rows[a]["next_attempt_at"] - T0).total_seconds() for a in (1, 2, 3)] == [1, 3, 7]
     assert rows[4]["next_attempt_at"] is None
+
+
+def test_two_events_of_one_payment_give_one_row(spark):
+    both = [event("e1", "p1"), event("e2", "p1")]
+    r = P.process(deliveries(spark, both), stored(spark, "p1"), no_claims(spark), stub(spark, "APPROVE"))
+    assert r.claims.count() == 2 and r.payments_after.count() == 1
+
+
+def test_equal_offsets_in_two_topics_are_two_records(spark):
+    main = deliveries(spark, [event("e1", "p1")])
+    retry = main.withColumn("topic", F.lit("payments.requested-retry-0"))
+    r = P.process(main, stored(spark, "p1"), no_claims(spark), stub(spark, "APPROVE"), retries=retry)
+    assert r.claims.count() == 1 and r.duplicates.count() == 1
+
+
+def test_five_claimed_the_sixth_blocks(spark):
+    events = [event(f"e{i}", f"p{i}") for i in range(6)]
+    pays = stored(spark, *[f"p{i}" for i in range(6)])
+    before = P.process(deliveries(spark, events[:5]), pays, no_claims(spark))
+    sixth = deliveries(spark, events).filter("offset = 5")
+    alone = P.process(sixth, pays, no_claims(spark)).decided.first()
+    assert alone["decision"] == "APPROVE"
+    after = P.process(sixth, pays, before.claims).decided.collect()
+    assert [(r["event_id"], r["decision"]) for r in after] == [("e5", "BLOCK")]
+
+
+def test_largest_amounts(spark):
+    top = "999999999999999.9999"
+    events = [event(f"e{i}", f"p{i}", amount=top) for i in range(4)]
+    r = P.process(deliveries(spark, events), stored(spark, *[f"p{i}" for i in range(4)]), no_claims(spark))
+    rows = {x["event_id"]: x for x in r.decided.collect()}
+    assert rows["e0"]["avg_prior_amount"] is None
+    assert rows["e3"]["avg_prior_amount"] == Decimal("1000000000000000.00")
