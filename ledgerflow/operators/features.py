@@ -22,8 +22,7 @@ of one ROWS frame ``-H .. 0`` over ``(customer_id ORDER BY created_at, tiebreak)
 One Exchange, one Sort, one Window for the whole feature set.
 
 Skew: a window partition is one task. Customers with more than
-``hot_customer_rows`` rows (at most ``max_hot_customers`` of them, which bounds
-the broadcast key list) are cut into time buckets; each bucket gets a halo of
+``hot_customer_rows`` rows are cut into time buckets; each bucket gets a halo of
 the ``H`` rows that precede it, taken from the tails of earlier buckets, so the
 frame sees exactly the rows it would see unsplit. Halo rows are dropped after
 the window. A first, cheap job (partial count per customer) decides whether
@@ -99,8 +98,7 @@ def _windowed(df: DataFrame, part: list[str], tiebreak: str, cfg: RuleConfig) ->
 def _hot_customers(df: DataFrame, cfg: RuleConfig) -> DataFrame:
     """Customers too big for one task, with their bucket origin and width.
 
-    One partial aggregate per customer; at most ``max_hot_customers`` rows
-    survive, which bounds the broadcast. Bucket width is the customer's time
+    One partial aggregate per customer. Bucket width is the customer's time
     span divided into ``ceil(rows / hot_bucket_rows)`` parts.
     """
     counts = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"),
@@ -109,13 +107,12 @@ def _hot_customers(df: DataFrame, cfg: RuleConfig) -> DataFrame:
     width = F.greatest(F.lit(cfg.hot_bucket_seconds * _MICROS),
                        ((F.col("_hi") - F.col("_lo")) / parts).cast("bigint") + 1)
     return (counts.filter(F.col("_n") > cfg.hot_customer_rows)
-            .orderBy(F.desc("_n"), "customer_id").limit(cfg.max_hot_customers)
             .select("customer_id", F.lit(True).alias("_hot"), "_lo", width.alias("_w")))
 
 
 def _with_halo(df: DataFrame, tiebreak: str, cfg: RuleConfig, hot: DataFrame) -> DataFrame:
     """Tag hot customers' rows with a time bucket and add the halo rows."""
-    tagged = (df.join(F.broadcast(hot), "customer_id", "left")          # at most max_hot_customers rows
+    tagged = (df.join(hot, "customer_id", "left")                       # broadcast or not by its size at run time
               .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
               .withColumn("_b", F.when(F.col("_hot"), F.floor((F.col("_t") - F.col("_lo")) / F.col("_w")))
                           .otherwise(F.lit(0)).cast("bigint"))
@@ -154,7 +151,7 @@ def activity_snapshot(df: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
     counted = prepared if hot_source is None else hot_source.select(
         "customer_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("_t"))
     hot = _hot_customers(counted, cfg)
-    # The hot-key list is a bounded aggregate; the halo path is planned only when it is not empty.
+    # The halo path is planned only when some customer is hot.
     if cfg.split_hot and hot.take(1):
         staged = _with_halo(prepared, tiebreak, cfg, hot)
         out = _windowed(staged, ["customer_id", "_b"], tiebreak, cfg)

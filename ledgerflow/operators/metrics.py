@@ -11,33 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Fixed latency histogram bounds (ms) used by the histogram quantile panel.
 LATENCY_BUCKETS_MS = (1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0)
 
 
-def nearest_rank_percentiles(df: DataFrame, value: str, ps: tuple[int, ...] = (50, 95, 99),
-                             buckets: int = 256) -> DataFrame:
+def nearest_rank_percentiles(df: DataFrame, value: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """A9 + O3: exact nearest-rank percentiles ``sorted[min(n-1, round_half_even(p/100*(n-1)))]`` and max.
 
-    Distributed rank without a global sort: values are reduced to
-    ``(value, count)``; the distinct values are cut into ``buckets`` ranges at
-    approximate quantiles (a bounded list); prefix sums run over the bucket
-    totals (``buckets`` rows) and inside each range (one task per range), and
-    their sum is the exact running count of every distinct value.
+    Distributed rank: values are reduced to ``(value, count)`` and range
+    partitioned, as wide as the session's shuffles; prefix sums run over the
+    partitions' totals (a row a partition) and inside each partition, and their
+    sum is the exact running count of every distinct value. The partitioning is
+    written once, so that both sums see the same one.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(counts.approxQuantile(value, probs, 0.001)))
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda b: b < F.col(value))) \
-        if cuts else F.lit(0)
-    ranged = counts.withColumn("_k", bucket)
+    ranged = materialize(counts.repartitionByRange(F.col(value)).withColumn("_k", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("_k").agg(F.sum("_c").alias("_t"))
     before = (totals.withColumn("_before", F.sum("_t").over(
         Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("_n", F.sum("_t").over(Window.partitionBy()))
         .fillna(0, ["_before"]).select("_k", "_before", "_n"))
     inside = Window.partitionBy("_k").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = (ranged.join(F.broadcast(before), "_k")                 # at most ``buckets`` rows
+    cum = (ranged.join(F.broadcast(before), "_k")                 # a row a partition
            .withColumn("_cum", F.col("_before") + F.sum("_c").over(inside)))
     aggs = []
     for p in ps:

@@ -76,10 +76,8 @@ class RuleConfig:
     max_history: int = 50             # rows retained per customer
     retention_windows: int = 10       # history older than this many windows is trimmed
     # Skew handling: customers with more rows than this are split into time
-    # buckets (exact, with a history halo). At most ``max_hot_customers`` are
-    # split, which bounds the broadcast list of hot keys.
+    # buckets (exact, with a history halo).
     hot_customer_rows: int = 2_000_000
-    max_hot_customers: int = 100_000
     # Each hot customer's time span is cut into buckets of about this many rows
     # (width = span * bucket_rows / rows, at least ``hot_bucket_seconds``).
     hot_bucket_rows: int = 500_000

@@ -30,13 +30,17 @@ def replay_in_order(df: DataFrame, time_col: str, folder: str, slices: int,
     never mixes slices and rows are seen in slice order however many files a
     slice is written as; every drain after the first is a restart. Returns the
     slice width in microseconds. Slice bounds come from one min/max aggregate;
-    every slice is a filtered write, so no slice passes through the driver.
+    every slice is a filtered write, so no slice passes through the driver. Rows without a
+    time come with the first slice.
     """
     t = F.unix_micros(F.col(time_col).cast("timestamp"))
     lo, hi = df.agg(F.min(t), F.max(t)).first()
+    slices = slices if lo is not None else 1                  # no times at all: one slice
+    lo, hi = (lo, hi) if lo is not None else (0, 0)
     width = max(1, (hi - lo) // slices + 1)
     for i in range(slices):
-        df.filter((t >= lo + i * width) & (t < lo + (i + 1) * width)).write.mode("append").parquet(folder)
+        inside = (t >= lo + i * width) & (t < lo + (i + 1) * width)
+        df.filter(inside | t.isNull() if i == 0 else inside).write.mode("append").parquet(folder)
         if drain is not None:
             drain()
     return width
