@@ -42,7 +42,7 @@ EMPTY = np.uint32(0xFFFFFFFF)
 HAS_WORD = re.compile(WORD)
 NODE_SEED = 42                       # Spark's xxhash64 of a string has this seed
 #: Characters whose shingles are hashed at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 TOLD = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()),
                      T.StructField("kept_in", T.ArrayType(T.LongType()))])
@@ -230,6 +230,19 @@ class Comparer:
         return enough(int(np.count_nonzero(large[at] == small)), len(p), len(q))
 
 
+def with_sizes(texts: DataFrame) -> DataFrame:
+    """``(node, line, size)``: size of the shingle set."""
+    def measure(batches):
+        for batch in batches:
+            sizes = []
+            for line in batch.column(1).to_pylist():
+                codes = shingle_codes(line)
+                sizes.append(len(shingle_set(line)) if codes is None else len(codes))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=["node", "line", "size"])
+
+    return texts.select("node", "line").mapInArrow(measure, "node long, line string, size long")
+
+
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose lines are alike."""
     one = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
@@ -250,18 +263,21 @@ def line_links(docs: DataFrame, lines: DataFrame, stages: Stages) -> DataFrame:
     """``(node, root)`` of the lines that belong to a component of several."""
     members = stages.table(band_members(docs), "members")
     nodes = members.select("node").distinct()
-    texts = stages.table(lines.select(F.col("h").alias("node"), "line").join(nodes, "node")
-                         .dropDuplicates(["node"]), "texts")
+    texts = stages.table(with_sizes(lines.select(F.col("h").alias("node"), "line").join(nodes, "node")
+                                    .dropDuplicates(["node"])), "texts")
     least = members.groupBy("key").agg(F.min("node").alias("b"))
     stars = members.join(least, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
     links = stages.table(checked(stars, texts), "stars")
     roots = components(links, stages, "first")
     # bands in several components: pairs across them
-    placed = members.distinct().join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.distinct().join(texts.select("node", "size"), "node").join(roots, "node", "left") \
+        .select("key", "node", F.coalesce("root", "node").alias("root"), "size")
     placed = stages.table(placed, "placed")
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     apart = placed.join(split.select("key"), "key")
-    across = apart.alias("x").join(apart.alias("y"), F.expr("x.key = y.key and x.root < y.root")) \
+    # sets that are alike differ in size by the similarity at most
+    across = apart.alias("x").join(apart.alias("y"), F.expr(
+        f"x.key = y.key and x.root < y.root and least(x.size, y.size) >= {SIMILAR}D * greatest(x.size, y.size)")) \
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     across = across.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = stages.table(checked(across, texts), "across")
