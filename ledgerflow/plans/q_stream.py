@@ -14,8 +14,9 @@ from ..functions.scalars import join_text
 from ..operators import process as P
 from ..operators.rules import rule_findings, rule_only_decision
 from ..streaming.effectively_once import CLAIMS, DEAD, UPDATES, AcceptSink, CommitLog, ProcessingSink, current_payments, run_until_done
-from ..streaming.runs import stream_triage_features
+from ..streaming.runs import stream_triage_features, stream_triage_run
 from ..streaming.staging import replay_in_order, run_folder
+from ..streaming.triage_state import OUTPUT_SCHEMA
 from .q_ingest import VALIDATION_SQL, _PAY_ID
 from .q_process import DECIDED_SQL, PROC_SQL
 from .q_triage import _triage_sql, rules_sql
@@ -27,12 +28,26 @@ DAY = S.DAY_RULES
 @query("stream_triage", _triage_sql(86400))
 def stream_triage(ds):
     """Triage over a payments stream (keyed state, event-time order) equals batch triage."""
-    feats = stream_triage_features(ds.spark, ds.payments, DAY).filter(~F.col("late"))
-    out = rule_only_decision(rule_findings(feats))
+    feats = stream_triage_features(ds.spark, ds.payments, DAY)
+    out = rule_only_decision(rule_findings(feats, DAY))
     return out.select("payment_id", "customer_id", "decision", "risk_score",
                       join_text(F.col("reasons")).alias("reasons_text"))
 
 
+@query("stream_late_rows", """,
+pay AS (SELECT payment_id, customer_id, created_at, event_id % 13 = 0 AS straggler FROM payments),
+folded AS (SELECT customer_id, max(created_at) AS last_at FROM pay WHERE NOT straggler GROUP BY customer_id)
+SELECT p.payment_id, coalesce(p.straggler AND p.created_at <= f.last_at, false) AS late
+FROM pay p LEFT JOIN folded f USING (customer_id)""")
+def stream_late_rows(ds):
+    """T1 conservation on a replay with late rows: every 13th payment arrives when the watermark has
+    passed all others, and each row ends once, in the features or in the table of late rows."""
+    straggler = F.col("event_id") % 13 == 0
+    log = stream_triage_run(ds.spark, ds.payments.filter(~straggler), DAY, stragglers=ds.payments.filter(straggler))
+    both = log.committed("features", OUTPUT_SCHEMA).unionByName(log.committed("late_rows", OUTPUT_SCHEMA))
+    return both.select("payment_id", "late")
+
+
 class CrashOnce(CommitLog):
     """Fails once, after a batch's outputs are written and before its marker."""
 
@@ -136,8 +151,8 @@ def stream_outcomes(ds):
     """T1 + K9 composed: the stateful triage stream writes decisions with full customer
     history; the effectively-once processor (crash and restart included) takes them
     through a table decider. Committed payment updates equal batch triage."""
-    feats = stream_triage_features(ds.spark, ds.payments, DAY).filter(~F.col("late"))
-    decisions = rule_only_decision(rule_findings(feats)).select("payment_id", "decision", "risk_score", "reasons")
+    feats = stream_triage_features(ds.spark, ds.payments, DAY)
+    decisions = rule_only_decision(rule_findings(feats, DAY)).select("payment_id", "decision", "risk_score", "reasons")
     log = _processing_run(ds, decider=P.table_decider(decisions))
     ups = log.committed("payment_updates", UPDATES)
     return ups.select("payment_id", "status", "fraud_decision", "risk_score")

@@ -164,6 +164,24 @@ def current_payments(log: CommitLog, payments: DataFrame) -> DataFrame:
     return P.apply_updates(payments, last.select("payment_id", "u.*"))
 
 
+class TriageSink:
+    """``foreachBatch`` target for the stateful triage stream (T1, with ``keep_late``):
+    features of folded rows go to ``features``, rows that came too late to be folded
+    to ``late_rows``; every input row lands in one of them."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.log = CommitLog(spark, root)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()                              # the stateful step runs once
+        try:
+            self.log.write("features", batch.filter(~F.col("late")), batch_id)
+            self.log.write("late_rows", batch.filter(F.col("late")), batch_id)
+            self.log.commit(batch_id)
+        finally:
+            batch.unpersist()
+
+
 class AcceptSink:
     """``foreachBatch`` target for the request stream (T3): first valid request per
     key creates the payment (and its outbox row) unless a committed batch already

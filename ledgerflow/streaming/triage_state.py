@@ -29,6 +29,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schemas import DEFAULT_RULES, RuleConfig
 
+FAR_FUTURE = "2200-01-01 00:00:00"   # inside the pandas timestamp range
+
 # Arrow output of groups with all-null feature columns trips a pandas notice
 # inside the PySpark serializer; it does not affect results.
 warnings.filterwarnings("ignore", category=FutureWarning, module="pyspark.sql.pandas.serializers")
@@ -54,12 +56,17 @@ def _avg(units: list[int]) -> Decimal | None:
     return (Decimal(cents) / 100).quantize(Decimal("0.01"))
 
 
-def make_fold(cfg: RuleConfig, idle_ttl_seconds: int | None = None):
+# Spark looks for this key on a column to filter rows behind the watermark.
+_WATERMARK_KEY = "spark.watermarkDelayMs"
+
+
+def make_fold(cfg: RuleConfig, idle_ttl_seconds: int | None = None, keep_late: bool = False):
     """The per-customer fold. With ``idle_ttl_seconds`` a customer idle for longer
     than that in event time is forgotten: a row arriving later starts from an
     empty history, and state with nothing buffered is removed once the watermark
     passes the customer's last row plus the TTL (off by default: the original
-    never forgets a customer)."""
+    never forgets a customer). A customer without state may have been forgotten, so
+    with ``keep_late`` and a TTL a row older than the TTL before the watermark is late."""
     window_us = cfg.window_seconds * 1_000_000
     retention_us = window_us * cfg.retention_windows
     idle_ttl_us = None if idle_ttl_seconds is None else idle_ttl_seconds * 1_000_000
@@ -80,11 +87,14 @@ def make_fold(cfg: RuleConfig, idle_ttl_seconds: int | None = None):
         pending.sort(key=lambda r: (r[1], r[2]))
         ready = [r for r in pending if r[1] <= watermark_us]
         keep = [r for r in pending if r[1] > watermark_us]
+        folded = ht[-1] if ht else None                      # by earlier micro-batches
+        if folded is None and keep_late and idle_ttl_us is not None and not state.exists:
+            folded = watermark_us - idle_ttl_us
         out = []
         for pid, t, eid, amt, cur, country in ready:
             row = {"payment_id": pid, "customer_id": customer, "created_at": pd.Timestamp(t, unit="us"),
                    "event_id": eid, "amount": Decimal(amt), "currency": cur, "country": country}
-            if ht and t < ht[-1]:
+            if folded is not None and t <= folded:
                 out.append({**row, "late": True})
                 continue
             if idle_ttl_us is not None and ht and t > ht[-1] + idle_ttl_us:
@@ -120,15 +130,21 @@ def make_fold(cfg: RuleConfig, idle_ttl_seconds: int | None = None):
 
 
 def stream_activity(stream: DataFrame, cfg: RuleConfig = DEFAULT_RULES, delay: str = "10 minutes",
-                    idle_ttl_seconds: int | None = None) -> DataFrame:
+                    idle_ttl_seconds: int | None = None, keep_late: bool = False) -> DataFrame:
     """Activity features over a payments stream (needs ``payment_id, customer_id,
     created_at, event_id, amount, currency, country``). ``idle_ttl_seconds``
-    bounds state growth by evicting idle customers (default: never)."""
+    bounds state growth by evicting idle customers (default: never).
+
+    With ``keep_late`` every input row comes out, folded or with ``late = true``:
+    the watermark still follows ``created_at``, but the column that Spark filters
+    late rows by is never behind it."""
+    passing = F.greatest("created_at", F.lit(FAR_FUTURE).cast("timestamp"))
+    clock = passing.alias("_passing", metadata={_WATERMARK_KEY: 0}) if keep_late else F.col("created_at")
     src = (stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
            .withWatermark("created_at", delay)
            .withColumn("_t", F.unix_micros("created_at"))
-           .select("payment_id", "customer_id", "created_at", "_t", "event_id", "amount", "currency",
+           .select("payment_id", "customer_id", clock, "_t", "event_id", "amount", "currency",
                    "country"))
     return src.groupBy("customer_id").applyInPandasWithState(
-        make_fold(cfg, idle_ttl_seconds), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+        make_fold(cfg, idle_ttl_seconds, keep_late), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
