@@ -13,11 +13,11 @@ from .. import schemas as S
 from ..functions.scalars import join_text
 from ..operators import process as P
 from ..operators.rules import rule_findings, rule_only_decision
-from ..streaming.effectively_once import CLAIMS, DEAD, UPDATES, AcceptSink, CommitLog, ProcessingSink, current_payments, run_until_done
+from ..streaming.effectively_once import ANSWERS, CLAIMS, DEAD, PAYMENTS, UPDATES, AcceptSink, CommitLog, ProcessingSink, current_payments, run_until_done
 from ..streaming.runs import stream_triage_features, stream_triage_run
 from ..streaming.staging import replay_in_order, run_folder
 from ..streaming.triage_state import OUTPUT_SCHEMA
-from .q_ingest import VALIDATION_SQL, _PAY_ID
+from .q_ingest import ACCEPT_SQL, VALIDATION_SQL, _PAY_ID
 from .q_process import DECIDED_SQL, PROC_SQL
 from .q_triage import _triage_sql, rules_sql
 from .registry import query
@@ -127,6 +127,13 @@ SELECT {_PAY_ID} AS payment_id, idempotency_key, amount, currency, customer_id,
 FROM firsts""", decimals=('amount',))
 def stream_accept(ds):
     """Payments created by the request stream; keys dedupe across batches via committed rows."""
+    pays = _accept_run(ds).committed("payments", PAYMENTS)
+    return pays.select("payment_id", "idempotency_key", "amount", "currency", "customer_id", "card_last4",
+                       "country", "merchant", "status", "created_at")
+
+
+def _accept_run(ds):
+    """Requests replayed through the intake, in four micro-batches or more."""
     spark = ds.spark
     root = run_folder(spark, "stream_accept")
     sink = AcceptSink(spark, f"{root}/out")
@@ -138,9 +145,16 @@ def stream_accept(ds):
 
     replay_in_order(ds.requests, "received_at", f"{root}/input", 4,
                     lambda: run_until_done(start, partitions=spark.sparkContext.defaultParallelism))
-    pays = sink.log.committed("payments", "payment_id string")
-    return pays.select("payment_id", "idempotency_key", "amount", "currency", "customer_id", "card_last4",
-                       "country", "merchant", "status", "created_at")
+    return sink.log
+
+
+@query("stream_answers", "RECURSIVE" + ACCEPT_SQL + f"""
+SELECT request_id, idempotency_key, {_PAY_ID} AS payment_id, accept_result, 'RECEIVED' AS status
+FROM classes""")
+def stream_answers(ds):
+    """T3 + A4: the answers that the request stream gives, across micro-batches, equal those of one batch."""
+    return _accept_run(ds).committed("answers", ANSWERS).select(
+        "request_id", "idempotency_key", "payment_id", "accept_result", "status")
 
 
 @query("stream_outcomes", PROC_SQL + rules_sql(86400) + """

@@ -182,11 +182,21 @@ class TriageSink:
             batch.unpersist()
 
 
+PAYMENTS = ("payment_id string, idempotency_key string, amount decimal(19,4), currency string, customer_id string, "
+            "card_last4 string, country string, merchant string, status string, created_at timestamp")
+ANSWERS = ("request_id bigint, idempotency_key string, payment_id string, accept_result string, status string, "
+           "received_at timestamp")
+
+
 class AcceptSink:
     """``foreachBatch`` target for the request stream (T3): first valid request per
     key creates the payment (and its outbox row) unless a committed batch already
-    created it; rejected requests are kept with their violations. Committed
-    payments are narrowed to the batch's keys first (as in ``ProcessingSink``)."""
+    created it; every valid request gets an answer row, rejected requests are kept
+    with their violations. Committed payments are narrowed to the batch's keys first
+    (as in ``ProcessingSink``).
+
+    The TTL of a key runs from the last time its answer was cached, which the
+    committed answers tell: the creation, or the last answer from the table."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.log = CommitLog(spark, root)
@@ -194,13 +204,21 @@ class AcceptSink:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            keys = batch.select("idempotency_key").filter(F.col("idempotency_key").isNotNull())
-            before = self.log.committed("payments", "idempotency_key string", exclude=batch_id)
-            relevant = before.join(keys.distinct(), "idempotency_key", "left_semi")
-            out = I.ingest_batch(batch, existing=relevant, with_answers=False)
+            keys = batch.select("idempotency_key").filter(F.col("idempotency_key").isNotNull()).distinct()
+            before = (self.log.committed("payments", PAYMENTS, exclude=batch_id)
+                      .select("idempotency_key", "payment_id", "status", "created_at"))
+            answered = self.log.committed("answers", ANSWERS, exclude=batch_id)
+            cached = (answered.filter(F.col("accept_result").isin("created", "idempotent_db"))
+                      .join(keys, "idempotency_key", "left_semi")
+                      .groupBy("idempotency_key").agg(F.max("received_at").alias("_cached")))
+            relevant = (before.join(keys, "idempotency_key", "left_semi").join(cached, "idempotency_key", "left")
+                        .withColumn("created_at", F.coalesce("_cached", "created_at")).drop("_cached"))
+            out = I.ingest_batch(batch, existing=relevant)
+            times = batch.groupBy("request_id").agg(F.min("received_at").alias("received_at"))
             self.log.write("payments", out.payments, batch_id)
             self.log.write("outbox", out.outbox, batch_id)
             self.log.write("rejected", out.rejected, batch_id)
+            self.log.write("answers", out.answers.join(times, "request_id"), batch_id)
             self.log.commit(batch_id)
         finally:
             batch.unpersist()
