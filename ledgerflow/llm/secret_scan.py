@@ -49,6 +49,8 @@ CODE[list(ALPHABET.encode())] = np.arange(1, STATES)
 #: A run is judged from this size on.
 RUN_SIZE = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{RUN_SIZE},}}")
+#: Characters that join a pattern's match to the rest of its run.
+SEPARATORS = "/+=_-"
 #: Characters a random run has at least; rulers and fillers have fewer.
 DISTINCT = 6
 #: Natural log of how much likelier a run must be as a random string (odds of one in e^-14 among runs).
@@ -102,15 +104,38 @@ class Models:
         return float(self.ratio[codes[:-1], codes[1:]].sum())
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """All spans of a text: the patterns', and runs apart from them that the models call random."""
+        """All spans of a text: the patterns', and runs, or what the patterns leave of them, that the models call random."""
         found = pattern_spans(text)
         out = [(a, b, kind) for a, b, kind, _ in found]
         for m in RUN.finditer(text):
-            if len(set(m.group())) >= DISTINCT and self.score(m.group()) >= LEAST_RATIO and not any(a < m.end() and m.start() < b for a, b, _, _ in found):
-                out.append((m.start(), m.end(), 3))
+            for start, end in pieces(text, m.start(), m.end(), found):
+                piece = text[start:end]
+                if len(piece) >= RUN_SIZE and len(set(piece)) >= DISTINCT and self.score(piece) >= LEAST_RATIO:
+                    out.append((start, end, 3))
         return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def pieces(text: str, start: int, end: int, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run outside the patterns' matches, without the separators next to a match."""
+    out, at, cut = [], start, False
+    for a, b, _, _ in found:
+        if b <= start or a >= end:
+            continue
+        if a > at:
+            out.append((at, a, cut, True))
+        at, cut = max(at, b), True
+    if at < end:
+        out.append((at, end, cut, False))
+    trimmed = []
+    for a, b, left, right in out:
+        while left and a < b and text[a] in SEPARATORS:
+            a += 1
+        while right and a < b and text[b - 1] in SEPARATORS:
+            b -= 1
+        trimmed.append((a, b))
+    return trimmed
+
+
 def summed(counts: DataFrame) -> Models:
     """Models from rows ``(random, pair, n)``."""
     both = np.zeros((2, STATES * STATES), np.int64)
