@@ -67,7 +67,7 @@ def amount_rule(amount: Column, currency: Column, avg_prior: Column) -> dict[str
     ], "amount")
 
 
-def rule_findings(df: DataFrame, cfg: S.RuleConfig = S.DEFAULT_RULES) -> DataFrame:
+def rule_findings(df: DataFrame, cfg: S.RuleConfig) -> DataFrame:
     """R1-R6 on a frame that carries the activity features.
 
     Adds per-rule ``{velocity,geo,amount}_{severity,risk,signal}`` and the folds

@@ -166,7 +166,7 @@ query("history_retained", features_sql(86400) + "\nSELECT payment_id, history_re
 
 def _rule_query(prefix):
     def build(ds):
-        out = rule_findings(activity_snapshot(ds.payments, DAY))
+        out = rule_findings(activity_snapshot(ds.payments, DAY), DAY)
         return out.select("payment_id",
                           F.when(F.col(f"{prefix}_severity") == 2, "BLOCK")
                           .when(F.col(f"{prefix}_severity") == 1, "ESCALATE")
@@ -188,6 +188,6 @@ for _p, _key in (("velocity", "rule_velocity"), ("geo", "rule_geo"), ("amount",
 SELECT payment_id, recommended, rule_risk, signals_text FROM findings""")
 def q_rule_findings(ds):
     """Folded severity, risk and ordered signal list."""
-    out = rule_findings(activity_snapshot(ds.payments, DAY))
+    out = rule_findings(activity_snapshot(ds.payments, DAY), DAY)
     return out.select("payment_id", "recommended", "rule_risk",
                       join_text(F.col("signals")).alias("signals_text"))

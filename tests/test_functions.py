@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions import scalars as X
 from ledgerflow.operators import process as P
 from ledgerflow.operators.features import activity_snapshot
+from ledgerflow.schemas import DEFAULT_RULES
 from ledgerflow.operators.rules import rule_findings
 from ledgerflow.operators.triage import triage
 from ledgerflow.operators.verdict import score_prompts, verdict_reasoner
@@ -37,7 +38,7 @@ def test_cached_value_codec(spark):
 
 def test_scorer_hook_feeds_the_reconciler(spark):
     pays = payments(spark, [("c", 0, "6000.00", "US")])
-    findings = rule_findings(activity_snapshot(pays))
+    findings = rule_findings(activity_snapshot(pays), DEFAULT_RULES)
 
     def scorer(pdf: pd.DataFrame) -> pd.DataFrame:
         assert pdf["prompt"].str.contains('"floor":').all()
