@@ -177,3 +177,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     clean = without_lines(docs, removed_lines(docs), told="lines")
     return clean.select("doc_id", "lines.n_lines", "lines.n_removed", "lines.kept_in", "text")
+
+
+def op11_sql(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
+    """Every round as its own common table expressions."""
+    parts = [f"""kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+             f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, v AS c FROM kept ORDER BY sha256('2:' || vec_id) LIMIT {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))
+         AS BIGINT), k := k)) AS best FROM kept, c{r} GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  WITH sums AS (SELECT best.k AS k, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY 1, 2),
+  means AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sums GROUP BY k)
+  SELECT c{r}.k, coalesce(means.c, c{r}.c) AS c FROM c{r} LEFT JOIN means USING (k))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best.k = c{rounds}.k"""
+
+
+@query("op11_centroids", op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))[0]
