@@ -207,3 +207,55 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster
 
     return cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+       count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
+
+
+@query("op12_exact_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import dedup
+
+    return dedup(spark, f"{sf_dir}/documents.parquet").withColumnsRenamed({"id": "doc_id", "digest": "text_sha256"})
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, unnest(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part FROM documents),
+split AS MATERIALIZED (SELECT lang, regexp_extract_all(part, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, list_slice(w, i, i + size - 1) AS p
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split) s, range(1, 5) t(size) WHERE i + size - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, p, len(p) AS size, count(*) AS a FROM grams GROUP BY lang, p HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+cand AS (SELECT * FROM f WHERE size > 1),
+cuts AS (
+  SELECT c.lang, c.p, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM cand c JOIN range(1, 4) t(k) ON k < c.size
+  JOIN f x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, k) JOIN f y ON y.lang = c.lang AND y.p = list_slice(c.p, k + 1, c.size)),
+scored AS (
+  SELECT lang, p, a, best.l AS l, best.r AS r, best.score AS score
+  FROM (SELECT lang, p, a, min(struct_pack(score := score, k := k, l := l, r := r)) AS best FROM cuts GROUP BY lang, p, a)),
+within AS (
+  SELECT c.lang, list_slice(c.p, i, i + m - 1) AS p, max(c.a) AS around
+  FROM cand c, range(2, 4) t(m), range(1, 4) u(i) WHERE m < c.size AND i + m - 1 <= c.size GROUP BY 1, 2),
+kept AS (
+  SELECT s.*, array_to_string(s.p, ' ') AS phrase FROM scored s LEFT JOIN within w ON w.lang = s.lang AND w.p = s.p
+  WHERE w.around IS NULL OR 100::HUGEINT * w.around < 80::HUGEINT * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_mining", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import phrases
+
+    return phrases(table(spark, sf_dir, "documents"))
