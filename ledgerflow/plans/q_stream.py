@@ -13,9 +13,13 @@ from .. import schemas as S
 from ..functions.scalars import join_text
 from ..operators import process as P
 from ..operators.rules import rule_findings, rule_only_decision
+from ..operators.triage import triage
+from ..session import materialize
 from ..streaming.effectively_once import ANSWERS, CLAIMS, DEAD, PAYMENTS, UPDATES, AcceptSink, CommitLog, ProcessingSink, current_payments, run_until_done
+from ..streaming.keyed_claims import CLAIM_OUTCOMES, DEAD_LETTERS, ClaimStream
 from ..streaming.runs import stream_triage_features, stream_triage_run
 from ..streaming.staging import replay_in_order, run_folder
+from ..streaming.triage_slices import stream_activity_slices
 from ..streaming.triage_state import OUTPUT_SCHEMA
 from .q_ingest import ACCEPT_SQL, VALIDATION_SQL, _PAY_ID
 from .q_process import DECIDED_SQL, PROC_SQL
@@ -34,6 +38,15 @@ def stream_triage(ds):
                       join_text(F.col("reasons")).alias("reasons_text"))
 
 
+@query("stream_triage_slices", _triage_sql(86400))
+def stream_triage_slices(ds):
+    """T1 for hot customers: state keyed by customer and day, halos handed from slice to slice."""
+    log = stream_triage_run(ds.spark, ds.payments, DAY,
+                            activity=lambda stream, cfg, delay: stream_activity_slices(stream, cfg, delay, 86400))
+    out = rule_only_decision(rule_findings(log.committed("features", OUTPUT_SCHEMA), DAY))
+    return out.select("payment_id", "customer_id", "decision", "risk_score", join_text(F.col("reasons")).alias("reasons_text"))
+
+
 @query("stream_late_rows", """,
 pay AS (SELECT payment_id, customer_id, created_at, event_id % 13 = 0 AS straggler FROM payments),
 folded AS (SELECT customer_id, max(created_at) AS last_at FROM pay WHERE NOT straggler GROUP BY customer_id)
@@ -48,37 +61,12 @@ def stream_late_rows(ds):
     return both.select("payment_id", "late")
 
 
-class CrashOnce(CommitLog):
-    """Fails once, after a batch's outputs are written and before its marker."""
-
-    def __init__(self, spark, root: str, at: int):
-        super().__init__(spark, root)
-        self.at = at
-
-    def commit(self, batch_id: int) -> None:
-        if batch_id == self.at:
-            self.at = None
-            raise RuntimeError(f"injected crash before the marker of batch {batch_id}")
-        super().commit(batch_id)
-
-
-_RUNS: dict[tuple[str, str], CommitLog] = {}
-
-
-def _processed(ds):
-    """The tables that one run over the dataset has left; several reports read them."""
-    key = (ds.spark.sparkContext.applicationId, ds.sf_dir)
-    if key not in _RUNS:
-        _RUNS[key] = _processing_run(ds)
-    return _RUNS[key]
-
-
-def _processing_run(ds, crash_at: int = 1000, decider=None):
-    """Deliveries replayed through the processor, with one crash and restart; ends when
-    the retry queue is empty."""
+def _processing_run(ds, decider=None, log=CommitLog):
+    """Deliveries replayed through the processor, in four drains or more; ends when the retry
+    queue is empty. ``log`` makes the commit log (tests give one that fails once)."""
     spark = ds.spark
     root = run_folder(spark, "stream_processing")
-    log = CrashOnce(spark, f"{root}/out", crash_at)
+    log = log(spark, f"{root}/out")
     sink = ProcessingSink(spark, f"{root}/out", ds.stored_payments, ds.claimed, log=log,
                           decider=decider or P.rules_decider(DAY, hot_source=ds.stored_payments))
 
@@ -93,20 +81,54 @@ def _processing_run(ds, crash_at: int = 1000, decider=None):
     return log
 
 
+def claim_run(ds, log=CommitLog):
+    """Deliveries replayed through the claims in keyed state, until no record waits for a retry."""
+    spark = ds.spark
+    root = run_folder(spark, "stream_claims")
+    decisions = materialize(triage(ds.payments, DAY).select("payment_id", "decision", "risk_score", "reasons"), "decisions")
+    stream = ClaimStream(spark, root, lambda: ds.stored_payments, lambda: decisions, ds.claimed, log(spark, f"{root}/out"))
+    replay_in_order(ds.deliveries, "delivered_at", f"{root}/input", 4,
+                    lambda: run_until_done(lambda: stream.start(f"{root}/input")))
+    stream.finish(f"{root}/input")
+    return stream
+
+
 @query("stream_claims", DECIDED_SQL + """
 SELECT ev_id AS event_id, delivered_at AS processed_at FROM decided""")
 def stream_claims(ds):
-    """T2 + T7 + K9: claims written by the deliveries stream, with one injected crash and restart."""
-    log = _processed(ds)
-    return log.committed("claims", CLAIMS).select("event_id", "processed_at")
+    """T2 + K4 + J2 + T7: claims in the stream's keyed state; no micro-batch reads a claims table."""
+    return claim_run(ds).log.committed("claims", CLAIM_OUTCOMES).select("event_id", "processed_at")
+
+
+@query("stream_claim_outcomes", PROC_SQL + rules_sql(86400) + """
+SELECT f.ev_id AS event_id, f.payment_id, f.delivered_at AS processed_at,
+       CASE WHEN r.recommended = 'APPROVE' THEN 'PROCESSED' ELSE 'BLOCKED' END AS status, r.recommended AS decision,
+       r.rule_risk AS risk_score, r.signals_text || '; """ + S.RULES_ONLY_REASON + """' AS reasons_text,
+       CASE WHEN r.recommended = 'APPROVE' THEN 'payments.processed' ELSE 'payments.blocked' END AS topic
+FROM found f JOIN findings r USING (payment_id)""")
+def stream_claim_outcomes(ds):
+    """T7 + R13 + R14: the claim and the outcome that it came with, in one row of the keyed stream."""
+    rows = claim_run(ds).log.committed("claims", CLAIM_OUTCOMES)
+    return rows.select("event_id", "payment_id", "processed_at", "status", "decision", "risk_score",
+                       join_text(F.col("reasons")).alias("reasons_text"), "topic")
+
+
+@query("stream_claim_dead_letters", PROC_SQL + """
+SELECT topic, CAST(partition AS INTEGER) AS partition, "offset", 4 AS attempt, reason, payload,
+       delivered_at + INTERVAL 7 SECOND AS died_at FROM dead""")
+def stream_claim_dead_letters(ds):
+    """K8 + T6: records that failed four attempts, through the retry folder that the keyed stream reads as a
+    second source."""
+    dead = claim_run(ds).log.committed("dead_letters", DEAD_LETTERS)
+    return dead.select("topic", "partition", "offset", "attempt", "reason", "payload", F.col("next_attempt_at").alias("died_at"))
 
 
 @query("effectively_once", DECIDED_SQL + """
 SELECT (SELECT count(*) FROM decided) AS claims, (SELECT count(*) FROM decided) AS outcome_events,
        CAST(0 AS BIGINT) AS duplicated_payments, (SELECT count(*) FROM dead) AS dead_letters""")
 def effectively_once(ds):
-    """After a crash mid-stream and a restart: every event once, no duplicate outcome."""
-    log = _processed(ds)
+    """Every event once, no duplicate outcome (tests add a crash and a restart)."""
+    log = _processing_run(ds)
     claims = log.committed("claims", CLAIMS).select(F.lit(0).alias("_k"))
     outs = (log.committed("outcome_outbox", "aggregate_id string").groupBy("aggregate_id")
             .agg(F.count(F.lit(1)).alias("_n")))
@@ -182,7 +204,7 @@ FROM stored_payments p LEFT JOIN decided d USING (payment_id)""", decimals=("ris
 def stream_payments_after(ds):
     """K5 + J6 + T8: micro-batches decide with the history of earlier ones and of earlier runs, so
     the payments they leave equal those of one batch."""
-    after = current_payments(_processed(ds), ds.stored_payments)
+    after = current_payments(_processing_run(ds), ds.stored_payments)
     return after.select("payment_id", "status", "fraud_decision", "risk_score", "fraud_reasons")
 
 
@@ -191,7 +213,7 @@ SELECT topic, CAST(partition AS INTEGER) AS partition, "offset", 4 AS attempt, r
        delivered_at + INTERVAL 7 SECOND AS died_at FROM dead""")
 def stream_dead_letters(ds):
     """K8 + T6: records that failed four attempts (after 1, 2 and 4 s), with their payload."""
-    dead = _processed(ds).committed("dead_letters", DEAD)
+    dead = _processing_run(ds).committed("dead_letters", DEAD)
     return dead.select("topic", "partition", "offset", "attempt", "reason", "payload",
                        F.col("next_attempt_at").alias("died_at"))
 
@@ -202,7 +224,7 @@ SELECT (SELECT count(*) FROM deliveries) AS delivered, (SELECT count(*) FROM dec
        (SELECT count(*) FROM dead) AS dead_letters""")
 def stream_conservation(ds):
     """Every delivered record ends as processed, duplicate or dead letter, once."""
-    log = _processed(ds)
+    log = _processing_run(ds)
     kinds = [ds.deliveries.select(F.lit("delivered").alias("kind")),
              log.committed("claims", CLAIMS).select(F.lit("processed").alias("kind")),
              log.committed("duplicates", "topic string").select(F.lit("duplicates").alias("kind")),

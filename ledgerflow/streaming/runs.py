@@ -7,6 +7,8 @@ log, so reading the output back gives only committed results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ _COLS = ["payment_id", "customer_id", "created_at", "event_id", "amount", "curre
 
 def stream_triage_run(spark: SparkSession, payments: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
                       slices: int = 4, files_per_trigger: int = 2, delay_seconds: int = 600,
-                      state_partitions: int | None = None, stragglers: DataFrame | None = None) -> CommitLog:
+                      state_partitions: int | None = None, stragglers: DataFrame | None = None,
+                      activity: Callable[[DataFrame, RuleConfig, str], DataFrame] | None = None) -> CommitLog:
     """Replay ``payments`` as a time-ordered stream through the stateful fold;
     the log holds the ``features`` and the ``late_rows`` tables.
 
@@ -34,7 +37,8 @@ def stream_triage_run(spark: SparkSession, payments: DataFrame, cfg: RuleConfig
     emitted). ``stragglers`` arrive after that, in one micro-batch, so those not
     after their customer's last row are late. The state is split into
     ``state_partitions`` partitions (fixed by the checkpoint at the first start;
-    default: the cluster's core count).
+    default: the cluster's core count). ``activity`` is another form of the stateful
+    step (``triage_slices``).
     """
     root = run_folder(spark, "stream_triage")
     data = payments.select(*_COLS)
@@ -46,7 +50,9 @@ def stream_triage_run(spark: SparkSession, payments: DataFrame, cfg: RuleConfig
     def drain(files: int | None) -> None:
         reader = spark.readStream.schema(data.schema)
         reader = reader.option("maxFilesPerTrigger", files) if files else reader
-        feats = stream_activity(reader.parquet(f"{root}/input"), cfg, f"{delay} seconds", keep_late=True)
+        source = reader.parquet(f"{root}/input")
+        feats = (activity(source, cfg, f"{delay} seconds") if activity
+                 else stream_activity(source, cfg, f"{delay} seconds", keep_late=True))
         with scoped_conf(spark, **{"spark.sql.shuffle.partitions": str(parts)}):
             query = (feats.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
                      .outputMode("append").trigger(availableNow=True).start())

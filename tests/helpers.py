@@ -19,3 +19,19 @@ def payments(spark, rows):
 
 def by_id(df, *cols):
     return {r["payment_id"]: (r if not cols else tuple(r[c] for c in cols)) for r in df.collect()}
+
+
+def crash_once(at):
+    """A commit log that fails once, after batch ``at``'s outputs are written and before its marker."""
+    from ledgerflow.streaming.effectively_once import CommitLog
+
+    class CrashOnce(CommitLog):
+        left = [at]
+
+        def commit(self, batch_id):
+            if batch_id in self.left:
+                self.left.clear()
+                raise RuntimeError(f"injected crash before the marker of batch {batch_id}")
+            super().commit(batch_id)
+
+    return CrashOnce
