@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 from ..session import scoped_conf
 from .common import Stages, named
 
-#: The state store: on disk, with a bound on what its instances of an executor hold in memory.
+#: The state store: on disk, with a bound on what its instances of an executor hold in memory;
+#: small stores take no more room than they fill, and a micro-batch writes its changes only.
 STORE = {"spark.sql.streaming.stateStore.providerClass":
          "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
          "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
+         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 class Deduplicator:
