@@ -1,6 +1,6 @@
 """Counting quotient filters over packed n-grams of word numbers.
 
-An n-gram is ``size`` numbers of ``width`` bits. Its packed bits are permuted by an
+An n-gram is ``size`` (two or more) numbers of ``width`` bits. Its packed bits are permuted by an
 invertible function, which spreads them evenly; the first bits of the result are the
 quotient, all others the remainder, so that nothing of the key is lost. A filter holds
 its keys in order: the lengths of the quotients' runs as a string of bits (as many ones
