@@ -21,10 +21,11 @@ of one ROWS frame ``-H .. 0`` over ``(customer_id ORDER BY created_at, tiebreak)
 
 One Exchange, one Sort, one Window for the whole feature set.
 
-Skew: a window partition is one task. Customers with more than
-``hot_customer_rows`` rows are cut into time buckets; each bucket gets a halo of
-the ``H`` rows that precede it, taken from the tails of earlier buckets, so the
-frame sees exactly the rows it would see unsplit. Halo rows are dropped after
+Skew: a window partition is one task. The rows of customers with more than
+``hot_customer_rows`` are cut at quantiles of (customer, time, tiebreak) into ranges
+of about ``hot_bucket_rows`` rows, a burst within a second too; each range gets a halo
+of the customer's ``H`` rows that precede it, taken from the tails of earlier ranges,
+so the frame sees exactly the rows it would see unsplit. Halo rows are dropped after
 the window. A first, cheap job (partial count per customer) decides whether
 any customer is hot; without one the plan is the plain single-shuffle window.
 """
@@ -37,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_RULES, RuleConfig
+from ..session import materialize
 
 FEATURE_COLUMNS = ("velocity_count", "geo_distinct", "previous_country",
                    "avg_prior_amount", "history_retained")
@@ -96,36 +98,33 @@ def _windowed(df: DataFrame, part: list[str], tiebreak: str, cfg: RuleConfig) ->
 
 
 def _hot_customers(df: DataFrame, cfg: RuleConfig) -> DataFrame:
-    """Customers too big for one task, with their bucket origin and width.
+    """``(customer_id, _n)`` of the customers too big for one task: one partial aggregate."""
+    counts = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") > cfg.hot_customer_rows)
 
-    One partial aggregate per customer. Bucket width is the customer's time
-    span divided into ``ceil(rows / hot_bucket_rows)`` parts.
-    """
-    counts = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"),
-                                           F.max("_t").alias("_hi"))
-    parts = F.ceil(F.col("_n") / cfg.hot_bucket_rows)
-    width = F.greatest(F.lit(cfg.hot_bucket_seconds * _MICROS),
-                       ((F.col("_hi") - F.col("_lo")) / parts).cast("bigint") + 1)
-    return (counts.filter(F.col("_n") > cfg.hot_customer_rows)
-            .select("customer_id", F.lit(True).alias("_hot"), "_lo", width.alias("_w")))
-
-
-def _with_halo(df: DataFrame, tiebreak: str, cfg: RuleConfig, hot: DataFrame) -> DataFrame:
-    """Tag hot customers' rows with a time bucket and add the halo rows."""
-    tagged = (df.join(hot, "customer_id", "left")                       # broadcast or not by its size at run time
-              .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
-              .withColumn("_b", F.when(F.col("_hot"), F.floor((F.col("_t") - F.col("_lo")) / F.col("_w")))
-                          .otherwise(F.lit(0)).cast("bigint"))
-              .withColumn("_halo", F.lit(False))
-              .drop("_lo", "_w"))
+
+def _ranged(rows: DataFrame, tiebreak: str, ranges: int) -> DataFrame:
+    """Hot customers' rows with ``_b``, the number of their range from 1 on: quantile cuts of (customer,
+    time, tiebreak), so ranges have about the same number of rows however the rows lie in time. The
+    cuts come from a sample and would differ if computed again, so the rows are written once."""
+    cut = rows.repartitionByRange(ranges, "customer_id", "_t", tiebreak)
+    return materialize(cut.withColumn("_b", (F.spark_partition_id() + 1).cast("bigint")), "hot_rows")
+
+
+def _with_halo(df: DataFrame, tiebreak: str, cfg: RuleConfig, hot: DataFrame, ranges: int) -> DataFrame:
+    """Tag hot customers' rows with a range and add the halo rows; all others are in range 0."""
+    names = hot.select("customer_id")                                   # broadcast or not by its size at run time
+    cut = _ranged(df.join(names, "customer_id", "left_semi"), tiebreak, ranges)
+    tagged = (df.join(names, "customer_id", "left_anti").withColumn("_b", F.lit(0).cast("bigint"))
+              .unionByName(cut).withColumn("_halo", F.lit(False)))
     hmax = cfg.max_history
-    hot_rows = tagged.filter(F.col("_hot")).select("customer_id", "_b", "_t", tiebreak, "_a", "country")
-    # Last H rows of every (customer, bucket): a per-group limit, computed before the shuffle.
+    hot_rows = cut.select("customer_id", "_b", "_t", tiebreak, "_a", "country")
+    # Last H rows of every (customer, range): a per-group limit, computed before the shuffle.
     desc = Window.partitionBy("customer_id", "_b").orderBy(F.desc("_t"), F.desc(tiebreak))
     tails = (hot_rows.withColumn("_r", F.row_number().over(desc)).filter(F.col("_r") <= hmax)
              .groupBy("customer_id", "_b")
              .agg(F.collect_list(F.struct("_t", tiebreak, "_a", "country")).alias("_tail")))
-    # Halo of bucket b: the last H rows of the (at most H) non-empty buckets before it.
+    # Halo of range b: the last H rows of the (at most H) ranges before it that hold rows of the customer.
     prev = Window.partitionBy("customer_id").orderBy("_b").rowsBetween(-hmax, -1)
     halo = (tails.withColumn("_all", F.array_sort(F.flatten(F.collect_list("_tail").over(prev))))
             .select("customer_id", "_b",
@@ -133,7 +132,7 @@ def _with_halo(df: DataFrame, tiebreak: str, cfg: RuleConfig, hot: DataFrame) ->
                     .alias("_r"))
             .select("customer_id", "_b", "_r._t", F.col(f"_r.{tiebreak}").alias(tiebreak),
                     "_r._a", "_r.country", F.lit(True).alias("_halo")))
-    return tagged.drop("_hot").unionByName(halo, allowMissingColumns=True)
+    return tagged.unionByName(halo, allowMissingColumns=True)
 
 
 def activity_snapshot(df: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
@@ -142,18 +141,16 @@ def activity_snapshot(df: DataFrame, cfg: RuleConfig = DEFAULT_RULES,
 
     ``df`` needs ``customer_id``, ``created_at``, ``amount`` (decimal),
     ``country`` and the tie-break column. Row order within a customer is
-    ``(created_at, tiebreak)``. ``hot_source`` (``customer_id``, ``created_at``)
-    is where hot customers are counted when ``df`` is expensive to compute
+    ``(created_at, tiebreak)``. ``hot_source`` (``customer_id``) is where hot customers are counted when ``df`` is expensive to compute
     twice; any superset of ``df``'s customers works (splitting a customer that
     is not hot is still exact).
     """
     prepared = _prepare(df, tiebreak)
-    counted = prepared if hot_source is None else hot_source.select(
-        "customer_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("_t"))
-    hot = _hot_customers(counted, cfg)
+    hot = _hot_customers(prepared if hot_source is None else hot_source, cfg)
+    rows = hot.agg(F.sum("_n")).first()[0] if cfg.split_hot else None
     # The halo path is planned only when some customer is hot.
-    if cfg.split_hot and hot.take(1):
-        staged = _with_halo(prepared, tiebreak, cfg, hot)
+    if rows:
+        staged = _with_halo(prepared, tiebreak, cfg, hot, -(-rows // cfg.hot_bucket_rows))
         out = _windowed(staged, ["customer_id", "_b"], tiebreak, cfg)
         out = out.filter(~F.col("_halo")).drop("_b", "_halo")
     else:

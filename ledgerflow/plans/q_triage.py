@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -142,6 +144,15 @@ def q_activity_snapshot(ds):
     return activity_snapshot(ds.payments, DAY).select("payment_id", "customer_id", *_SNAP_COLS)
 
 
+@query("activity_snapshot_ranges", features_sql(86400) + """
+SELECT payment_id, customer_id, velocity_count, geo_distinct, previous_country,
+       avg_prior_amount, history_retained FROM snap""", decimals=('avg_prior_amount',))
+def activity_snapshot_ranges(ds):
+    """W0 with every customer of more than 8 payments cut at row quantiles, as hot ones are."""
+    cfg = replace(DAY, hot_customer_rows=8, hot_bucket_rows=1000)
+    return activity_snapshot(ds.payments, cfg).select("payment_id", "customer_id", *_SNAP_COLS)
+
+
 def _single(col):
     def build(ds):
         return activity_snapshot(ds.payments, DAY).select("payment_id", col)

@@ -75,13 +75,10 @@ class RuleConfig:
     window_seconds: int = 60          # sliding window for velocity / geo
     max_history: int = 50             # rows retained per customer
     retention_windows: int = 10       # history older than this many windows is trimmed
-    # Skew handling: customers with more rows than this are split into time
-    # buckets (exact, with a history halo).
+    # Skew handling: the rows of customers with more rows than this are split into
+    # ranges (exact, with a history halo) of about ``hot_bucket_rows`` rows.
     hot_customer_rows: int = 2_000_000
-    # Each hot customer's time span is cut into buckets of about this many rows
-    # (width = span * bucket_rows / rows, at least ``hot_bucket_seconds``).
     hot_bucket_rows: int = 500_000
-    hot_bucket_seconds: int = 1
     split_hot: bool = True
 
 

@@ -24,12 +24,36 @@ def skewed(spark, hot_rows=3000, cold=200):
 def test_hot_customer_partitions_are_bounded(spark):
     cfg = RuleConfig(window_seconds=60, hot_customer_rows=500, hot_bucket_rows=250)
     df = FE._prepare(skewed(spark), "event_id")
-    staged = FE._with_halo(df, "event_id", cfg, FE._hot_customers(df, cfg))
-    sizes = staged.groupBy("customer_id", "_b").count()
-    biggest = sizes.agg(F.max("count")).first()[0]
-    hot_parts = sizes.filter(F.col("customer_id") == "hot").count()
-    # about 3000 / 250 = 12 buckets, each at most ~250 rows plus a 50-row halo
-    assert hot_parts >= 10 and biggest <= 250 + 50 + 5
+    staged = FE._with_halo(df, "event_id", cfg, FE._hot_customers(df, cfg), 12)
+    sizes = staged.filter(F.col("customer_id") == "hot").groupBy("_b").agg(
+        F.count_if(~F.col("_halo")).alias("own"), F.count_if("_halo").alias("halo")).collect()
+    assert len(sizes) == 12 and sum(r.own for r in sizes) == 3000
+    assert max(r.own for r in sizes) <= 2 * 250 and sorted(r.halo for r in sizes) == [0] + [50] * 11
+
+
+def burst(spark, rows):
+    """All rows of one customer within a second, many at the same instant."""
+    return spark.range(rows).select(
+        F.concat(F.lit("p"), "id").alias("payment_id"), F.col("id").alias("event_id"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") % 1000).alias("created_at"), F.lit("hot").alias("customer_id"),
+        (F.col("id") % 977 + 1).cast("decimal(19,4)").alias("amount"), F.lit("USD").alias("currency"),
+        F.lit(None).cast("string").alias("card_last4"), F.when(F.col("id") % 5 > 0, "US").alias("country"), F.lit("m").alias("merchant"))
+
+
+def test_a_burst_within_a_second_is_cut_by_rows(spark):
+    cfg = RuleConfig(window_seconds=60, hot_customer_rows=100_000, hot_bucket_rows=50_000)
+    df = FE._prepare(burst(spark, 1_000_000), "event_id")
+    staged = FE._with_halo(df, "event_id", cfg, FE._hot_customers(df, cfg), 20)
+    sizes = sorted(r["count"] for r in staged.groupBy("_b").count().collect())
+    assert len(sizes) == 20 and sum(sizes) == 1_000_000 + 19 * 50
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_a_burst_has_the_features_of_the_plain_window(spark):
+    df, cols = burst(spark, 60_000), ["payment_id", *FE.FEATURE_COLUMNS]
+    plain = FE.activity_snapshot(df, RuleConfig(split_hot=False)).select(*cols)
+    split = FE.activity_snapshot(df, RuleConfig(hot_customer_rows=1000, hot_bucket_rows=4000)).select(*cols)
+    assert plain.exceptAll(split).count() == 0 and split.count() == 60_000
 
 
 def test_split_result_equals_plain_window_under_skew(spark):
