@@ -17,12 +17,13 @@ from ..operators.triage import triage
 from ..session import materialize
 from ..streaming.effectively_once import ANSWERS, CLAIMS, DEAD, PAYMENTS, UPDATES, AcceptSink, CommitLog, ProcessingSink, current_payments, run_until_done
 from ..streaming.keyed_claims import CLAIM_OUTCOMES, DEAD_LETTERS, ClaimStream
+from ..streaming.payments_table import PaymentsTable
 from ..streaming.runs import stream_triage_features, stream_triage_run
 from ..streaming.staging import replay_in_order, run_folder
 from ..streaming.triage_slices import stream_activity_slices
 from ..streaming.triage_state import OUTPUT_SCHEMA
 from .q_ingest import ACCEPT_SQL, VALIDATION_SQL, _PAY_ID
-from .q_process import DECIDED_SQL, PROC_SQL
+from .q_process import DECIDED_SQL, PROC_SQL, _run
 from .q_triage import _triage_sql, rules_sql
 from .registry import query
 
@@ -208,6 +209,28 @@ def stream_payments_after(ds):
     return after.select("payment_id", "status", "fraud_decision", "risk_score", "fraud_reasons")
 
 
+@query("payments_merge", DECIDED_SQL + """
+SELECT p.payment_id, p.customer_id, p.amount,
+       CASE WHEN d.decision IS NULL THEN p.status ELSE d.status END AS status,
+       d.decision AS fraud_decision,
+       TRY_CAST(d.risk_score AS DECIMAL(4,3)) AS risk_score,
+       CASE WHEN d.decision IS NULL THEN NULL ELSE CAST(to_json(d.reasons) AS VARCHAR) END AS fraud_reasons
+FROM stored_payments p LEFT JOIN decided d USING (payment_id)""", decimals=("amount", "risk_score"))
+def payments_merge(ds):
+    """K5: payments as base and deltas. A third of the payments arrive as inserts; updates come in three
+    batches, with a compaction before the last one; the read merges what the base does not hold yet."""
+    table = PaymentsTable(ds.spark, run_folder(ds.spark, "payments_table"), buckets=16)
+    late = F.pmod(F.xxhash64("payment_id"), F.lit(3)) == 0
+    table.create(ds.stored_payments.filter(~late))
+    updates = materialize(_run(ds).payment_updates, "payment_updates")
+    batch = F.pmod(F.unix_seconds("updated_at"), F.lit(3))
+    table.append(0, updates.filter(batch == 0), ds.stored_payments.filter(late))
+    table.append(1, updates.filter(batch == 1))
+    table.compact()
+    table.append(2, updates.filter(batch == 2))
+    return table.read().select("payment_id", "customer_id", "amount", "status", "fraud_decision", "risk_score", "fraud_reasons")
+
+
 @query("stream_dead_letters", PROC_SQL + """
 SELECT topic, CAST(partition AS INTEGER) AS partition, "offset", 4 AS attempt, reason, payload,
        delivered_at + INTERVAL 7 SECOND AS died_at FROM dead""")
