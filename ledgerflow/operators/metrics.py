@@ -44,11 +44,31 @@ def nearest_rank_percentiles(df: DataFrame, value: str, ps: tuple[int, ...] = (5
     return cum.agg(*aggs)
 
 
-def approx_percentiles(df: DataFrame, value: str, ps: tuple[int, ...] = (50, 95, 99),
-                       accuracy: int = 10_000) -> DataFrame:
-    """A9 approximate variant: ``percentile_approx`` (mergeable sketches, one pass)."""
-    return df.agg(*[F.percentile_approx(value, p / 100.0, accuracy).alias(f"p{p}") for p in ps],
-                  F.max(value).alias("max"))
+def quantile_sketches(df: DataFrame, ts: str, value: str, every: str = "minute", k: int = 800) -> DataFrame:
+    """A9 as a table that can be rolled up: a KLL sketch of the values of every minute (or other unit),
+    ``bucket_start, sketch, n``. A larger ``k`` makes the ranks closer (800: within half a percent)."""
+    return (df.filter(F.col(value).isNotNull()).groupBy(F.date_trunc(every, ts).alias("bucket_start"))
+            .agg(F.kll_sketch_agg_double(value, k).alias("sketch"), F.count(F.lit(1)).alias("n")))
+
+
+def rolled_up(sketches: DataFrame, to: str, qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Quantiles of any longer unit from stored sketches, without the values."""
+    merged = sketches.groupBy(F.date_trunc(to, "bucket_start").alias("bucket_start")).agg(
+        F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    return merged.select("bucket_start", "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{int(q * 100)}") for q in qs])
+
+
+def rank_errors(df: DataFrame, ts: str, value: str, quantiles: DataFrame, unit: str, qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """How far the ranks of given quantiles are from those asked for: 0 where the rank asked for lies
+    between the shares of values below and up to the answer."""
+    rows = df.filter(F.col(value).isNotNull()).select(F.date_trunc(unit, ts).alias("bucket_start"), F.col(value).alias("_v"))
+    joined = rows.join(quantiles, "bucket_start")
+    aggs = []
+    for q in qs:
+        answer, n = F.col(f"p{int(q * 100)}"), F.count(F.lit(1))
+        low, high = F.count_if(F.col("_v") < answer) / n, F.count_if(F.col("_v") <= answer) / n
+        aggs.append(F.greatest(low - q, F.lit(q) - high, F.lit(0.0)).alias(f"p{int(q * 100)}_error"))
+    return joined.groupBy("bucket_start").agg(F.count(F.lit(1)).alias("n"), *aggs)
 
 
 def throughput(df: DataFrame, ts: str) -> DataFrame:

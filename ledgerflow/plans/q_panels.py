@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..operators import ranges as R
+from ..operators import sequence as SQ
 from ..operators.metrics import LATENCY_BUCKETS_MS
+from ..operators.pending_bits import PendingIds
+from ..session import materialize
+from ..streaming.staging import run_folder
 from .q_process import DECIDED_SQL, PROC_SQL, _run
 from .registry import query
 
@@ -124,3 +129,55 @@ def outbox_backlog(ds):
     """The most outbox rows of a topic that waited to be published at once, and since when."""
     rows = ds.outbox.select("event_id", "topic", "created_at").join(ds.outbox_published.select("event_id", "published_at"), "event_id", "left")
     return R.peak_in_flight(rows, F.col("created_at"), F.col("published_at"), ["topic"])
+
+
+@query("latency_sketch", """
+SELECT date_trunc('day', ts) AS bucket_start, count(latency_ms) AS n, true AS p50_close, true AS p95_close, true AS p99_close
+FROM http_log WHERE latency_ms IS NOT NULL GROUP BY 1""")
+def latency_sketch(ds):
+    """Sketches of every minute, stored, rolled up to days; whether each quantile's rank is within a
+    hundredth of the one asked for, measured on all values."""
+    stored = materialize(M.quantile_sketches(ds.http_log, "ts", "latency_ms"), "sketches")
+    errors = M.rank_errors(ds.http_log, "ts", "latency_ms", M.rolled_up(stored, "day"), "day")
+    return errors.select("bucket_start", "n", *[(F.col(f"p{p}_error") <= 0.01).alias(f"p{p}_close") for p in (50, 95, 99)])
+
+
+@query("outbox_pending_bits", """
+SELECT id, event_id, topic FROM outbox
+WHERE event_id NOT IN (SELECT event_id FROM outbox_published)""")
+def outbox_pending_bits(ds):
+    """S6 + U3: every pending outbox row by the complement of the published ids' bitmaps, which three
+    batches of rows and of stamps have left."""
+    box = PendingIds(ds.spark, run_folder(ds.spark, "pending_ids"))
+    rows = ds.outbox.select("id", "event_id", "topic")
+    stamped = rows.join(ds.outbox_published.select("event_id"), "event_id", "left_semi").select("id")
+    for n in range(3):
+        box.append(rows.filter(F.col("id") % 3 == n), n)
+        box.publish(stamped.filter(F.col("id") % 3 == n), n)
+    return box.pending("id bigint, event_id string, topic string")
+
+
+_ORDER_SQL = """,
+ordered AS (SELECT id, customer_id AS key, event_id, row_number() OVER (PARTITION BY customer_id ORDER BY created_at, id) AS seq FROM outbox)"""
+
+
+@query("outbox_ordered", _ORDER_SQL + """
+SELECT id, key, event_id, seq FROM ordered""")
+def outbox_ordered(ds):
+    """T4: each outbox row's number among its customer's rows, read back from the sink's lanes."""
+    return _lanes(ds).select("id", "key", "event_id", "seq")
+
+
+def _lanes(ds):
+    rows = ds.outbox.select("id", F.col("customer_id").alias("key"), "event_id", "created_at")
+    path = f"{run_folder(ds.spark, 'outbox_lanes')}/lanes"
+    SQ.write_lanes(SQ.sequenced(rows, "key", ["created_at", "id"]), path, "key")
+    return ds.spark.read.parquet(path)
+
+
+@query("outbox_order_audit", _ORDER_SQL + """
+SELECT key, count(*) AS rows, max(seq) - count(DISTINCT seq) AS gaps, count(*) - count(DISTINCT seq) AS repeats,
+       CAST(0 AS BIGINT) AS inversions FROM ordered GROUP BY key""")
+def outbox_order_audit(ds):
+    """T4: gaps, repeats and inversions of each customer's rows in the sink's lanes."""
+    return SQ.order_audit(_lanes(ds), "key", ["created_at", "id"])

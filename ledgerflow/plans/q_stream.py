@@ -18,11 +18,13 @@ from ..session import materialize
 from ..streaming.effectively_once import ANSWERS, CLAIMS, DEAD, PAYMENTS, UPDATES, AcceptSink, CommitLog, ProcessingSink, current_payments, run_until_done
 from ..streaming.keyed_claims import CLAIM_OUTCOMES, DEAD_LETTERS, ClaimStream
 from ..streaming.payments_table import PaymentsTable
+from ..streaming.rates import RateRun
 from ..streaming.runs import stream_triage_features, stream_triage_run
 from ..streaming.staging import replay_in_order, run_folder
 from ..streaming.triage_slices import stream_activity_slices
 from ..streaming.triage_state import OUTPUT_SCHEMA
 from .q_ingest import ACCEPT_SQL, VALIDATION_SQL, _PAY_ID
+from .q_ops import _K2, _K3, _S2, _S3
 from .q_process import DECIDED_SQL, PROC_SQL, _run
 from .q_triage import _triage_sql, rules_sql
 from .registry import query
@@ -284,3 +286,22 @@ def stream_retry(ds):
         .filter((F.col("attempt") == 1) & F.col("reason").startswith(S.PAYMENT_NOT_FOUND)) \
         .select(F.get_json_object("value", "$.paymentId").alias("payment_id"), F.col("reason").alias("first_reason")).distinct()
     return log.committed("payment_updates", UPDATES).select("payment_id").join(first, "payment_id")
+
+
+@query("stream_rate_by_status", DECIDED_SQL + f"""
+SELECT {_S2} AS window_start, status, count(*) AS events, count(*) / 60 AS rate_per_sec
+FROM decided, {_K2} GROUP BY 1, 2""")
+def stream_rate_by_status(ds):
+    """Processed payments per second by status, from a watermarked window in append mode."""
+    decided = materialize(_run(ds).decided.select("delivered_at", "status"), "decided")
+    windows = RateRun(ds.spark, decided, "delivered_at", ["status"]).close()
+    return windows.withColumn("rate_per_sec", F.col("events") / 60)
+
+
+@query("stream_dlq_increase", PROC_SQL + f""",
+dl AS (SELECT delivered_at + INTERVAL 7 SECOND AS dead_at FROM dead)
+SELECT {_S3} AS window_start, count(*) AS increase FROM dl, {_K3} GROUP BY 1""")
+def stream_dlq_increase(ds):
+    """Dead letters of each 5-minute window, every minute, as a stream."""
+    dead = materialize(_run(ds).dead_letters.select((F.col("delivered_at") + F.expr("INTERVAL 7 SECONDS")).alias("dead_at")), "dead")
+    return RateRun(ds.spark, dead, "dead_at", [], "5 minutes", "1 minute").close().withColumnRenamed("events", "increase")
