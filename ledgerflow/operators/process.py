@@ -80,17 +80,21 @@ def first_delivery(decoded: DataFrame) -> DataFrame:
     return ok.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
 
 
-def rules_decider(cfg: S.RuleConfig = S.DEFAULT_RULES, hot_source: DataFrame | None = None) -> Decider:
+def rules_decider(cfg: S.RuleConfig = S.DEFAULT_RULES, hot_source: DataFrame | None = None, narrow: bool = True) -> Decider:
     """The decision is columns of the same plan (rules-only reasoner).
 
     ``hot_source`` (e.g. the payments table) is where hot customers are
-    counted, so the event pipeline upstream of the triage runs once.
+    counted, so the event pipeline upstream of the triage runs once. With
+    ``narrow`` the history is first cut down to what the events can reach, as
+    suits a small batch against a long history; a batch that meets most customers
+    does without, and history and events share the one shuffle of the features.
     """
 
     def decide(events: DataFrame, history: DataFrame | None = None) -> DataFrame:
         rows = events.withColumn("_past", F.lit(False))
         if history is not None:
-            past = relevant_history(events, history, cfg).withColumn("_past", F.lit(True))
+            past = relevant_history(events, history, cfg) if narrow else history.select("event_id", *EVALUATED)
+            past = past.withColumn("_past", F.lit(True))
             rows = rows.unionByName(past, allowMissingColumns=True)
         feats = activity_snapshot(rows.withColumn("created_at", F.col("delivered_at")), cfg,
                                   tiebreak="event_id", hot_source=hot_source)

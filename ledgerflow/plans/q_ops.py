@@ -45,8 +45,8 @@ outs AS (
   FROM decided d JOIN stored_payments p USING (payment_id) GROUP BY 1, 2)"""
 
 
-def _processed(ds):
-    r = _run(ds)
+def _processed(ds, once=False):
+    r = _run(ds, once=once)
     return r.payments_after, r.outcome_outbox
 
 
@@ -89,7 +89,7 @@ SELECT c.customer_id, c.created, c.terminal, coalesce(o.outcome_events, 0) AS ou
 FROM c LEFT JOIN o USING (customer_id)""")
 def audit_verdict(ds):
     """A3: loss / duplicate verdict per run (created = terminal = outcomes, no duplicates)."""
-    pay, out = _processed(ds)
+    pay, out = _processed(ds, once=True)
     return A.audit_verdict(out, pay, lookup=ds.stored_payments)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import process as P
+from ..session import materialize
 from .q_ingest import sql_uuid
 from .q_triage import rules_sql
 from .registry import query
@@ -13,9 +14,14 @@ from .registry import query
 DAY = S.DAY_RULES
 
 
-def _run(ds, decider=None):
+def _run(ds, decider=None, once: bool = False):
+    """All deliveries as one batch; ``once`` writes the decided events as a stage, for queries that
+    read several outputs."""
+    def hold(df):
+        return materialize(df, "decided") if once and "decision" in df.columns else df
+
     return P.process(ds.deliveries, ds.stored_payments, ds.claimed,
-                     decider or P.rules_decider(DAY, hot_source=ds.stored_payments))
+                     decider or P.rules_decider(DAY, hot_source=ds.stored_payments, narrow=False), hold=hold)
 
 
 # Oracle: decodability comes from the scenario flag, not from parsing JSON.
