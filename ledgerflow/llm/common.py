@@ -40,13 +40,17 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def broadcast_file(spark: SparkSession, path: str):
-    """Broadcast a vocabulary file, whose size is checked first."""
+def read_vocabulary(path: str) -> bytes:
+    """A vocabulary file, whose size is checked first."""
     with open(path, "rb") as f:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{path} has more than {MAX_VOCABULARY_BYTES} bytes")
-    return spark.sparkContext.broadcast(data)
+    return data
+
+
+def broadcast_file(spark: SparkSession, path: str):
+    return spark.sparkContext.broadcast(read_vocabulary(path))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, names: list[str],

@@ -33,10 +33,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .byte_bpe import decode, encode, packed_length
+    from .byte_bpe import encode, packed_length
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    both = encode(table(spark, sf_dir, "documents"), ranks, pattern, decoded=True)
     return both.select("doc_id", packed_length().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

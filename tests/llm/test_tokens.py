@@ -59,6 +59,18 @@ def test_encoding_round_trip(spark, texts):
         assert bytes(r.decoded) == want.encode()
 
 
+def test_one_pass_gives_what_two_give_also_for_long_texts_and_repeated_rows(spark):
+    ranks, lib = P.path("byte_bpe_50k.tiktoken"), tik()
+    long = "".join(random.Random(1).choices(["the ", "ünd ", "x", "\n", " 12", "zzkq "], k=2_500_000))
+    df = frame(spark, ["the end", long, None]).unionAll(frame(spark, ["the end"]))
+    once = encode(df, ranks, P.PATTERN, decoded=True)
+    assert once.columns == ["doc_id", "ids", "decoded"]
+    rows = sorted(map(tuple, once.collect()))
+    assert rows == sorted(map(tuple, decode(encode(df, ranks, P.PATTERN), ranks, P.PATTERN).collect())) and len(rows) == 4
+    assert bytes(rows[2][2]) == long.encode()
+    assert bytes(rows[2][1]) == b"".join(i.to_bytes(4, "little") for i in lib.encode_ordinary(long))
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     keys = [str(i).encode() for i in range(5000)]
     ph = PerfectHash(keys)
