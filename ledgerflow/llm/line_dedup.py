@@ -14,10 +14,11 @@ band in several components, all its pairs across components are checked.
 A band's members are found without gathering a band in one task: a batch of
 texts keeps the members that meet in it, and sends one of each band on.
 
-Null texts have no lines; texts of any length are processed whole. Documents
-that share an id count as one document; documents without an id are left as
-they are. An empty table gives an empty table. Blank lines stay where they are.
-Extra columns are kept by ``without_lines`` and ignored otherwise.
+Null texts have no lines; texts of any length are processed whole. Rows that
+share an id and a text count as one document, rows that share an id only as
+several; rows without an id take part, after all others. An empty table gives
+an empty table. Blank lines stay where they are. Extra columns, whatever their
+names, are kept by ``without_lines`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -294,16 +295,17 @@ def line_links(docs: DataFrame, lines: DataFrame, stages: Stages) -> DataFrame:
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, line, kept_doc, kept_line)`` of every line that goes, and of the line that stays for it."""
+    """``(doc, text_key, line, kept_doc, kept_line)`` of every line that goes, and of the line that stays
+    for it. A document is an id and a text, known by the text's 64-bit hash; a null id comes last."""
     stages = Stages(df.sparkSession, "lines")
-    docs = df.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("string").alias("text")) \
-        .where("doc is not null and text is not null")
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.col("line").rlike(WORD)) \
-        .withColumn("h", F.xxhash64("line"))
+    docs = df.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("string").alias("text")).where("text is not null")
+    lines = docs.select("doc", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line")) \
+        .where(F.col("line").rlike(WORD)).withColumn("h", F.xxhash64("line"))
     links = line_links(docs, lines, stages)
     # equal lines: those of one 64-bit hash whose second hash is the first line's too
-    places = stages.table(lines.select("doc", "no", "h", F.xxhash64(F.lit(1), "line").alias("check")), "places")
-    classes = places.groupBy("h").agg(F.min(F.struct("doc", "no", "check")).alias("first"), F.count("*").alias("n"))
+    places = stages.table(lines.select("doc", "text_key", "no", "h", F.xxhash64(F.lit(1), "line").alias("check")), "places")
+    place = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "text_key", "no", "check")
+    classes = places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     linked = links.select(F.col("node").alias("h"), "root").unionAll(
         links.select(F.col("root").alias("h"), "root").distinct())
     classes = classes.join(linked, "h", "left").where("n > 1 or root is not null") \
@@ -311,21 +313,27 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = stages.table(classes, "line_classes")
     stays = classes.groupBy("root").agg(F.min("first").alias("stays"))
     told = classes.join(stays, "root").select("h", F.col("first.check").alias("check"), F.col("stays.doc").alias("kept_doc"),
-                                              F.col("stays.no").alias("kept_line"))
-    return places.join(told, ["h", "check"]).where("doc != kept_doc or no != kept_line") \
-        .select("doc", F.col("no").alias("line"), "kept_doc", "kept_line")
+                                              F.col("stays.text_key").alias("kept_key"), F.col("stays.no").alias("kept_line"))
+    same = F.col("doc").eqNullSafe(F.col("kept_doc")) & (F.col("text_key") == F.col("kept_key")) & (F.col("no") == F.col("kept_line"))
+    return places.join(told, ["h", "check"]).where(~same) \
+        .select("doc", "text_key", F.col("no").alias("line"), "kept_doc", "kept_line")
 
 
 def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   told: str | None = None) -> DataFrame:
     """``df`` with the removed lines taken out of its texts. ``told`` names a column to add:
     struct of the lines with a word before, the lines taken out, and the documents that keep them."""
-    gone = removed.groupBy(F.col("doc").alias("__doc")).agg(
-        F.collect_set("line").alias("__gone"), F.sort_array(F.collect_set("kept_doc")).alias("__kept_in"))
-    joined = df.join(gone, named(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
-    text_at, schema = df.columns.index(text_col), df.schema
+    # by place, whatever names the columns have
+    places = [f"c{i}" for i in range(len(df.columns))]
+    text_at = df.columns.index(text_col)
+    plain = df.select(*[named(c).alias(p) for c, p in zip(df.columns, places)])
+    doc, text = plain[places[df.columns.index(id_col)]].cast("long"), plain[places[text_at]].cast("string")
+    gone = removed.groupBy("doc", "text_key").agg(
+        F.collect_set("line").alias("gone"), F.sort_array(F.collect_set("kept_doc")).alias("kept_in"))
+    joined = plain.join(gone, doc.eqNullSafe(gone["doc"]) & (F.xxhash64(text) == gone["text_key"]), "left").drop("doc", "text_key")
+    schema = plain.schema
     if told:
-        schema = T.StructType([*schema, T.StructField(told, TOLD)])
+        schema = T.StructType([*schema, T.StructField("told", TOLD)])
     told_type = pa.struct([("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
 
     def rebuild(batches):
@@ -342,7 +350,7 @@ def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", tex
             columns[text_at] = pa.array(texts, pa.string())
             names = batch.schema.names[:-2]
             if told:
-                columns, names = columns + [pa.array(about, told_type)], names + [told]
+                columns, names = columns + [pa.array(about, told_type)], names + ["told"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(rebuild, schema)
+    return joined.mapInArrow(rebuild, schema).toDF(*df.columns, *([told] if told else []))

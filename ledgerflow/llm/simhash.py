@@ -235,11 +235,16 @@ def near_duplicates(df: DataFrame, shingle: int = 3, reach: int = 3, seed: int =
 
 
 def keep_one(df: DataFrame, shingle: int = 3, reach: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of ``df``: the one whose id names it (of rows that share
-    that id, the least by its columns). Rows without an id can't be named and stay."""
-    groups = near_duplicates(df, shingle, reach, id_col=id_col, text_col=text_col)
-    ids = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
-    row = F.struct(*map(named, df.columns)).alias("row")
-    one = df.select(named(id_col).cast("long").alias("id"), row).join(ids, "id").groupBy("id").agg(F.min("row").alias("row"))
-    return one.select(*[F.col("row").getField(c).alias(c) for c in df.columns]) \
-        .unionAll(df.where(named(id_col).isNull()))
+    """One row of each component of ``df``: the one with the least id, nulls last, of several texts with
+    that id the one with the least hash, and of repeated rows the least as JSON. Rows are known by
+    their id and the 64-bit hash of their text, so rows that share an id only are told apart."""
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    keyed = df.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"),
+                      F.struct(*map(named, df.columns)).alias("row"))
+    groups = near_duplicates(keyed, shingle, reach, id_col="key").select("key", F.col("component_id").alias("root")).distinct()
+    rows = keyed.groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    named_first = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")
+    stays = rows.select("id", "key").join(groups, "key").groupBy("root").agg(F.min(named_first).alias("stays")) \
+        .select(F.col("stays.id").alias("stays_id"), F.col("stays.key").alias("stays_key"))
+    one = rows.join(stays, F.col("id").eqNullSafe(F.col("stays_id")) & (F.col("key") == F.col("stays_key")))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -114,7 +114,25 @@ def test_repeated_rows_and_null_ids(spark):
             (2, "one line of text here\nsomething quite different")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, L.without_lines(df, L.removed_lines(df)).collect()), key=str)
-    assert got == sorted([(2, rows[3][1]), (4, "and one more"), (4, "and one more"), (None, rows[2][1])], key=str)
+    assert got == sorted([(2, rows[3][1]), (4, "and one more"), (4, "and one more"), (None, "")], key=str)
+
+
+def test_rows_that_share_an_id_are_several_documents(spark):
+    rows = [(1, "alpha beta gamma delta line\nunique one here"), (1, "zeta eta theta iota line\nsecond unique text"),
+            (0, "alpha beta gamma delta line"), (None, "zeta eta theta iota line\nof no name at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in L.without_lines(df, L.removed_lines(df)).collect() if r.doc_id is not None)
+    assert got == [(0, rows[2][1]), (1, "unique one here"), (1, rows[1][1])]
+    assert [r.text for r in L.without_lines(df, L.removed_lines(df)).collect() if r.doc_id is None] == ["of no name at all"]
+
+
+def test_extra_columns_of_any_name_and_type(spark):
+    names = "doc string, key string, gone string, KEPT string, line int, h long, `a``b` map<string,int>"
+    df = spark.createDataFrame([(i, "the same line of words here", "a", "b", "c", "d", 1, 2, {"x": i}) for i in range(2)],
+                               f"doc_id long, text string, {names}")
+    got = L.without_lines(df, L.removed_lines(df), told="lines")
+    assert got.columns == df.columns + ["lines"]
+    assert sorted((r.doc_id, r.text, r.gone, r["a`b"]["x"]) for r in got.collect()) == [(0, "the same line of words here", "c", 0), (1, "", "c", 1)]
 
 
 def test_query(spark):

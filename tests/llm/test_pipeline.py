@@ -1,8 +1,11 @@
 """Each stage of the pipeline against brute force on what it got."""
 
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from test_line_dedup import brute as brute_lines
 from test_mixing import brute_targets
 from test_quality import WORD, counts
@@ -12,6 +15,7 @@ from test_tokens import tik
 import corpus_pipeline
 from __spark_entry__ import queries
 from ledgerflow.llm.quality import learn
+from ledgerflow.session import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,6 +87,31 @@ def test_run(spark, steps):
     assert Counter(r.ids_sha256 for r in queries()["pipeline"](spark, SF).collect()) == Counter(r.ids_sha256 for r in steps[5].collect())
 
 
+def test_odd_rows_pass_every_stage(spark):
+    """Nulls in any column, null and repeated ids, extra columns, and a text of 10 MB."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc", F.lit("x")).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
+    line = lambda n: " ".join("".join(random.Random(100 * n + i).choices("aeioulmnrst", k=6)) for i in range(80))
+    rnd = random.Random(4)
+    long = " ".join("".join(rnd.choices("abcdefghijklmnoprstu", k=rnd.randint(3, 9))) for _ in range(1_450_000))
+    odd = [(None, line(1), None, None, None), (None, None, None, None, None), (7, line(2), None, None, 5), (7, line(3), "en", "src0", None),
+           (7, line(3), "en", "src0", None), (8, long, None, "src1", 1), (9, "", "en", "src1", 0)]
+    extra = spark.createDataFrame([(*r, None, None) for r in odd], T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    rows = docs.where("doc_id > 9").unionByName(extra)
+    schema, kept = rows.columns, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, SF)
+        assert rows.columns == schema
+        rows = materialize(rows)
+        kept.append(Counter((r.doc_id, hash(r.text)) for r in rows.where("doc_id is null or doc_id < 10").collect()))
+    assert len(long) > 10_000_000
+    for text, doc, times in ((line(1), None, 1), (line(2), 7, 1), (line(3), 7, 2), (long, 8, 1)):
+        assert [k[doc, hash(text)] for k in kept[:3]] == [times, times, 1], text[:20]       # near-dedup drops the repeat
+    out = corpus_pipeline.STAGES[-1][1](spark, rows, SF)
+    assert out.where("decoded_sha256 is null").count() == 0 and out.count() == rows.count()
+    bare = spark.createDataFrame([(1, line(4), "s")], "doc_id long, text string, source string")
+    assert corpus_pipeline.line_dedup_stage(spark, bare, SF).columns == bare.columns
+
+
 def test_nothing_left(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:

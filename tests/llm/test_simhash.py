@@ -74,10 +74,19 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(5, 3), (5, 3), (3, 3), (None, 3), (None, None), (9, 9)], key=str)
-    assert sorted((r.doc_id for r in keep_one(df).collect()), key=str) == [3, 9, None, None]
+    assert sorted((r.doc_id for r in keep_one(df).collect()), key=str) == [3, 9, None]
     assert [r.doc_id for r in keep_one(df.where("doc_id = 5")).collect()] == [5]
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    rows = [(1, "alpha beta gamma delta", {"k": 1}), (1, "zeta eta theta iota kappa", {"k": 2}), (0, "alpha beta gamma delta", {"k": 3}),
+            (1, "zeta eta theta iota kappa", {"k": 0})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root map<string,int>")
+    got = keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text, r.root["k"]) for r in got.collect()) == [(0, rows[2][1], 3), (1, rows[1][1], 0)]
+
+
 @pytest.mark.parametrize("shard", [64, 500])
 def test_links_are_exact_with_many_shards_and_blocks(spark, monkeypatch, shard):
     monkeypatch.setattr(simhash, "SHARD", shard)
