@@ -2,14 +2,13 @@
 
 import pytest
 
-from __spark_entry__ import queries
 from ledgerflow.operators.features import activity_snapshot
+from ledgerflow.plans.catalog import REGISTRY
 from ledgerflow.schemas import RuleConfig
 
 from conftest import SF_SMALL
 
-STREAMING = {"stream_triage", "stream_claims", "effectively_once", "stream_accept", "stream_outcomes",
-             "requested_stream", "outbox_relay_stream"}
+STREAMING = {n for n in REGISTRY if n.startswith("stream_")} | {"effectively_once", "requested_stream", "outbox_relay_stream"}
 ITERATIVE = {"accept_result", "accepted_by_result"}        # checkpointed jump tables
 
 
@@ -17,9 +16,9 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - STREAMING - ITERATIVE))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - STREAMING - ITERATIVE))
 def test_no_cartesian_or_nested_loop_join(spark, name):
-    plan = physical(queries()[name](spark, SF_SMALL))
+    plan = physical(REGISTRY[name].run(spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan
 
 
