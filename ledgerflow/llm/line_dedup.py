@@ -7,9 +7,15 @@ band are candidates, candidates are checked by the exact similarity of their
 shingle sets, and a distributed union-find joins the links that hold. Of each
 component one line stays: the first by document id and line number.
 
-Every candidate pair is either checked or known to be in one component already:
-at first a band's lines are checked against its least line; where that leaves a
-band in several components, all its pairs across components are checked.
+Every candidate pair is checked, known to be in one component already, or proved
+unlike: at first a band's lines are checked against its least line. Where that
+leaves a band in several components, the pairs across them are checked: all of
+them in a band of ``SMALL`` lines at most (so a line has few), in a larger one
+those that an exact prefix filter leaves: shingles are ordered by rarity, and of
+two lines that are alike some shingle is among the first ninth of the smaller
+line's and the first fifth of the larger one's, with enough shingles left behind
+it in both. A pair meets at the first shingle it shares. So the pairs of a large
+group of near copies that only share its usual shingles do not arise.
 
 A band's members are found without gathering a band in one task: a batch of
 texts keeps the members that meet in it, and sends one of each band on.
@@ -24,6 +30,7 @@ names, are kept by ``without_lines`` and ignored otherwise.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +51,15 @@ HAS_WORD = re.compile(WORD)
 NODE_SEED = 42                       # Spark's xxhash64 of a string has this seed
 #: Characters whose shingles are hashed at a time.
 CHUNK = 1 << 19
+#: Lines of a band whose pairs are taken as they are; larger bands go through the prefix filter.
+SMALL = 32
+#: Entries of the table that tells how rare a shingle is (by hash; it only orders the shingles).
+RARITY = 1 << 18
+#: A row of the prefix filter carries the shingles before its own, up to this many; a pair that
+#: first meets later meets more than once.
+BEFORE = 64
+#: Rows of the prefix filter in an Arrow batch, about.
+ROWS_OUT = 20_000
 
 TOLD = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()),
                      T.StructField("kept_in", T.ArrayType(T.LongType()))])
@@ -260,6 +276,114 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
+def shingle_hashes(line: str) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    codes = np.frombuffer((line + "\0" * (SHINGLE - len(line))).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(codes) - SHINGLE + 1
+    h = codes[:n] * MULTIPLIERS[0]
+    for k in range(1, SHINGLE):
+        h += codes[k:k + n] * MULTIPLIERS[k]
+    return np.unique(mixed(h))
+
+
+def rarity(lines: DataFrame) -> np.ndarray:
+    """How often the shingles of each entry of the table occur in ``lines(line)``."""
+    def count(batches):
+        table = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                np.add.at(table, (shingle_hashes(line) % np.uint64(RARITY)).astype(np.int64), 1)
+        entry = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(table[entry])], names=["entry", "n"])
+
+    rows = lines.select("line").mapInArrow(count, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(RARITY, np.int64)                    # bounded by RARITY
+    table[rows.column("entry").to_numpy()] = rows.column("n").to_numpy()
+    return table
+
+
+def least_shared(size: int, share: float) -> int:
+    return int(np.ceil(size * share - 1e-6))
+
+
+PREFIX = "token long, node long, root long, size long, at long, own boolean, before array<long>, bands array<long>"
+
+
+@lru_cache(256)
+def earlier(lo: int, hi: int, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many places before each of ``lo..hi`` are told (all, or none from ``room`` on), and which."""
+    sizes = np.arange(lo, hi)
+    sizes[sizes >= room] = 0
+    return sizes, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def prefixes(lines: DataFrame, rare) -> DataFrame:
+    """A row for each of a line's rarest shingles, as many as a line that is alike must share one of."""
+    def longs(parts):
+        return pa.array(np.concatenate(parts).view("i8"))
+
+    def lists(sizes, values):
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), longs(values))
+
+    def emit(rows):
+        tokens, node, root, size, at, own, told, before, bands = zip(*rows)
+        n = [len(x) for x in tokens]
+        fill = lambda a: pa.array(np.repeat(np.array(a, np.int64), n))
+        return pa.RecordBatch.from_arrays(
+            [longs(tokens), fill(node), fill(root), fill(size), pa.array(np.concatenate(at)), pa.array(np.concatenate(own)),
+             lists(told, before), lists([np.full(k, len(x)) for k, x in zip(n, bands)],
+                                        [np.tile(x, k) for k, x in zip(n, bands)])],
+            names=["token", "node", "root", "size", "at", "own", "before", "bands"])
+
+    def spread(batches):
+        rows, n_rows = [], 0
+        for batch in batches:
+            for node, line, root, size, bands in zip(*(c.to_pylist() for c in batch.columns)):
+                h = shingle_hashes(line)
+                h = h[np.lexsort((h, rare.value[(h % np.uint64(RARITY)).astype(np.int64)]))]
+                h = h[:size - least_shared(size, SIMILAR) + 1]
+                first = size - least_shared(size, 2 * SIMILAR / (1 + SIMILAR)) + 1
+                for lo in range(0, len(h), ROWS_OUT):
+                    hi = min(lo + ROWS_OUT, len(h))
+                    at, (told, places) = np.arange(lo, hi), earlier(lo, hi, BEFORE)
+                    rows.append((h[lo:hi], node, root, size, at, at < first, told, h[places], np.array(bands, np.int64)))
+                    n_rows += hi - lo
+                    if n_rows >= ROWS_OUT:
+                        yield emit(rows)
+                        rows, n_rows = [], 0
+        if rows:
+            yield emit(rows)
+
+    return lines.select("node", "line", "root", "size", "bands").mapInArrow(spread, PREFIX)
+
+
+def pairs_across(placed: DataFrame, texts: DataFrame, stages: Stages) -> DataFrame:
+    """Pairs ``(a, b)`` of lines that share a band, lie in different components and may be alike."""
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")) \
+        .where("low != high")
+    apart = placed.join(split.select("key", "n"), "key")
+    # sets that are alike differ in size by the similarity at most
+    few = apart.where(F.col("n") <= SMALL).drop("n")
+    in_full = few.alias("x").join(few.alias("y"), F.expr(
+        f"x.key = y.key and x.root < y.root and least(x.size, y.size) >= {SIMILAR}D * greatest(x.size, y.size)"))
+    nodes = apart.where(F.col("n") > SMALL).groupBy("node").agg(
+        F.min("root").alias("root"), F.min("size").alias("size"), F.collect_set("key").alias("bands"))
+    lines = stages.table(texts.select("node", "line").join(nodes, "node"), "split")
+    rare = placed.sparkSession.sparkContext.broadcast(rarity(lines))          # RARITY numbers
+    rows = stages.table(prefixes(lines, rare), "prefixes")
+    # x is the smaller line; no more shingles are shared than stand behind the first one shared
+    met = rows.where("own").alias("x").join(rows.alias("y"), F.expr(
+        f"""x.token = y.token and x.root != y.root and (x.size < y.size or (x.size = y.size and x.node < y.node))
+        and x.size >= {SIMILAR}D * y.size
+        and least(x.size - x.at, y.size - y.at) >= {SIMILAR / (1 + SIMILAR)}D * (x.size + y.size) - 1e-6D
+        and arrays_overlap(x.bands, y.bands) and not arrays_overlap(x.before, y.before)"""))
+    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    pairs = stages.table(in_full.select(*pair).unionAll(met.select(*pair)).distinct(), "pairs")
+    stages.drop("prefixes", "split")
+    return pairs
+
+
 def line_links(docs: DataFrame, lines: DataFrame, stages: Stages) -> DataFrame:
     """``(node, root)`` of the lines that belong to a component of several."""
     members = stages.table(band_members(docs), "members")
@@ -274,15 +398,8 @@ def line_links(docs: DataFrame, lines: DataFrame, stages: Stages) -> DataFrame:
     placed = members.distinct().join(texts.select("node", "size"), "node").join(roots, "node", "left") \
         .select("key", "node", F.coalesce("root", "node").alias("root"), "size")
     placed = stages.table(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    apart = placed.join(split.select("key"), "key")
-    # sets that are alike differ in size by the similarity at most
-    across = apart.alias("x").join(apart.alias("y"), F.expr(
-        f"x.key = y.key and x.root < y.root and least(x.size, y.size) >= {SIMILAR}D * greatest(x.size, y.size)")) \
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    across = across.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = stages.table(checked(across, texts), "across")
-    stages.drop("members", "texts")
+    more = stages.table(checked(pairs_across(placed, texts, stages), texts), "across")
+    stages.drop("members", "texts", "pairs")
     if more.isEmpty():
         return roots
     # the links found across components join whole components: only their roots take part

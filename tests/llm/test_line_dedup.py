@@ -109,6 +109,43 @@ def test_bands_split_into_components_are_compared_in_full(spark):
     assert {(r.doc, r.line): (r.kept_doc, r.kept_line) for r in L.removed_lines(df).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("told, small", [(0, 2), (64, 2), (64, 1000)])
+def test_prefix_filter_keeps_every_pair_that_holds(spark, monkeypatch, told, small):
+    """Pairs at and about the similarity, in one band, each a component of its own."""
+    monkeypatch.setattr(L, "BEFORE", told)
+    monkeypatch.setattr(L, "SMALL", small)
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdeé漢", k=rnd.randint(1, 6)))
+    lines = {"a", "ab", "abcde", "abcdef"}
+    for n in (1, 2, 4, 9, 30):
+        base = [word() for _ in range(n)]
+        for _ in range(60):
+            lines.add(" ".join(word() if rnd.random() < .05 else w for w in base)[:rnd.choice([None, None, -1, -3])])
+    lines = sorted(x for x in lines if x.strip())
+    sets = [{x[i:i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    alike = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if similar(lines[i], lines[j])}
+    texts = spark.createDataFrame([(i, x, len(sets[i])) for i, x in enumerate(lines)], "node long, line string, size long")
+    placed = spark.createDataFrame([(k, i, i, len(sets[i])) for i in range(len(lines)) for k in (7, 8, -9)],
+                                   "key long, node long, root long, size long")
+    got = [(r.a, r.b) for r in L.pairs_across(placed, texts, L.Stages(spark, "test")).collect()]
+    assert len(got) == len(set(got)) and alike <= set(got) and len(alike) > 100
+    assert small == 1000 or len(got) < len(lines) * (len(lines) - 1) / 4
+
+
+def test_a_group_of_near_copies_makes_few_pairs(spark):
+    """Lines that differ from each other in a fifth of their words are not paired, those that are alike are."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    base = [word() for _ in range(30)]
+    lines = [" ".join(base[:24] + [word() for _ in range(6)]) for _ in range(300)]
+    lines += [x + "s" for x in lines[:20]]
+    n = [len({x[i:i + 5] for i in range(len(x) - 4)}) for x in lines]
+    texts = spark.createDataFrame([(i, x, n[i]) for i, x in enumerate(lines)], "node long, line string, size long")
+    placed = spark.createDataFrame([(1, i, i, n[i]) for i in range(len(lines))], "key long, node long, root long, size long")
+    got = {(r.a, r.b) for r in L.pairs_across(placed, texts, L.Stages(spark, "test")).collect()}
+    assert {(i, i + 300) for i in range(20)} <= got and len(got) < 500
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(4, "one line of text here\nand one more"), (4, "one line of text here\nand one more"), (None, "one line of text here"),
             (2, "one line of text here\nsomething quite different")]
