@@ -15,7 +15,10 @@ those that an exact prefix filter leaves: shingles are ordered by rarity, and of
 two lines that are alike some shingle is among the first ninth of the smaller
 line's and the first fifth of the larger one's, with enough shingles left behind
 it in both. A pair meets at the first shingle it shares. So the pairs of a large
-group of near copies that only share its usual shingles do not arise.
+group of near copies that only share its usual shingles do not arise. A bitmap
+of each shingle set (the parity of the shingles that fall on a bit) bounds how
+much two sets have in common from above; pairs that it proves unlike are not
+compared by their texts.
 
 A band's members are found without gathering a band in one task: a batch of
 texts keeps the members that meet in it, and sends one of each band on.
@@ -58,6 +61,9 @@ RARITY = 1 << 18
 #: A row of the prefix filter carries the shingles before its own, up to this many; a pair that
 #: first meets later meets more than once.
 BEFORE = 64
+#: Longs of the bitmap of a shingle set.
+LONGS = 8
+BITS = [f"b{i}" for i in range(LONGS)]
 #: Rows of the prefix filter in an Arrow batch, about.
 ROWS_OUT = 20_000
 
@@ -247,24 +253,46 @@ class Comparer:
         return enough(int(np.count_nonzero(large[at] == small)), len(p), len(q))
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The parity, on each bit, of the shingles that fall on it, as longs."""
+    falls = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS)
+    return np.packbits((falls & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def maybe_alike(x: str, y: str) -> str:
+    """SQL that is true of ``(size, b0, ...)`` of lines ``x`` and ``y`` unless they are unlike for certain: each
+    shingle in one line only changes one bit at most."""
+    apart = " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in BITS)
+    return (f"least({x}.size, {y}.size) >= {SIMILAR}D * greatest({x}.size, {y}.size)"
+            f" and {apart} <= {(1 - SIMILAR) / (1 + SIMILAR)}D * ({x}.size + {y}.size) + 1e-6D")
+
+
 def with_sizes(texts: DataFrame) -> DataFrame:
-    """``(node, line, size)``: size of the shingle set."""
+    """``(node, line, size, b0, ...)``: size and bitmap of the shingle set."""
     def measure(batches):
         for batch in batches:
-            sizes = []
+            sizes, maps = [], [np.empty((0, LONGS), np.int64)]
             for line in batch.column(1).to_pylist():
-                codes = shingle_codes(line)
+                codes, hashes = shingle_codes(line), shingle_hashes(line)
                 sizes.append(len(shingle_set(line)) if codes is None else len(codes))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=["node", "line", "size"])
+                maps.append(bitmap(hashes)[None, :])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()),
+                                              *map(pa.array, np.ascontiguousarray(np.concatenate(maps).T))],
+                                             names=["node", "line", "size", *BITS])
 
-    return texts.select("node", "line").mapInArrow(measure, "node long, line string, size long")
+    return texts.select("node", "line").mapInArrow(measure, "node long, line string, size long, "
+                                                   + ", ".join(f"{b} long" for b in BITS))
 
 
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose lines are alike."""
+    sized = texts.select("node", "size", *BITS)
+    likely = (pairs.join(sized.select(F.col("node").alias("a"), F.struct("size", *BITS).alias("x")), "a")
+              .join(sized.select(F.col("node").alias("b"), F.struct("size", *BITS).alias("y")), "b")
+              .where(maybe_alike("x", "y")).select("a", "b"))
     one = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
     other = texts.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
-    rows = pairs.join(one, "a").join(other, "b").select("a", "b", "line_a", "line_b")
+    rows = likely.join(one, "a").join(other, "b").select("a", "b", "line_a", "line_b")
 
     def check(batches):
         similar = Comparer().similar
@@ -306,7 +334,8 @@ def least_shared(size: int, share: float) -> int:
     return int(np.ceil(size * share - 1e-6))
 
 
-PREFIX = "token long, node long, root long, size long, at long, own boolean, before array<long>, bands array<long>"
+PREFIX = ("token long, node long, root long, size long, at long, own boolean, before array<long>, bands array<long>, "
+          + ", ".join(f"{b} long" for b in BITS))
 
 
 @lru_cache(256)
@@ -327,19 +356,19 @@ def prefixes(lines: DataFrame, rare) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), longs(values))
 
     def emit(rows):
-        tokens, node, root, size, at, own, told, before, bands = zip(*rows)
+        tokens, node, root, size, at, own, told, before, bands, bits = zip(*rows)
         n = [len(x) for x in tokens]
         fill = lambda a: pa.array(np.repeat(np.array(a, np.int64), n))
         return pa.RecordBatch.from_arrays(
             [longs(tokens), fill(node), fill(root), fill(size), pa.array(np.concatenate(at)), pa.array(np.concatenate(own)),
              lists(told, before), lists([np.full(k, len(x)) for k, x in zip(n, bands)],
-                                        [np.tile(x, k) for k, x in zip(n, bands)])],
-            names=["token", "node", "root", "size", "at", "own", "before", "bands"])
+                                        [np.tile(x, k) for k, x in zip(n, bands)]), *map(fill, zip(*bits))],
+            names=["token", "node", "root", "size", "at", "own", "before", "bands", *BITS])
 
     def spread(batches):
         rows, n_rows = [], 0
         for batch in batches:
-            for node, line, root, size, bands in zip(*(c.to_pylist() for c in batch.columns)):
+            for node, line, root, size, bands, *bits in zip(*(c.to_pylist() for c in batch.columns)):
                 h = shingle_hashes(line)
                 h = h[np.lexsort((h, rare.value[(h % np.uint64(RARITY)).astype(np.int64)]))]
                 h = h[:size - least_shared(size, SIMILAR) + 1]
@@ -347,7 +376,8 @@ def prefixes(lines: DataFrame, rare) -> DataFrame:
                 for lo in range(0, len(h), ROWS_OUT):
                     hi = min(lo + ROWS_OUT, len(h))
                     at, (told, places) = np.arange(lo, hi), earlier(lo, hi, BEFORE)
-                    rows.append((h[lo:hi], node, root, size, at, at < first, told, h[places], np.array(bands, np.int64)))
+                    rows.append((h[lo:hi], node, root, size, at, at < first, told, h[places],
+                                 np.array(bands, np.int64), bits))
                     n_rows += hi - lo
                     if n_rows >= ROWS_OUT:
                         yield emit(rows)
@@ -355,7 +385,7 @@ def prefixes(lines: DataFrame, rare) -> DataFrame:
         if rows:
             yield emit(rows)
 
-    return lines.select("node", "line", "root", "size", "bands").mapInArrow(spread, PREFIX)
+    return lines.select("node", "line", "root", "size", "bands", *BITS).mapInArrow(spread, PREFIX)
 
 
 def pairs_across(placed: DataFrame, texts: DataFrame, stages: Stages) -> DataFrame:
@@ -369,13 +399,13 @@ def pairs_across(placed: DataFrame, texts: DataFrame, stages: Stages) -> DataFra
         f"x.key = y.key and x.root < y.root and least(x.size, y.size) >= {SIMILAR}D * greatest(x.size, y.size)"))
     nodes = apart.where(F.col("n") > SMALL).groupBy("node").agg(
         F.min("root").alias("root"), F.min("size").alias("size"), F.collect_set("key").alias("bands"))
-    lines = stages.table(texts.select("node", "line").join(nodes, "node"), "split")
+    lines = stages.table(texts.select("node", "line", *BITS).join(nodes, "node"), "split")
     rare = placed.sparkSession.sparkContext.broadcast(rarity(lines))          # RARITY numbers
     rows = stages.table(prefixes(lines, rare), "prefixes")
     # x is the smaller line; no more shingles are shared than stand behind the first one shared
     met = rows.where("own").alias("x").join(rows.alias("y"), F.expr(
         f"""x.token = y.token and x.root != y.root and (x.size < y.size or (x.size = y.size and x.node < y.node))
-        and x.size >= {SIMILAR}D * y.size
+        and {maybe_alike("x", "y")}
         and least(x.size - x.at, y.size - y.at) >= {SIMILAR / (1 + SIMILAR)}D * (x.size + y.size) - 1e-6D
         and arrays_overlap(x.bands, y.bands) and not arrays_overlap(x.before, y.before)"""))
     pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]

@@ -124,7 +124,7 @@ def test_prefix_filter_keeps_every_pair_that_holds(spark, monkeypatch, told, sma
     lines = sorted(x for x in lines if x.strip())
     sets = [{x[i:i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
     alike = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if similar(lines[i], lines[j])}
-    texts = spark.createDataFrame([(i, x, len(sets[i])) for i, x in enumerate(lines)], "node long, line string, size long")
+    texts = L.with_sizes(spark.createDataFrame(list(enumerate(lines)), "node long, line string"))
     placed = spark.createDataFrame([(k, i, i, len(sets[i])) for i in range(len(lines)) for k in (7, 8, -9)],
                                    "key long, node long, root long, size long")
     got = [(r.a, r.b) for r in L.pairs_across(placed, texts, L.Stages(spark, "test")).collect()]
@@ -140,12 +140,28 @@ def test_a_group_of_near_copies_makes_few_pairs(spark):
     lines = [" ".join(base[:24] + [word() for _ in range(6)]) for _ in range(300)]
     lines += [x + "s" for x in lines[:20]]
     n = [len({x[i:i + 5] for i in range(len(x) - 4)}) for x in lines]
-    texts = spark.createDataFrame([(i, x, n[i]) for i, x in enumerate(lines)], "node long, line string, size long")
+    texts = L.with_sizes(spark.createDataFrame(list(enumerate(lines)), "node long, line string"))
     placed = spark.createDataFrame([(1, i, i, n[i]) for i in range(len(lines))], "key long, node long, root long, size long")
     got = {(r.a, r.b) for r in L.pairs_across(placed, texts, L.Stages(spark, "test")).collect()}
     assert {(i, i + 300) for i in range(20)} <= got and len(got) < 500
 
 
+def test_bitmaps_never_part_lines_that_are_alike():
+    rnd = random.Random(9)
+    met = 0
+    for _ in range(4000):
+        a = "".join(rnd.choices("abcdef é漢", k=rnd.choice([1, 4, 5, 6, 20, 80, 300])))
+        b = "".join(rnd.choice("abcdef") if rnd.random() < .03 else c for c in a) + rnd.choice(["", "x"])
+        x, y = ({t[i:i + 5] for i in range(max(1, len(t) - 4))} for t in (a, b))
+        bits = [L.bitmap(L.shingle_hashes(t)) for t in (a, b)]
+        apart = int(np.bitwise_count((bits[0] ^ bits[1]).view("u8")).sum())     # of two's complements, as Spark counts
+        assert apart <= len(x ^ y)
+        met += similar(a, b)
+        if similar(a, b):
+            assert 9 * apart <= len(x) + len(y)
+    assert met > 500
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(4, "one line of text here\nand one more"), (4, "one line of text here\nand one more"), (None, "one line of text here"),
             (2, "one line of text here\nsomething quite different")]
