@@ -27,6 +27,10 @@ LOCAL_DEFAULTS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# Keyed state with several variables needs this store, and a session may come with another one.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass":
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
 
 def get_spark(master: str | None = None, app: str = "ledgerflow", **conf: str) -> SparkSession:
     """Return the active session or build a local one with sane defaults."""

@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from .. import schemas as S
 from ..operators import process as P
-from ..session import scoped_conf
+from ..session import STATE_STORE, scoped_conf
 from .effectively_once import CommitLog
 
 _RECORD = ("topic string, partition int, offset bigint, key string, attempt int, next_attempt_at timestamp, "
@@ -35,8 +35,6 @@ _fate = Row(*_NAMES)
 DELIVERY = _RECORD
 
 PROCESSED, DUPLICATE, FAILED = "processed", "duplicate", "failed"
-_STORE = {"spark.sql.streaming.stateStore.providerClass":
-          "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 class Claims(StatefulProcessor):
@@ -145,7 +143,7 @@ class ClaimStream:
         reader = self.spark.readStream.schema(DELIVERY)
         fresh = reader.parquet(input_folder).withColumn("attempt", F.coalesce("attempt", F.lit(1)))
         both = fresh.unionByName(reader.parquet(f"{self.sink.retries}/*"))
-        with scoped_conf(self.spark, **_STORE, **{"spark.sql.shuffle.partitions": str(self.partitions)}):
+        with scoped_conf(self.spark, **STATE_STORE, **{"spark.sql.shuffle.partitions": str(self.partitions)}):
             self.last = (fates(both, self.payments(), self.decisions(), self.claimed).writeStream.foreachBatch(self.sink)
                          .option("checkpointLocation", f"{self.root}/checkpoint").outputMode("append").trigger(availableNow=True).start())
         return self.last

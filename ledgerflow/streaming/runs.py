@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_RULES, RuleConfig
-from ..session import scoped_conf
+from ..session import STATE_STORE, scoped_conf
 from .effectively_once import CommitLog, TriageSink
 from .staging import replay_in_order, run_folder
 from .triage_state import FAR_FUTURE, OUTPUT_SCHEMA, stream_activity
@@ -37,8 +37,8 @@ def stream_triage_run(spark: SparkSession, payments: DataFrame, cfg: RuleConfig
     emitted). ``stragglers`` arrive after that, in one micro-batch, so those not
     after their customer's last row are late. The state is split into
     ``state_partitions`` partitions (fixed by the checkpoint at the first start;
-    default: the cluster's core count). ``activity`` is another form of the stateful
-    step (``triage_slices``).
+    default: the cluster's core count) and is kept by RocksDB, whatever the session's
+    store is. ``activity`` is another form of the stateful step (``triage_slices``).
     """
     root = run_folder(spark, "stream_triage")
     data = payments.select(*_COLS)
@@ -53,7 +53,7 @@ def stream_triage_run(spark: SparkSession, payments: DataFrame, cfg: RuleConfig
         source = reader.parquet(f"{root}/input")
         feats = (activity(source, cfg, f"{delay} seconds") if activity
                  else stream_activity(source, cfg, f"{delay} seconds", keep_late=True))
-        with scoped_conf(spark, **{"spark.sql.shuffle.partitions": str(parts)}):
+        with scoped_conf(spark, **STATE_STORE, **{"spark.sql.shuffle.partitions": str(parts)}):
             query = (feats.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
                      .outputMode("append").trigger(availableNow=True).start())
         query.awaitTermination()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators.features import activity_snapshot
 from ledgerflow.schemas import RuleConfig
+from ledgerflow.session import scoped_conf
 from ledgerflow.streaming.runs import stream_triage_run
 from ledgerflow.streaming.triage_slices import _ROW, stream_activity_slices, window_features
 from ledgerflow.streaming.triage_state import OUTPUT_SCHEMA
@@ -72,3 +73,10 @@ def test_features_of_a_long_slice_take_amounts_beyond_64_bits():
     rows = [(i, i, f"p{i}", Decimal("900000000000000.0000"), "USD", "US") for i in range(60)]
     assert str(window_features(rows, 59, RuleConfig())[0][3]) == "900000000000000.00"
     assert len(_ROW.split(", ")) == 6
+
+
+def test_runs_in_a_session_whose_state_store_has_no_column_families(spark):
+    df = table(spark, [("c", s, "1.00", "US") for s in range(0, 60, 10)])
+    store = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    with scoped_conf(spark, **{"spark.sql.streaming.stateStore.providerClass": store}):
+        assert same(run(spark, df, CFG, 20).committed("features", OUTPUT_SCHEMA), activity_snapshot(df, CFG))
