@@ -1,9 +1,11 @@
 """Claims in keyed state (T2, K4, J2, T6, T7, T8): the processed-events table is the stream's own state.
 
-Deliveries are decoded, looked up (payment, decision) and keyed by event id. The state of
-an event id is its claim, on RocksDB, and never expires; claims that exist before the
-stream starts are its initial state. No micro-batch reads a claims table: a delivery only
-meets the state of its own event id. The claim and its outcome leave in one row.
+Deliveries are decoded, looked up (payment, decision) and keyed by a hash bucket of the
+event id. The state of a bucket is the list of its claims, on RocksDB, and never expires;
+claims that exist before the stream starts are its initial state. No micro-batch reads a
+claims table: a delivery only meets the claims of its own bucket. A bucket costs a few
+calls to the state store, however many events of it a micro-batch brings; with a key per
+event id those calls took most of the run. The claim and its outcome leave in one row.
 
 A delivery without a payment or a decision, or one that can't be decoded, claims nothing.
 It goes to the retry folder, a second source of the same stream, with its next attempt and
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -32,37 +34,41 @@ _RECORD = ("topic string, partition int, offset bigint, key string, attempt int,
 FATES = f"event_id string, fate string, payment_id string, decision string, risk_score double, reasons array<string>, reason string, {_RECORD}"
 _NAMES = [c.split()[0] for c in FATES.split(", ")]
 _fate = Row(*_NAMES)
+_CLAIM = "event_id string, processed_at timestamp, decision string"
+#: Buckets of event ids; the checkpoint keeps them, so a stream has the same number for life.
+BUCKETS = 1 << 14
 DELIVERY = _RECORD
 
 PROCESSED, DUPLICATE, FAILED = "processed", "duplicate", "failed"
 
 
 class Claims(StatefulProcessor):
-    """One value state per event id: when it was claimed, and with which decision."""
+    """A list state per bucket of event ids: which were claimed, when, and with which decision."""
 
     def init(self, handle) -> None:
-        self.claim = handle.getValueState("claim", "processed_at timestamp, decision string")
+        self.claim = handle.getListState("claim", _CLAIM)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         for row in [initialState] if isinstance(initialState, Row) else initialState:
-            self.claim.update((row.processed_at, None))
+            self.claim.appendList([(c["event_id"], c["processed_at"], None) for c in row.claims])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        claimed, first = self.claim.exists(), None
+        claimed, first = {c[0] for c in self.claim.get()}, {}
         for r in rows:
-            if claimed:
+            if r.claim_key in claimed:                      # null where the record has no event id
                 yield _told(r, DUPLICATE)
             elif r.reason is not None:                      # can't be processed: no claim
                 yield _told(r, FAILED)
-            elif first is None or _order(r) < _order(first):
-                if first is not None:
-                    yield _told(first, DUPLICATE)
-                first = r
+            elif (best := first.get(r.claim_key)) is None or _order(r) < _order(best):
+                if best is not None:
+                    yield _told(best, DUPLICATE)
+                first[r.claim_key] = r
             else:
                 yield _told(r, DUPLICATE)
-        if first is not None:
-            self.claim.update((first.delivered_at, first.decision))
-            yield _told(first, PROCESSED)
+        if first:
+            self.claim.appendList([(k, r.delivered_at, r.decision) for k, r in first.items()])
+        for r in first.values():
+            yield _told(r, PROCESSED)
 
 
 def _order(r: Row) -> tuple:
@@ -84,13 +90,18 @@ def fates(deliveries: DataFrame, payments: DataFrame, decisions: DataFrame, clai
               .when(F.col("_found").isNull(), F.concat(F.lit(S.PAYMENT_NOT_FOUND), F.col("payment_id")))
               .when(~F.coalesce(F.col("decision").isin(*S.DECISIONS), F.lit(False)),
                     F.concat(F.lit(S.REASON_NO_DECISION), F.col("payment_id"))))
-    # a record that can't be read has no event id: it stands for itself, so such records don't share a key
-    key = F.when(F.col("decode_error").isNull(), F.concat(F.lit("e"), F.col("event_id"))).otherwise(
-        F.concat_ws("/", F.lit("r"), *P.RECORD))
-    rows = looked_up.select(key.alias("claim_key"), "event_id", "payment_id", "decision", F.col("risk_score").cast("double").alias("risk_score"),
-                            "reasons", reason.alias("reason"), *[c.split()[0] for c in _RECORD.split(", ")])
-    before = claimed.select(F.concat(F.lit("e"), F.col("event_id")).alias("claim_key"), "processed_at")
-    return rows.groupBy("claim_key").transformWithState(Claims(), FATES, "append", "none", before.groupBy("claim_key"))
+    # a record that can't be read has no event id: it meets no claim, and its own place deals it to a bucket
+    key = F.when(F.col("decode_error").isNull(), F.col("event_id"))
+    rows = looked_up.select(_bucket(F.coalesce(key, F.concat_ws("/", *P.RECORD))), key.alias("claim_key"), "event_id", "payment_id", "decision",
+                            F.col("risk_score").cast("double").alias("risk_score"), "reasons", reason.alias("reason"),
+                            *[c.split()[0] for c in _RECORD.split(", ")])
+    before = (claimed.filter(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.max("processed_at").alias("processed_at"))
+              .groupBy(_bucket(F.col("event_id"))).agg(F.collect_list(F.struct("event_id", "processed_at")).alias("claims")))
+    return rows.groupBy("bucket").transformWithState(Claims(), FATES, "append", "none", before.groupBy("bucket"))
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
 
 
 class ClaimSink:

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from ledgerflow.plans.q_stream import _processing_run, claim_run
+from ledgerflow.streaming import keyed_claims
 from ledgerflow.streaming.effectively_once import CLAIMS
 from ledgerflow.streaming.keyed_claims import CLAIM_OUTCOMES, DEAD_LETTERS, ClaimStream
 from ledgerflow.streaming.staging import run_folder
 
-from helpers import crash_once
+from helpers import T0, crash_once
 from test_process_cases import deliveries, event, no_claims, stored
 
 
@@ -67,3 +68,24 @@ def test_the_table_form_survives_a_crash_too(spark, ds):
     assert claims.count() == claims.select("event_id").distinct().count() == 877
     outs = log.committed("outcome_outbox", "aggregate_id string")
     assert outs.count() == outs.distinct().count() == 877
+
+
+def test_events_of_one_bucket_keep_their_claims_apart(spark, monkeypatch):
+    monkeypatch.setattr(keyed_claims, "BUCKETS", 1)
+    root = run_folder(spark, "claims-test")
+    ids = [f"p{i}" for i in range(40)]
+    verdicts = spark.createDataFrame([(p, "APPROVE", 0.0, ["x"]) for p in ids], "payment_id string, decision string, risk_score double, reasons array<string>")
+    before = spark.createDataFrame([("e0", T0), ("e0", T0), ("e1", T0), (None, T0)], "event_id string, processed_at timestamp")
+    pays = stored(spark, *ids)
+    stream = ClaimStream(spark, root, lambda: pays, lambda: verdicts, before, partitions=2)
+    deliveries(spark, [event(f"e{i}", f"p{i}") for i in range(20)] * 2 + ["{bad", "{bad"]).write.parquet(f"{root}/input/a")
+    stream.start(f"{root}/input/*").awaitTermination()
+    assert outcomes(stream) == sorted((f"e{i}", "APPROVE") for i in range(2, 20))
+    assert stream.log.committed("duplicates", "event_id string").count() == 22
+    deliveries(spark, [event(f"e{i}", f"p{i}") for i in range(40)]).withColumn("offset", F.col("offset") + 1000).write.parquet(f"{root}/input/b")
+    stream.finish(f"{root}/input/*")
+    assert outcomes(stream) == sorted((f"e{i}", "APPROVE") for i in range(2, 40))
+    assert stream.log.committed("duplicates", "event_id string").count() == 42
+    assert stream.log.committed("dead_letters", DEAD_LETTERS).count() == 2
+    state = spark.read.format("statestore").option("stateVarName", "claim").load(f"{root}/checkpoint")
+    assert state.select("key").distinct().count() == 1 and state.count() == 40
