@@ -38,13 +38,19 @@ def stream_triage_run(spark: SparkSession, payments: DataFrame, cfg: RuleConfig
     after their customer's last row are late. The state is split into
     ``state_partitions`` partitions (fixed by the checkpoint at the first start;
     default: the cluster's core count) and is kept by RocksDB, whatever the session's
-    store is. ``activity`` is another form of the stateful step (``triage_slices``).
+    store is. A micro-batch takes ``files_per_trigger`` files, or half a slice of the
+    replay where that is more. ``activity`` is another form of the stateful step (``triage_slices``).
     """
     root = run_folder(spark, "stream_triage")
     data = payments.select(*_COLS)
     width_us = replay_in_order(data, "created_at", f"{root}/input", slices)
     delay = max(delay_seconds, width_us // 1_000_000 + 1)
     sink = TriageSink(spark, f"{root}/out")
+    # every micro-batch goes through the whole state for timers, so their number is that of the slices, not of the files
+    def share() -> int:
+        written = len(spark.read.schema(data.schema).parquet(f"{root}/input").inputFiles())
+        return max(files_per_trigger, -(-written // (2 * slices)))
+
     parts = state_partitions or spark.sparkContext.defaultParallelism
 
     def drain(files: int | None) -> None:
@@ -62,7 +68,7 @@ def stream_triage_run(spark: SparkSession, payments: DataFrame, cfg: RuleConfig
                 .withColumn("payment_id", F.lit("__end__")).withColumn("customer_id", F.lit("__end__"))
                 .withColumn("created_at", F.lit(FAR_FUTURE).cast("timestamp")))
     sentinel.write.mode("append").parquet(f"{root}/input")
-    drain(files_per_trigger)
+    drain(share())
     if stragglers is not None:
         stragglers.select(*_COLS).write.mode("append").parquet(f"{root}/input")
         drain(None)

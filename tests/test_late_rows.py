@@ -29,3 +29,10 @@ def test_every_row_is_folded_or_late(spark):
     assert kept["p4"]["amount"] == Decimal("10.00") and kept["p4"]["country"] == "GB"
     assert feats["p6"]["previous_country"] == "GB" and feats["p7"]["previous_country"] is None
     assert feats["p8"]["velocity_count"] == 2 and feats["p8"]["previous_country"] == "US"
+
+
+def test_the_number_of_micro_batches_follows_the_slices_not_the_files(spark):
+    rows = table(spark, [(f"p{i}", f"c{i % 3}", i * 100, "US") for i in range(120)]).repartition(16)
+    log = stream_triage_run(spark, rows, RuleConfig(window_seconds=60), state_partitions=2)
+    assert log.committed("features", OUTPUT_SCHEMA).count() == 120
+    assert log.last() < 12                                      # 4 slices in halves, and their ends
