@@ -46,6 +46,8 @@ FEATURE_COLUMNS = ("velocity_count", "geo_distinct", "previous_country",
 _MICROS = 1_000_000
 # 1e-4 units of any DECIMAL(19,4) amount, and the sum of a frame of them
 UNITS, SUM = "decimal(20,0)", "decimal(26,0)"
+# Rows that a task cuts into ranges, where ranges are smaller than that
+RANGE_TASK_ROWS = 50_000
 
 
 def _prepare(df: DataFrame, tiebreak: str) -> DataFrame:
@@ -103,18 +105,27 @@ def _hot_customers(df: DataFrame, cfg: RuleConfig) -> DataFrame:
     return counts.filter(F.col("_n") > cfg.hot_customer_rows)
 
 
-def _ranged(rows: DataFrame, tiebreak: str, ranges: int) -> DataFrame:
-    """Hot customers' rows with ``_b``, the number of their range from 1 on: quantile cuts of (customer,
-    time, tiebreak), so ranges have about the same number of rows however the rows lie in time. The
-    cuts come from a sample and would differ if computed again, so the rows are written once."""
-    cut = rows.repartitionByRange(ranges, "customer_id", "_t", tiebreak)
-    return materialize(cut.withColumn("_b", (F.spark_partition_id() + 1).cast("bigint")), "hot_rows")
+def _ranged(rows: DataFrame, tiebreak: str, ranges: int, per_range: int) -> DataFrame:
+    """Hot customers' rows with ``_b``, the number of their range from 1 on, rising in the order of (customer,
+    time, tiebreak): quantile cuts, so ranges have about the same number of rows however the rows lie in
+    time. Small ranges share a task, so tasks, samples and files grow with the rows and not with the ranges: a
+    task's rows are sorted and counted off. The cuts come from a sample and would differ if computed again,
+    so the rows are written once."""
+    order = ["customer_id", "_t", tiebreak]
+    each = max(1, RANGE_TASK_ROWS // per_range)                         # ranges of a task
+    cut = rows.repartitionByRange(-(-ranges // each), *order)
+    if each == 1:
+        numbered = cut.withColumn("_b", (F.spark_partition_id() + 1).cast("bigint"))
+    else:                                                               # the task in the upper bits, the row of it below
+        numbered = (cut.sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
+                    .withColumn("_b", F.expr(f"shiftright(_i, 33) * {1 << 33} + (_i & {(1 << 33) - 1}) div {per_range} + 1")).drop("_i"))
+    return materialize(numbered, "hot_rows")
 
 
 def _with_halo(df: DataFrame, tiebreak: str, cfg: RuleConfig, hot: DataFrame, ranges: int) -> DataFrame:
     """Tag hot customers' rows with a range and add the halo rows; all others are in range 0."""
     names = hot.select("customer_id")                                   # broadcast or not by its size at run time
-    cut = _ranged(df.join(names, "customer_id", "left_semi"), tiebreak, ranges)
+    cut = _ranged(df.join(names, "customer_id", "left_semi"), tiebreak, ranges, cfg.hot_bucket_rows)
     tagged = (df.join(names, "customer_id", "left_anti").withColumn("_b", F.lit(0).cast("bigint"))
               .unionByName(cut).withColumn("_halo", F.lit(False)))
     hmax = cfg.max_history

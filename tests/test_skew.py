@@ -66,6 +66,15 @@ def test_split_result_equals_plain_window_under_skew(spark):
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
 
 
+def test_small_ranges_share_a_task(spark):
+    rows = FE._prepare(skewed(spark, 4000, 0), "event_id")
+    cut = FE._ranged(rows, "event_id", 40, 100)
+    sizes = [r["count"] for r in cut.groupBy("_b").count().collect()]
+    assert len(cut.inputFiles()) == 1 and sizes == [100] * 40
+    late = cut.groupBy("_b").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).orderBy("_b").collect()
+    assert all(a.hi < b.lo for a, b in zip(late, late[1:]))
+
+
 def test_delivery_dedup_limits_before_the_shuffle(spark, ds):
     plan = P.first_delivery(P.decode_events(ds.deliveries))._jdf.queryExecution().executedPlan().toString()
     lines = plan.splitlines()
