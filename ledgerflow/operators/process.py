@@ -150,23 +150,25 @@ def _severity_ok(decision: Column) -> Column:
 
 def process(deliveries: DataFrame, payments: DataFrame, claimed: DataFrame,
             decider: Decider | None = None, retries: DataFrame | None = None,
-            history: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> Processed:
+            history: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df,
+            decoded: DataFrame | None = None) -> Processed:
     """Process one batch of deliveries against the payments and claims tables.
 
     ``history`` holds the transactions that earlier runs have evaluated (default:
-    ``claimed``, where it carries their columns). ``hold`` is applied to the two frames
+    ``claimed``, where it carries their columns). ``hold`` is applied to the three frames
     that all outputs come from; a caller that writes several outputs persists them.
+    ``decoded`` are the decoded deliveries, where the caller has them already.
     """
     decider = decider or rules_decider(hot_source=payments)
     if "attempt" not in deliveries.columns:
         deliveries = deliveries.withColumn("attempt", F.lit(1))
     if retries is not None:                                   # U2: retried records re-enter
         deliveries = deliveries.unionByName(retries, allowMissingColumns=True)
-    decoded = hold(decode_events(deliveries))
+    decoded = hold(decode_events(deliveries)) if decoded is None else decoded
     firsts = first_delivery(decoded)
     fresh = firsts.join(claimed.select("event_id"), "event_id", "left_anti")     # J2
     existing = payments.select("payment_id", F.lit(True).alias("_found"))
-    joined = fresh.join(existing, "payment_id", "left")                          # J1
+    joined = hold(fresh.join(existing, "payment_id", "left"))                    # J1: found and orphans come from it
     orphans = joined.filter(F.col("_found").isNull()).drop("_found")
     found = joined.filter(F.col("_found")).drop("_found")
     if history is None and set(EVALUATED) <= set(claimed.columns):

@@ -64,14 +64,21 @@ def stream_late_rows(ds):
     return both.select("payment_id", "late")
 
 
+def _stored(ds):
+    """The payments and the claims before the run, each written once, dealt by key: every micro-batch reads them."""
+    return (materialize(ds.stored_payments.repartition("payment_id"), "stored_payments"),
+            materialize(ds.claimed.repartition("event_id"), "claimed"))
+
+
 def _processing_run(ds, decider=None, log=CommitLog):
     """Deliveries replayed through the processor, in four drains or more; ends when the retry
     queue is empty. ``log`` makes the commit log (tests give one that fails once)."""
     spark = ds.spark
     root = run_folder(spark, "stream_processing")
     log = log(spark, f"{root}/out")
-    sink = ProcessingSink(spark, f"{root}/out", ds.stored_payments, ds.claimed, log=log,
-                          decider=decider or P.rules_decider(DAY, hot_source=ds.stored_payments))
+    payments, claimed = _stored(ds)
+    sink = ProcessingSink(spark, f"{root}/out", payments, claimed, log=log,
+                          decider=decider or P.rules_decider(DAY, hot_source=payments))
 
     def start():
         stream = spark.readStream.schema(ds.deliveries.schema).parquet(f"{root}/input")
@@ -79,7 +86,8 @@ def _processing_run(ds, decider=None, log=CommitLog):
                 .trigger(availableNow=True).start())
 
     replay_in_order(ds.deliveries, "delivered_at", f"{root}/input", 4,
-                    lambda: run_until_done(start, partitions=spark.sparkContext.defaultParallelism))
+                    lambda: run_until_done(start, partitions=spark.sparkContext.defaultParallelism),
+                    files=spark.sparkContext.defaultParallelism)
     sink.drain()
     return log
 
@@ -268,9 +276,9 @@ def stream_retry(ds):
     missing = ds.payments.filter(F.col("event_id") % 53 == 0).select(
         "payment_id", "amount", "currency", "customer_id", "card_last4", "country", "merchant", "created_at",
         F.lit(S.STATUS_RECEIVED).alias("status"))
-    here = [ds.stored_payments]
-    sink = ProcessingSink(spark, f"{root}/out", lambda: here[0], ds.claimed,
-                          P.rules_decider(DAY, hot_source=ds.stored_payments))
+    payments, claimed = _stored(ds)
+    here = [payments]
+    sink = ProcessingSink(spark, f"{root}/out", lambda: here[0], claimed, P.rules_decider(DAY, hot_source=payments))
     ds.deliveries.write.parquet(f"{root}/input")
 
     def start():
@@ -279,7 +287,7 @@ def stream_retry(ds):
                 .trigger(availableNow=True).start())
 
     run_until_done(start, partitions=spark.sparkContext.defaultParallelism)
-    here[0] = ds.stored_payments.unionByName(missing, allowMissingColumns=True)     # they arrive
+    here[0] = payments.unionByName(missing, allowMissingColumns=True)     # they arrive
     sink.drain()
     log = sink.log
     first = log.committed("failed", "topic string, partition int, offset bigint, attempt int, value string, reason string") \

@@ -31,6 +31,9 @@ LOCAL_DEFAULTS = {
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass":
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
+# Joins whose sides all grow with the input: a side that fits a broadcast today goes through the driver.
+NO_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
 
 def get_spark(master: str | None = None, app: str = "ledgerflow", **conf: str) -> SparkSession:
     """Return the active session or build a local one with sane defaults."""
@@ -67,15 +70,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df, name: str = "stage"):
+def materialize(df, name: str = "stage", by: str | None = None):
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint folder
-    and reading it back (one job; survives executor loss, unlike a local checkpoint)."""
+    and reading it back (one job; survives executor loss, unlike a local checkpoint).
+    ``by`` is a column with few values to write a folder for each of."""
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+    df.write.partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

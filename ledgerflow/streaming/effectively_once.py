@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest as I
 from ..operators import process as P
-from ..session import scoped_conf
+from ..session import NO_BROADCAST, scoped_conf
 
 
 class CommitLog:
@@ -50,7 +50,7 @@ class CommitLog:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         marks = self.spark.read.schema("committed bigint, batch_id bigint").parquet(f"{self.root}/_commits").select("batch_id")
-        out = rows.join(marks, "batch_id", "left_semi")
+        out = rows.join(F.broadcast(marks), "batch_id", "left_semi")       # a row a batch
         if exclude is not None:
             out = out.filter(F.col("batch_id") != exclude)
         return out
@@ -129,21 +129,23 @@ class ProcessingSink:
         records = batch.unionByName(queue.filter(due), allowMissingColumns=True)
         claims = self.log.committed("claims", CLAIMS, exclude=batch_id).drop("batch_id")
         claimed = self.claimed.unionByName(claims, allowMissingColumns=True)
-        ids = P.decode_events(records).select("event_id").distinct()
         held: list[DataFrame] = []
         try:
-            self._write(batch_id, clock, queue, due, claimed, ids, records, held)
+            with scoped_conf(batch.sparkSession, **NO_BROADCAST):
+                self._write(batch_id, queue, due, claimed, records, held)
         finally:
             for df in held:
                 df.unpersist()
 
-    def _write(self, batch_id, clock, queue, due, claimed, ids, records, held) -> None:
+    def _write(self, batch_id, queue, due, claimed, records, held) -> None:
         def hold(df: DataFrame) -> DataFrame:
             held.append(df.persist())
             return df
 
+        decoded = hold(P.decode_events(records))
+        ids = decoded.select("event_id").distinct()
         r = P.process(records, self.payments(), claimed.join(ids, "event_id", "left_semi"), self.decider,
-                      history=claimed if set(P.EVALUATED) <= set(claimed.columns) else None, hold=hold)
+                      history=claimed if set(P.EVALUATED) <= set(claimed.columns) else None, hold=hold, decoded=decoded)
         self.log.write("claims", r.claims, batch_id)
         self.log.write("outcome_outbox", r.outcome_outbox, batch_id)
         self.log.write("payment_updates", r.payment_updates, batch_id)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -22,7 +22,7 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def replay_in_order(df: DataFrame, time_col: str, folder: str, slices: int,
-                    drain: Callable[[], object] | None = None) -> int:
+                    drain: Callable[[], object] | None = None, files: int | None = None) -> int:
     """Append ``df`` to ``folder`` as ``slices`` consecutive time slices, oldest first.
 
     With ``drain`` (a function that runs the stream with ``availableNow`` from
@@ -30,17 +30,20 @@ def replay_in_order(df: DataFrame, time_col: str, folder: str, slices: int,
     never mixes slices and rows are seen in slice order however many files a
     slice is written as; every drain after the first is a restart. Returns the
     slice width in microseconds. Slice bounds come from one min/max aggregate;
-    every slice is a filtered write, so no slice passes through the driver. Rows without a
-    time come with the first slice.
+    the rows are written once, cut by slice, and every slice is copied from there, so
+    what makes ``df`` runs once and no slice passes through the driver. Rows without a
+    time come with the first slice. ``files`` deals a slice over that many files.
     """
     t = F.unix_micros(F.col(time_col).cast("timestamp"))
     lo, hi = df.agg(F.min(t), F.max(t)).first()
     slices = slices if lo is not None else 1                  # no times at all: one slice
     lo, hi = (lo, hi) if lo is not None else (0, 0)
     width = max(1, (hi - lo) // slices + 1)
+    at = F.coalesce(sum(((t >= lo + i * width).cast("int") for i in range(1, slices)), F.lit(0)), F.lit(0))
+    staged = materialize(df.withColumn("_slice", at), "replay", by="_slice")
     for i in range(slices):
-        inside = (t >= lo + i * width) & (t < lo + (i + 1) * width)
-        df.filter(inside | t.isNull() if i == 0 else inside).write.mode("append").parquet(folder)
+        rows = staged.filter(F.col("_slice") == i).select(*df.columns)
+        (rows.repartition(files) if files else rows).write.mode("append").parquet(folder)
         if drain is not None:
             drain()
     return width
