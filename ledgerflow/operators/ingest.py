@@ -24,6 +24,7 @@ chain per key: ``s0`` = first request, ``s(k+1)`` = first request at or after
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -216,7 +217,8 @@ def _chain_members(starts: DataFrame, nxt: DataFrame, max_len: int) -> DataFrame
 
 def accept_classes(valid: DataFrame, ttl_seconds: int = S.IDEMPOTENCY_TTL_SECONDS,
                    bucket_rows: int = 100_000, bucket_seconds: int = 1,
-                   key: str = "idempotency_key", existing: DataFrame | None = None) -> DataFrame:
+                   key: str = "idempotency_key", existing: DataFrame | None = None,
+                   hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """A4 / Q17-Q19: answer class and payment for every valid request with a key.
 
     Output: request_id, idempotency_key, payment_id, accept_result, status.
@@ -242,6 +244,7 @@ def accept_classes(valid: DataFrame, ttl_seconds: int = S.IDEMPOTENCY_TTL_SECOND
         reopened = (req.join(old.select("k", "_c"), "k").filter(F.col("t") >= F.col("_c") + ttl_us)
                     .groupBy("k").agg(first["rid"].alias("rid"), first["t"].alias("_st")))
         starts = starts.join(old.select("k"), "k", "left_anti").unionByName(reopened)
+    starts = hold(starts)
     # Only keys whose requests span at least one TTL can re-cache more than once;
     # next pointers are computed for those alone (picked by a partial aggregate).
     spans = req.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.min("t").alias("_lo"),
@@ -285,14 +288,16 @@ class Intake:
     answers: DataFrame       # S8 / A4: payment, status and answer class per accepted request
 
 
-def ingest_batch(requests: DataFrame, existing: DataFrame | None = None, with_answers: bool = True) -> Intake:
+def ingest_batch(requests: DataFrame, existing: DataFrame | None = None, with_answers: bool = True,
+                 hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> Intake:
     """One intake run: ``validate (split) -> first writer per key -> left anti existing
     -> {payments, outbox, rejected}`` plus the answer each accepted request gets.
-    ``existing`` is the payments table (answers need ``payment_id, status, created_at``)."""
-    checked = validate_requests(requests)
+    ``existing`` is the payments table (answers need ``payment_id, status, created_at``).
+    ``hold`` is applied to the frames that several outputs come from; a caller that writes them persists these."""
+    checked = hold(validate_requests(requests))
     valid = checked.filter(F.col("valid"))
     rejected = checked.filter(~F.col("valid")).select(
         "request_id", "idempotency_key", "received_at", "violations")
-    pays = new_payments(valid, existing)
-    answers = accept_classes(valid, existing=existing) if with_answers else None
+    pays = hold(new_payments(valid, existing))
+    answers = accept_classes(valid, existing=existing, hold=hold) if with_answers else None
     return Intake(pays, requested_outbox(pays), rejected, answers)

@@ -204,26 +204,36 @@ class AcceptSink:
         self.log = CommitLog(spark, root)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        held = [batch := batch.persist()]
+
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return df
+
         try:
-            keys = batch.select("idempotency_key").filter(F.col("idempotency_key").isNotNull()).distinct()
-            before = (self.log.committed("payments", PAYMENTS, exclude=batch_id)
-                      .select("idempotency_key", "payment_id", "status", "created_at"))
-            answered = self.log.committed("answers", ANSWERS, exclude=batch_id)
-            cached = (answered.filter(F.col("accept_result").isin("created", "idempotent_db"))
-                      .join(keys, "idempotency_key", "left_semi")
-                      .groupBy("idempotency_key").agg(F.max("received_at").alias("_cached")))
-            relevant = (before.join(keys, "idempotency_key", "left_semi").join(cached, "idempotency_key", "left")
-                        .withColumn("created_at", F.coalesce("_cached", "created_at")).drop("_cached"))
-            out = I.ingest_batch(batch, existing=relevant)
-            times = batch.groupBy("request_id").agg(F.min("received_at").alias("received_at"))
-            self.log.write("payments", out.payments, batch_id)
-            self.log.write("outbox", out.outbox, batch_id)
-            self.log.write("rejected", out.rejected, batch_id)
-            self.log.write("answers", out.answers.join(times, "request_id"), batch_id)
-            self.log.commit(batch_id)
+            with scoped_conf(batch.sparkSession, **NO_BROADCAST):
+                self._write(batch, batch_id, hold)
         finally:
-            batch.unpersist()
+            for df in held:
+                df.unpersist()
+
+    def _write(self, batch: DataFrame, batch_id: int, hold: Callable[[DataFrame], DataFrame]) -> None:
+        keys = batch.select("idempotency_key").filter(F.col("idempotency_key").isNotNull()).distinct()
+        before = (self.log.committed("payments", PAYMENTS, exclude=batch_id)
+                  .select("idempotency_key", "payment_id", "status", "created_at"))
+        answered = self.log.committed("answers", ANSWERS, exclude=batch_id)
+        cached = (answered.filter(F.col("accept_result").isin("created", "idempotent_db"))
+                  .join(keys, "idempotency_key", "left_semi")
+                  .groupBy("idempotency_key").agg(F.max("received_at").alias("_cached")))
+        relevant = (keys.join(before, "idempotency_key").join(cached, "idempotency_key", "left")
+                    .withColumn("created_at", F.coalesce("_cached", "created_at")).drop("_cached"))
+        out = I.ingest_batch(batch, existing=hold(relevant), hold=hold)
+        times = batch.groupBy("request_id").agg(F.min("received_at").alias("received_at"))
+        self.log.write("payments", out.payments, batch_id)
+        self.log.write("outbox", out.outbox, batch_id)
+        self.log.write("rejected", out.rejected, batch_id)
+        self.log.write("answers", out.answers.join(times, "request_id"), batch_id)
+        self.log.commit(batch_id)
 
 
 def run_until_done(start: Callable[[], object], retries: int = 3, partitions: int | None = None) -> int:

@@ -5,7 +5,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import process as P
-from ledgerflow.streaming.effectively_once import CommitLog, ProcessingSink
+from ledgerflow.streaming.effectively_once import AcceptSink, CommitLog, ProcessingSink
 from ledgerflow.streaming.staging import replay_in_order, run_folder
 
 from helpers import T0
@@ -63,8 +63,13 @@ def test_found_events_and_orphans_come_from_one_held_frame(spark, ds):
 
 def test_micro_batches_send_no_join_side_through_the_driver(spark, ds):
     before = spark.conf.get(ADAPTIVE, None)
+    some = F.col("request_id") < 50
+    accept = AcceptSink(spark, run_folder(spark, "steps-test"))
+    accept.log = SpyLog(spark, accept.log.root)
+    accept(ds.requests.filter(some), 0)
     root = run_folder(spark, "steps-test")
     log = SpyLog(spark, root)
     ProcessingSink(spark, root, ds.stored_payments, ds.claimed, log=log)(ds.deliveries.filter(F.col("offset") < 20), 0)
-    assert log.limits and set(log.limits.values()) == {"-1"}
+    for limits in (accept.log.limits, log.limits):
+        assert limits and set(limits.values()) == {"-1"}
     assert spark.conf.get(ADAPTIVE, None) == before
