@@ -85,8 +85,8 @@ class ProcessingSink:
     """``foreachBatch`` target for the deliveries stream (K9 + T2 + T6 + T7 + T8).
 
     Claims never expire, so the claims table only grows. Each batch first narrows it
-    to the batch's own event ids, and to its customers for their history (semi joins;
-    their strategy is left to run-time sizes).
+    to the batch's own event ids, and to its customers for their history (semi joins,
+    none of them broadcast).
 
     A failing record goes to the retry queue and enters a later batch when its time
     has come, by the event time of that batch; after its last attempt it is a dead
