@@ -50,10 +50,11 @@ SIMILAR = 0.8
 BANDS, ROWS = 18, 6                  # a pair at 0.8 shares a band with probability 0.996, at 0.3 with 0.013
 BINS = BANDS * ROWS
 EMPTY = np.uint32(0xFFFFFFFF)
-HAS_WORD = re.compile(WORD)
+BLANK = "\x20\t\n\v\f\r"             # what a word has none of
+WIDE = re.compile("[^\0-\u0fff]")    # characters of more than twelve bits
 NODE_SEED = 42                       # Spark's xxhash64 of a string has this seed
-#: Characters whose shingles are hashed at a time.
-CHUNK = 1 << 19
+#: Characters whose shingles are hashed at a time; the arrays of a chunk fit a processor's cache.
+CHUNK = 1 << 17
 #: Lines of a band whose pairs are taken as they are; larger bands go through the prefix filter.
 SMALL = 32
 #: Entries of the table that tells how rare a shingle is (by hash; it only orders the shingles).
@@ -90,14 +91,8 @@ def signatures(lines: list[str]) -> np.ndarray:
     """One-permutation MinHash signatures (a row a line): a shingle's hash picks a bin and
     gives its value, a bin keeps its least value, an empty bin borrows one."""
     sig = np.full((len(lines), BINS), EMPTY, np.uint32)
-    at = 0
-    while at < len(lines):
-        end, chars = at, 0
-        while end < len(lines) and (end == at or chars + len(lines[end]) <= CHUNK):
-            chars += len(lines[end]) + SHINGLE
-            end += 1
+    for at, end in chunks(lines):
         _least(lines[at:end], sig[at:end].reshape(-1))
-        at = end
     row, col = np.nonzero(sig == EMPTY)
     filled = sig != EMPTY
     for detour in DETOURS:
@@ -110,22 +105,60 @@ def signatures(lines: list[str]) -> np.ndarray:
     return sig
 
 
-def _least(lines: list[str], sig: np.ndarray) -> None:
+def chunks(lines: list[str]):
+    """Ranges of lines of about ``CHUNK`` characters; a longer line is one alone."""
+    at = 0
+    while at < len(lines):
+        end, chars = at, 0
+        while end < len(lines) and (end == at or chars + len(lines[end]) <= CHUNK):
+            chars += len(lines[end]) + SHINGLE
+            end += 1
+        yield at, end
+        at = end
+
+
+def characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of all lines, each line followed by ``SHINGLE - 1`` zeros (and zeros at the end); where lines
+    start; and how many shingles each has. A short line is one shingle, padded."""
     pad = "\0" * (SHINGLE - 1)
-    codes = np.frombuffer((pad.join(lines) + pad + "\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes = np.frombuffer((pad.join(lines) + pad + pad).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    n = len(codes) - SHINGLE
-    h = codes[:n] * MULTIPLIERS[0]
-    for k in range(1, SHINGLE):
-        h += codes[k:k + n] * MULTIPLIERS[k]
-    mixed(h)
     starts = np.cumsum(sizes + SHINGLE - 1) - sizes - SHINGLE + 1
-    shingles = np.maximum(1, sizes - SHINGLE + 1)         # a short line is one shingle, padded
-    first = np.cumsum(shingles) - shingles
-    row = np.repeat(np.arange(len(lines)), shingles)
-    h = h[np.arange(len(row)) + (starts - first)[row]]
-    bins = ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(sig, row * BINS + bins, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    return codes, starts, np.maximum(1, sizes - SHINGLE + 1)
+
+
+def hashed(places: list[np.ndarray]) -> np.ndarray:
+    """Hashes of shingles, from the arrays of their first to last characters."""
+    h = places[0] * MULTIPLIERS[0]
+    for k in range(1, SHINGLE):
+        h += places[k] * MULTIPLIERS[k]
+    return mixed(h)
+
+
+def windows(codes: np.ndarray) -> list[np.ndarray]:
+    """The first to last characters of the shingles at all places."""
+    n = len(codes) - SHINGLE + 1
+    return [codes[k:k + n] for k in range(SHINGLE)]
+
+
+def between(starts: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
+    """The places, of ``n``, where no line's shingle starts."""
+    ends = np.append(starts[1:], n)
+    gaps = ends - starts - shingles
+    return np.arange(gaps.sum()) + np.repeat(ends - np.cumsum(gaps), gaps)
+
+
+def _least(lines: list[str], sig: np.ndarray) -> None:
+    codes, starts, shingles = characters(lines)
+    h = hashed(windows(codes))
+    h[between(starts, shingles, len(h))] = EMPTY         # less than nothing: changes no bin
+    value = h.astype(np.uint32)
+    h >>= np.uint64(32)
+    h *= np.uint64(BINS)
+    h >>= np.uint64(32)
+    bins = h.view(np.int64)
+    bins += np.repeat(np.arange(len(lines)) * BINS, np.diff(starts, append=len(h)))
+    np.minimum.at(sig, bins, value)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -140,8 +173,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def shared(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sort by key and node, drop repeats; also tells which rows have a key with several nodes."""
-    order = np.lexsort((nodes, keys))
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
+    tied = np.zeros(len(keys), bool)
+    tied[1:] = keys[1:] == keys[:-1]
+    tied[:-1] |= tied[1:]
+    tied = np.flatnonzero(tied)
+    nodes[tied] = nodes[tied][np.lexsort((nodes[tied], keys[tied]))]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
     keys, nodes = keys[new], nodes[new]
@@ -153,7 +191,7 @@ def shared(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def lines_of(text: str) -> list[str]:
-    return [x for x in text.split("\n") if HAS_WORD.search(x)]
+    return [x for x in text.split("\n") if x.strip(BLANK)]
 
 
 def band_members(docs: DataFrame) -> DataFrame:
@@ -193,10 +231,8 @@ def band_members(docs: DataFrame) -> DataFrame:
 
 
 def packed(keys: np.ndarray, nodes: np.ndarray, width: int, met: bool) -> pa.RecordBatch:
-    """A row for each part of the keys' range that has keys."""
-    part = (keys % np.uint64(width)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    part, keys, nodes = part[order], keys[order], nodes[order]
+    """A row for each part of the keys' range that has keys, which are in order."""
+    part = ((keys >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int32)
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
     cut = lambda a: [a[i:j].tobytes() for i, j in zip(edges, edges[1:])]
     return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array([met] * (len(edges) - 1)),
@@ -222,6 +258,28 @@ def shingle_codes(line: str) -> np.ndarray | None:
     return packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
 
 
+def shingle_codes_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_codes`` of lines whose characters have twelve bits, one after the other, and how many each line has."""
+    codes, starts, shingles = characters(lines)
+    places = windows(codes)
+    packed = places[0].copy()
+    for k in range(1, SHINGLE):
+        packed <<= np.uint64(12)
+        packed |= places[k]
+    new = np.ones(len(packed), bool)
+    for at, end in zip(starts.tolist(), (starts + shingles).tolist()):
+        packed[at:end].sort()
+    new[1:] = packed[1:] != packed[:-1]
+    new[starts] = True
+    new[between(starts, shingles, len(packed))] = False
+    return packed[new], np.add.reduceat(new, starts, dtype=np.int64)
+
+
+def plain(line: str) -> bool:
+    """Whether all characters have twelve bits."""
+    return line.isascii() or not WIDE.search(line)
+
+
 def enough(both: int, a: int, b: int) -> bool:
     return both >= SIMILAR * (a + b - both)
 
@@ -240,6 +298,16 @@ class Comparer:
             self.used += len(line)
         return self.known[node]
 
+    def learn(self, lines: dict[int, str]) -> None:
+        """Take in the lines of some nodes at once."""
+        if self.used > self.room:
+            self.known, self.used = {}, 0
+        new = [n for n, line in lines.items() if n not in self.known and plain(line)]
+        for at, end in chunks([lines[n] for n in new]):
+            codes, sizes = shingle_codes_of([lines[n] for n in new[at:end]])
+            self.known.update(zip(new[at:end], np.split(codes, np.cumsum(sizes)[:-1])))
+            self.used += len(codes)
+
     def similar(self, a: int, b: int, x: str, y: str) -> bool:
         p, q = self.codes(a, x), self.codes(b, y)
         if p is None or q is None:
@@ -248,9 +316,9 @@ class Comparer:
         small, large = (p, q) if len(p) <= len(q) else (q, p)
         if len(small) < SIMILAR * len(large):
             return False
-        at = np.searchsorted(large, small)
-        at[at == len(large)] = 0
-        return enough(int(np.count_nonzero(large[at] == small)), len(p), len(q))
+        both = np.concatenate([small, large])
+        both.sort()
+        return enough(int(np.count_nonzero(both[1:] == both[:-1])), len(p), len(q))
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -259,6 +327,23 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((falls & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
+def measured(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the lines' shingle sets, and their bitmaps (a row a line)."""
+    sizes, maps = np.zeros(len(lines), np.int64), np.zeros((len(lines), LONGS), np.int64)
+    usual = [i for i, line in enumerate(lines) if plain(line)]
+    for at, end in chunks([lines[i] for i in usual]):
+        some = usual[at:end]
+        codes, n = shingle_codes_of([lines[i] for i in some])
+        h = hashed([codes >> np.uint64(12 * k) & np.uint64((1 << 12) - 1) for k in reversed(range(SHINGLE))])
+        falls = (h >> np.uint64(32)).astype(np.int64) % (64 * LONGS) + np.repeat(np.arange(len(some)) * (64 * LONGS), n)
+        falls = np.bincount(falls, minlength=len(some) * 64 * LONGS)
+        sizes[some] = n
+        maps[some] = np.packbits((falls & 1).astype(np.uint8), bitorder="little").view("<i8").reshape(-1, LONGS)
+    for i in set(range(len(lines))).difference(usual):
+        sizes[i], maps[i] = len(shingle_set(lines[i])), bitmap(shingle_hashes(lines[i]))
+    return sizes, maps
+
+
 def maybe_alike(x: str, y: str) -> str:
     """SQL that is true of ``(size, b0, ...)`` of lines ``x`` and ``y`` unless they are unlike for certain: each
     shingle in one line only changes one bit at most."""
@@ -271,13 +356,8 @@ def with_sizes(texts: DataFrame) -> DataFrame:
     """``(node, line, size, b0, ...)``: size and bitmap of the shingle set."""
     def measure(batches):
         for batch in batches:
-            sizes, maps = [], [np.empty((0, LONGS), np.int64)]
-            for line in batch.column(1).to_pylist():
-                codes, hashes = shingle_codes(line), shingle_hashes(line)
-                sizes.append(len(shingle_set(line)) if codes is None else len(codes))
-                maps.append(bitmap(hashes)[None, :])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()),
-                                              *map(pa.array, np.ascontiguousarray(np.concatenate(maps).T))],
+            sizes, maps = measured(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), *map(pa.array, np.ascontiguousarray(maps.T))],
                                              names=["node", "line", "size", *BITS])
 
     return texts.select("node", "line").mapInArrow(measure, "node long, line string, size long, "
@@ -295,9 +375,14 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = likely.join(one, "a").join(other, "b").select("a", "b", "line_a", "line_b")
 
     def check(batches):
-        similar = Comparer().similar
+        comparer = Comparer()
         for batch in batches:
-            out = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)) if similar(a, b, x, y)]
+            out = []
+            for at in range(0, batch.num_rows, 500):
+                rows = list(zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)))
+                if sum(len(x) + len(y) for _, _, x, y in rows) <= 8 * CHUNK:      # else one by one
+                    comparer.learn({n: line for a, b, x, y in rows for n, line in ((a, x), (b, y))})
+                out += [(a, b) for a, b, x, y in rows if comparer.similar(a, b, x, y)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()),
                                               pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
@@ -307,11 +392,7 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def shingle_hashes(line: str) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
     codes = np.frombuffer((line + "\0" * (SHINGLE - len(line))).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = len(codes) - SHINGLE + 1
-    h = codes[:n] * MULTIPLIERS[0]
-    for k in range(1, SHINGLE):
-        h += codes[k:k + n] * MULTIPLIERS[k]
-    return np.unique(mixed(h))
+    return np.unique(hashed(windows(codes)))
 
 
 def rarity(lines: DataFrame) -> np.ndarray:
@@ -392,7 +473,7 @@ def pairs_across(placed: DataFrame, texts: DataFrame, stages: Stages) -> DataFra
     """Pairs ``(a, b)`` of lines that share a band, lie in different components and may be alike."""
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")) \
         .where("low != high")
-    apart = placed.join(split.select("key", "n"), "key")
+    apart = stages.table(placed.join(split.select("key", "n"), "key"), "apart")
     # sets that are alike differ in size by the similarity at most
     few = apart.where(F.col("n") <= SMALL).drop("n")
     in_full = few.alias("x").join(few.alias("y"), F.expr(
@@ -410,7 +491,7 @@ def pairs_across(placed: DataFrame, texts: DataFrame, stages: Stages) -> DataFra
         and arrays_overlap(x.bands, y.bands) and not arrays_overlap(x.before, y.before)"""))
     pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
     pairs = stages.table(in_full.select(*pair).unionAll(met.select(*pair)).distinct(), "pairs")
-    stages.drop("prefixes", "split")
+    stages.drop("prefixes", "split", "apart")
     return pairs
 
 
@@ -477,7 +558,8 @@ def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", tex
     doc, text = plain[places[df.columns.index(id_col)]].cast("long"), plain[places[text_at]].cast("string")
     gone = removed.groupBy("doc", "text_key").agg(
         F.collect_set("line").alias("gone"), F.sort_array(F.collect_set("kept_doc")).alias("kept_in"))
-    joined = plain.join(gone, doc.eqNullSafe(gone["doc"]) & (F.xxhash64(text) == gone["text_key"]), "left").drop("doc", "text_key")
+    joined = plain.join(gone, doc.eqNullSafe(gone["doc"]) & (F.xxhash64(text) == gone["text_key"]), "left") \
+        .select(*places, "gone", F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))
     schema = plain.schema
     if told:
         schema = T.StructType([*schema, T.StructField("told", TOLD)])
@@ -485,19 +567,22 @@ def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", tex
 
     def rebuild(batches):
         for batch in batches:
-            texts, about = batch.column(text_at).to_pylist(), []
-            for i, (gone, kept_in) in enumerate(zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))):
-                gone = set(gone.as_py() or ())
+            texts, n_lines, n_removed = batch.column(text_at).to_pylist(), [], []
+            for i, gone in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
                 if told:
-                    about.append({"n_lines": len(lines_of(texts[i] or "")), "n_removed": len(gone),
-                                  "kept_in": kept_in.as_py() or []})
+                    n_lines.append(len(lines_of(texts[i] or "")))
+                    n_removed.append(len(gone or ()))
                 if gone:
+                    gone = set(gone)
                     texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
+            about = told and pa.StructArray.from_arrays(
+                [pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), batch.column(batch.num_columns - 1).cast(told_type[2].type)],
+                fields=list(told_type))
             columns = batch.columns[:-2]
             columns[text_at] = pa.array(texts, pa.string())
             names = batch.schema.names[:-2]
             if told:
-                columns, names = columns + [pa.array(about, told_type)], names + ["told"]
+                columns, names = columns + [about], names + ["told"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(rebuild, schema).toDF(*df.columns, *([told] if told else []))

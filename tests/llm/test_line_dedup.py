@@ -162,6 +162,58 @@ def test_bitmaps_never_part_lines_that_are_alike():
     assert met > 500
 
 
+def lines_to_measure():
+    rnd = random.Random(12)
+    lines = ["".join(rnd.choices("abc é" + ("漢🙂\u1000" if i % 9 == 0 else "\u0fff"), k=rnd.randint(1, 90))) for i in range(400)]
+    return lines + ["a", "ab", "abcd", "abcde", "z" * 3000, "abcde" * 700]
+
+
+@pytest.mark.parametrize("chunk", [1, 10, 1000, 1 << 17])
+def test_lines_measured_together_are_as_alone(monkeypatch, chunk):
+    lines = lines_to_measure()
+    monkeypatch.setattr(L, "CHUNK", chunk)
+    sizes, maps = L.measured(lines)
+    assert sizes.tolist() == [len(L.shingle_set(x)) for x in lines]
+    assert np.array_equal(maps, [L.bitmap(L.shingle_hashes(x)) for x in lines])
+    assert [len(x) for x in L.measured([])] == [0, 0]
+    alone, compare = L.Comparer(), L.Comparer()
+    compare.learn(dict(enumerate(lines)))
+    for i, x in enumerate(lines):
+        assert i not in compare.known or np.array_equal(compare.known[i], L.shingle_codes(x))
+        j = (7 * i + 1) % len(lines)
+        assert compare.similar(i, j, x, lines[j]) == alone.similar(i, j, x, lines[j]) == similar(x, lines[j])
+
+
+def test_usual_lines_are_not_measured_one_by_one(monkeypatch):
+    """The cost of a call for each line made line dedup miss its CPU limit."""
+    lines = [x for x in lines_to_measure() if max(x) < "\u1000"]
+    assert len(lines) > 300
+
+    def never(line):
+        raise AssertionError("one line alone")
+
+    for name in ("shingle_hashes", "shingle_codes", "shingle_set"):
+        monkeypatch.setattr(L, name, never)
+    assert len(L.measured(lines)[0]) == len(lines)
+    compare = L.Comparer()
+    compare.learn(dict(enumerate(lines)))
+    assert compare.similar(0, 0, lines[0], lines[0])
+
+
+def test_keys_are_dealt_once_and_equal_keys_to_one_part():
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64).repeat(2))
+    batch = L.packed(keys, np.arange(len(keys), dtype=np.uint64), 51, False).to_pydict()
+    got = [(part, k, n) for part, a, b in zip(batch["part"], batch["keys"], batch["nodes"])
+           for k, n in zip(np.frombuffer(a, np.uint64).tolist(), np.frombuffer(b, np.uint64).tolist())]
+    assert [(k, n) for _, k, n in got] == list(zip(keys.tolist(), range(len(keys))))
+    assert batch["part"] == list(range(51)) and len({(p, k) for p, k, _ in got}) == len(set(keys.tolist()))
+
+
+def test_blank_lines_are_those_without_a_word():
+    lines = ["", " ", "\t\v\f\r ", "\x1c", "\x85", "\xa0", "\u2003", "\0", " a ", "x\r"]
+    assert L.lines_of("\n".join(lines)) == lines[3:]
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(4, "one line of text here\nand one more"), (4, "one line of text here\nand one more"), (None, "one line of text here"),
             (2, "one line of text here\nsomething quite different")]
