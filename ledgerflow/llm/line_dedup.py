@@ -20,8 +20,10 @@ of each shingle set (the parity of the shingles that fall on a bit) bounds how
 much two sets have in common from above; pairs that it proves unlike are not
 compared by their texts.
 
-A band's members are found without gathering a band in one task: a batch of
-texts keeps the members that meet in it, and sends one of each band on.
+A band's members are found without sending every line of a band on: a batch of
+texts keeps the members that meet in it, and sends one of each band on. Lines
+that share no band and come once (most, in usual texts) take no part in what
+follows: two bit tables of fixed size tell which lines may.
 
 Null texts have no lines; texts of any length are processed whole. Rows that
 share an id and a text count as one document, rows that share an id only as
@@ -33,6 +35,7 @@ names, are kept by ``without_lines`` and ignored otherwise.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -67,7 +70,14 @@ LONGS = 8
 BITS = [f"b{i}" for i in range(LONGS)]
 #: Rows of the prefix filter in an Arrow batch, about.
 ROWS_OUT = 20_000
-
+#: Bits of the table of lines that share a band or come more than once. Lines that it rules out
+#: are alone for certain; those that it lets through are looked up exactly.
+SEEN = 1 << 26
+#: Rows of bands that are told to be shared in a batch already, held before repeats are dropped.
+HELD = 1 << 20
+
+MEMBER = ["key", "node", "low", "n"]
+NO_ROWS = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 TOLD = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()),
                      T.StructField("kept_in", T.ArrayType(T.LongType()))])
 
@@ -168,11 +178,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     for k in range(ROWS):
         key = (key ^ parts[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return mixed(key)
+    key = mixed(key) & ~np.uint64(1)
+    key[:, 0] |= np.uint64(1)                            # the last bit tells the first band
+    return key
 
 
-def shared(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort by key and node, drop repeats; also tells which rows have a key with several nodes."""
+def shared(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sort by key and node, drop repeats; also tells which rows have a key with several nodes, and which came
+    repeatedly."""
     order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
     tied = np.zeros(len(keys), bool)
@@ -182,60 +195,88 @@ def shared(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     nodes[tied] = nodes[tied][np.lexsort((nodes[tied], keys[tied]))]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    again = np.diff(np.flatnonzero(np.append(new, True))) > 1
     keys, nodes = keys[new], nodes[new]
     same = keys[1:] == keys[:-1]
     several = np.zeros(len(keys), bool)
     several[1:] |= same
     several[:-1] |= same
-    return keys, nodes, several
+    return keys, nodes, several, again
 
 
 def lines_of(text: str) -> list[str]:
     return [x for x in text.split("\n") if x.strip(BLANK)]
 
 
+def node_hashes(lines: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x.encode(), NODE_SEED) for x in lines), np.uint64, len(lines))
+
+
 def band_members(docs: DataFrame) -> DataFrame:
-    """``(key, node)``: the lines (by content hash) of every band that several lines share."""
+    """``(key, node, low, n)``: the lines (by content hash) of every band that several lines share, once each, with the
+    band's least line and its number of lines. Rows without a key tell lines that share no band but come more than once."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sign(batches):
         for batch in batches:
-            lines = {x for t in batch.column(0) if t.is_valid for x in lines_of(t.as_py())}
+            lines = Counter(x for t in batch.column(0).to_pylist() if t for x in lines_of(t))
             if not lines:
                 continue
+            often = np.fromiter(lines.values(), np.int64, len(lines)) > 1
             lines = list(lines)
-            nodes = np.fromiter((xxhash.xxh64_intdigest(x.encode(), NODE_SEED) for x in lines), np.uint64, len(lines))
-            keys, nodes, several = shared(band_keys(signatures(lines)).ravel(), np.repeat(nodes, BANDS))
+            line_nodes, line_keys = node_hashes(lines), band_keys(signatures(lines))
+            keys, nodes, several, _ = shared(line_keys.ravel(), np.repeat(line_nodes, BANDS))
             first = np.ones(len(keys), bool)
             first[1:] = keys[1:] != keys[:-1]
             yield packed(keys[first], nodes[first], width, False)
             if several.any():
                 yield packed(keys[several], nodes[several], width, True)
+            if often.any():
+                order = np.argsort(line_keys[often, 0])
+                yield packed(line_keys[often, 0][order], line_nodes[often][order], width, None)
 
     def meet(batches):
-        keys, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        rows = {False: [NO_ROWS], True: [NO_ROWS], None: [NO_ROWS]}
+        n_met, room = 0, HELD
         for batch in batches:
             for met, k, n in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                k, n = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.uint64)
-                if met:
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view("i8")), pa.array(n.view("i8"))], names=["key", "node"])
-                else:
-                    keys.append(k.copy())
-                    nodes.append(n.copy())
-        keys, nodes, several = shared(np.concatenate(keys), np.concatenate(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[several].view("i8")), pa.array(nodes[several].view("i8"))],
-                                         names=["key", "node"])
+                rows[met].append((np.frombuffer(k.as_buffer(), np.uint64).copy(), np.frombuffer(n.as_buffer(), np.uint64).copy()))
+                n_met += len(rows[met][-1][0]) if met else 0
+                if n_met > room:
+                    rows[True] = [shared(*concatenated(rows[True]))[:2]]
+                    n_met = len(rows[True][0][0])
+                    room = max(HELD, 2 * n_met)
+        keys, nodes, several, again = shared(*concatenated(rows[False] + rows[True]))
+        # a line of several batches that shares no band came from each of them with its first band
+        alone = np.unique(np.concatenate([concatenated(rows[None])[1], nodes[again & ~several & (keys & np.uint64(1) > 0)]]))
+        keys, nodes = keys[several], nodes[several]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        n = np.diff(starts, append=len(keys))
+        yield from sliced([pa.array(keys.view("i8")), pa.array(nodes.view("i8")), pa.array(np.repeat(nodes[starts], n).view("i8")),
+                           pa.array(np.repeat(n, n))], MEMBER)
+        none = pa.nulls(len(alone), pa.int64())
+        yield from sliced([none, pa.array(alone.view("i8")), none, none], MEMBER)
 
     signed = docs.select("text").mapInArrow(sign, "part int, met boolean, keys binary, nodes binary")
-    return signed.repartition(width, "part").mapInArrow(meet, "key long, node long")
+    return signed.repartition(width, "part").mapInArrow(meet, ", ".join(f"{c} long" for c in MEMBER))
+
+
+def concatenated(rows: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*rows)]
+
+
+def sliced(columns: list[pa.Array], names: list[str], rows: int = 100_000):
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
-def packed(keys: np.ndarray, nodes: np.ndarray, width: int, met: bool) -> pa.RecordBatch:
+def packed(keys: np.ndarray, nodes: np.ndarray, width: int, met: bool | None) -> pa.RecordBatch:
     """A row for each part of the keys' range that has keys, which are in order."""
     part = ((keys >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int32)
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
     cut = lambda a: [a[i:j].tobytes() for i, j in zip(edges, edges[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array([met] * (len(edges) - 1)),
+    return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array([met] * (len(edges) - 1), pa.bool_()),
                                        pa.array(cut(keys), pa.binary()), pa.array(cut(nodes), pa.binary())],
                                       names=["part", "met", "keys", "nodes"])
 
@@ -344,10 +385,11 @@ def measured(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return sizes, maps
 
 
-def maybe_alike(x: str, y: str) -> str:
+def maybe_alike(x: str, y: str, bits: str = "") -> str:
     """SQL that is true of ``(size, b0, ...)`` of lines ``x`` and ``y`` unless they are unlike for certain: each
-    shingle in one line only changes one bit at most."""
-    apart = " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in BITS)
+    shingle in one line only changes one bit at most. ``bits`` names a struct that has the bitmap."""
+    within = f"{bits}." if bits else ""
+    apart = " + ".join(f"bit_count({x}.{within}{b} ^ {y}.{within}{b})" for b in BITS)
     return (f"least({x}.size, {y}.size) >= {SIMILAR}D * greatest({x}.size, {y}.size)"
             f" and {apart} <= {(1 - SIMILAR) / (1 + SIMILAR)}D * ({x}.size + {y}.size) + 1e-6D")
 
@@ -482,35 +524,80 @@ def pairs_across(placed: DataFrame, texts: DataFrame, stages: Stages) -> DataFra
         F.min("root").alias("root"), F.min("size").alias("size"), F.collect_set("key").alias("bands"))
     lines = stages.table(texts.select("node", "line", *BITS).join(nodes, "node"), "split")
     rare = placed.sparkSession.sparkContext.broadcast(rarity(lines))          # RARITY numbers
-    rows = stages.table(prefixes(lines, rare), "prefixes")
+    # most rows that meet lie in one component already; what only the others need is a struct, not read for those
+    rows = stages.table(prefixes(lines, rare), "prefixes") \
+        .select("token", "node", "root", "size", "at", "own", F.struct("before", "bands", *BITS).alias("rest"))
     # x is the smaller line; no more shingles are shared than stand behind the first one shared
     met = rows.where("own").alias("x").join(rows.alias("y"), F.expr(
         f"""x.token = y.token and x.root != y.root and (x.size < y.size or (x.size = y.size and x.node < y.node))
-        and {maybe_alike("x", "y")}
         and least(x.size - x.at, y.size - y.at) >= {SIMILAR / (1 + SIMILAR)}D * (x.size + y.size) - 1e-6D
-        and arrays_overlap(x.bands, y.bands) and not arrays_overlap(x.before, y.before)"""))
+        and {maybe_alike("x", "y", "rest")}
+        and arrays_overlap(x.rest.bands, y.rest.bands) and not arrays_overlap(x.rest.before, y.rest.before)"""))
     pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
     pairs = stages.table(in_full.select(*pair).unionAll(met.select(*pair)).distinct(), "pairs")
     stages.drop("prefixes", "split", "apart")
     return pairs
 
 
-def line_links(docs: DataFrame, lines: DataFrame, stages: Stages) -> DataFrame:
+def seen_bits(members: DataFrame) -> np.ndarray:
+    """Two tables of ``SEEN`` bits, as words: of all nodes of ``members(key, node)``, and of those that have a key."""
+    bit = "shiftleft(1L, cast(shiftrightunsigned(node, 48) & 63 as int))"
+    rows = members.groupBy(F.expr(f"node & {SEEN // 64 - 1}").alias("word")).agg(
+        F.expr(f"bit_or({bit})").alias("all"), F.expr(f"bit_or(if(key is null, 0L, {bit}))").alias("sharing")).toArrow()
+    tables = np.zeros((2, SEEN // 64), np.uint64)           # bounded by SEEN
+    for table, name in zip(tables, ("all", "sharing")):
+        table[rows.column("word").to_numpy()] = rows.column(name).to_numpy().view(np.uint64)
+    return tables
+
+
+def is_seen(nodes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    bits = table[(nodes & np.uint64(len(table) - 1)).astype(np.int64)]
+    return (bits >> (nodes >> np.uint64(48) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def line_places(docs: DataFrame, seen) -> DataFrame:
+    """``(doc, text_key, no, h, check, line)`` of the lines of ``docs(doc, text)`` that may share a band or come repeatedly.
+    The text of a line is told if it may share a band, and once a batch."""
+    def find(batches):
+        for batch in batches:
+            lines, row, no = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for k, line in enumerate(text.split("\n")):
+                    if line.strip(BLANK):
+                        lines.append(line)
+                        row.append(i)
+                        no.append(k)
+            h = node_hashes(lines)
+            at = np.flatnonzero(is_seen(h, seen.value[0]))
+            once = np.zeros(len(at), bool)
+            once[np.unique(h[at], return_index=True)[1]] = True
+            once &= is_seen(h[at], seen.value[1])
+            some = [lines[i] for i in at.tolist()]
+            check = np.fromiter((xxhash.xxh64_intdigest(x.encode(), NODE_SEED + 1) for x in some), np.uint64, len(some))
+            row = pa.array(np.array(row, np.int64)[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.array(no, np.int32)[at]), pa.array(h[at].view("i8")),
+                 pa.array(check.view("i8")), pa.array([x if told else None for x, told in zip(some, once.tolist())], pa.string())], names=["doc", "text_key", "no", "h", "check", "line"])
+
+    return docs.select("doc", F.xxhash64("text").alias("text_key"), "text") \
+        .mapInArrow(find, "doc long, text_key long, no int, h long, check long, line string")
+
+
+def line_links(members: DataFrame, places: DataFrame, stages: Stages) -> DataFrame:
     """``(node, root)`` of the lines that belong to a component of several."""
-    members = stages.table(band_members(docs), "members")
+    members = members.where("key is not null")
     nodes = members.select("node").distinct()
-    texts = stages.table(with_sizes(lines.select(F.col("h").alias("node"), "line").join(nodes, "node")
+    texts = stages.table(with_sizes(places.where("line is not null").select(F.col("h").alias("node"), "line").join(nodes, "node")
                                     .dropDuplicates(["node"])), "texts")
-    least = members.groupBy("key").agg(F.min("node").alias("b"))
-    stars = members.join(least, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    stars = members.where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     links = stages.table(checked(stars, texts), "stars")
     roots = components(links, stages, "first")
-    # bands in several components: pairs across them
-    placed = members.distinct().join(texts.select("node", "size"), "node").join(roots, "node", "left") \
+    # bands in several components: pairs across them; those with a band's least line are checked already
+    placed = members.where("n > 2 and node != low").join(texts.select("node", "size"), "node").join(roots, "node", "left") \
         .select("key", "node", F.coalesce("root", "node").alias("root"), "size")
     placed = stages.table(placed, "placed")
     more = stages.table(checked(pairs_across(placed, texts, stages), texts), "across")
-    stages.drop("members", "texts", "pairs")
+    stages.drop("texts", "pairs")
     if more.isEmpty():
         return roots
     # the links found across components join whole components: only their roots take part
@@ -527,11 +614,13 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for it. A document is an id and a text, known by the text's 64-bit hash; a null id comes last."""
     stages = Stages(df.sparkSession, "lines")
     docs = df.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("string").alias("text")).where("text is not null")
-    lines = docs.select("doc", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line")) \
-        .where(F.col("line").rlike(WORD)).withColumn("h", F.xxhash64("line"))
-    links = line_links(docs, lines, stages)
+    members = stages.table(band_members(docs), "members")
+    # a line that shares no band and comes once is no copy and has none
+    seen = df.sparkSession.sparkContext.broadcast(seen_bits(members))         # twice SEEN bits
+    places = stages.table(line_places(docs, seen), "places")
+    links = line_links(members, places, stages)
+    stages.drop("members")
     # equal lines: those of one 64-bit hash whose second hash is the first line's too
-    places = stages.table(lines.select("doc", "text_key", "no", "h", F.xxhash64(F.lit(1), "line").alias("check")), "places")
     place = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "text_key", "no", "check")
     classes = places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     linked = links.select(F.col("node").alias("h"), "root").unionAll(
@@ -558,7 +647,7 @@ def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", tex
     doc, text = plain[places[df.columns.index(id_col)]].cast("long"), plain[places[text_at]].cast("string")
     gone = removed.groupBy("doc", "text_key").agg(
         F.collect_set("line").alias("gone"), F.sort_array(F.collect_set("kept_doc")).alias("kept_in"))
-    joined = plain.join(gone, doc.eqNullSafe(gone["doc"]) & (F.xxhash64(text) == gone["text_key"]), "left") \
+    joined = plain.join(gone.hint("shuffle_hash"), doc.eqNullSafe(gone["doc"]) & (F.xxhash64(text) == gone["text_key"]), "left") \
         .select(*places, "gone", F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))
     schema = plain.schema
     if told:

@@ -266,3 +266,63 @@ def test_comparer_equals_sets():
         for i, x in enumerate(lines):
             for j, y in enumerate(lines):
                 assert compare.similar(i, j, x, y) == similar(x, y)
+
+
+def lines_alone_and_not():
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrst", k=rnd.randint(2, 8)))
+    line = lambda: " ".join(word() for _ in range(20))
+    alone, near, twice_in_a_text, in_two_texts = [line() for _ in range(300)], line(), line(), line()
+    texts = ["\n".join(alone[i:i + 3]) for i in range(0, 300, 3)]
+    texts += [near, near + "s", f"{twice_in_a_text}\n \n{twice_in_a_text}", in_two_texts, f"\n{in_two_texts}", None, ""]
+    return list(enumerate(texts)), near, twice_in_a_text, in_two_texts
+
+
+@pytest.mark.parametrize("parts, held", [(1, 1 << 20), (9, 1 << 20), (9, 4)])
+def test_only_lines_that_share_a_band_or_repeat_go_on(spark, monkeypatch, parts, held):
+    """All lines went through the shuffles for texts and for copies, which made line dedup miss its CPU limit."""
+    monkeypatch.setattr(L, "HELD", held)
+    rows, near, twice, two = lines_alone_and_not()
+    df = spark.createDataFrame(rows, "doc long, text string").where("text is not null").repartition(parts)
+    members = L.band_members(df).cache()
+    got = [tuple(r) for r in members.collect()]
+    node = {x: int(L.node_hashes([x]).view("i8")[0]) for x in (near, near + "s", twice, two)}
+    bands = [r for r in got if r[0] is not None]
+    low = min((node[near], node[near + "s"]), key=lambda n: n % 2 ** 64)
+    assert len(bands) == len(set(bands)) > 10 and {r[1:] for r in bands} == {(node[x], low, 2) for x in (near, near + "s")}
+    assert sorted(r[1] for r in got if r[0] is None) == sorted([node[twice], node[two]])
+    seen = spark.sparkContext.broadcast(L.seen_bits(members))
+    places = L.line_places(df, seen).collect()
+    assert sorted((r.doc, r.no, r.h) for r in places) == [
+        (100, 0, node[near]), (101, 0, node[near + "s"]), (102, 0, node[twice]), (102, 2, node[twice]), (103, 0, node[two]), (104, 1, node[two])]
+    assert sorted(r.line for r in places if r.line is not None) == sorted([near, near + "s"])
+
+
+def test_pairs_with_a_bands_least_line_are_not_made_again(spark, monkeypatch):
+    """They are checked in the first place; bands of two lines have no other pair."""
+    rnd = random.Random(5)
+    base = [f"word{i:03d}" for i in range(60)]
+    rows = [(k, " ".join(f"other{rnd.randrange(99)}" if rnd.random() < .01 * k else w for w in base)) for k in range(24)]
+    given, real = [], L.pairs_across
+
+    def pairs_across(placed, texts, stages):
+        given.extend((r.key, r.node) for r in placed.collect())
+        return real(placed, texts, stages)
+
+    monkeypatch.setattr(L, "pairs_across", pairs_across)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc, r.line): (r.kept_doc, r.kept_line) for r in L.removed_lines(df).collect()}
+    assert got == brute(rows) and 0 < len(got) < 23
+    bands = {}
+    for key, node in zip(L.band_keys(L.signatures([x for _, x in rows])).view("i8").tolist(), L.node_hashes([x for _, x in rows]).tolist()):
+        for k in key:
+            bands.setdefault(k, set()).add(node)
+    want = {(k, int(np.uint64(n).view("i8"))) for k, nodes in bands.items() if len(nodes) > 2 for n in nodes - {min(nodes)}}
+    assert len(given) == len(set(given)) > 20 and set(given) == want
+
+
+def test_a_full_bit_table_changes_no_result(spark, monkeypatch, rows):
+    monkeypatch.setattr(L, "SEEN", 128)
+    few = rows[:40] + rows[-6:]
+    df = spark.createDataFrame(few, "doc_id long, text string").repartition(3)
+    assert {(r.doc, r.line): (r.kept_doc, r.kept_line) for r in L.removed_lines(df).collect()} == brute(few)
