@@ -252,7 +252,8 @@ def band_members(docs: DataFrame) -> DataFrame:
         keys, nodes = keys[several], nodes[several]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
         n = np.diff(starts, append=len(keys))
-        yield from sliced([pa.array(keys.view("i8")), pa.array(nodes.view("i8")), pa.array(np.repeat(nodes[starts], n).view("i8")),
+        low = np.minimum.reduceat(nodes.view("i8"), starts) if len(keys) else nodes.view("i8")
+        yield from sliced([pa.array(keys.view("i8")), pa.array(nodes.view("i8")), pa.array(np.repeat(low, n)),
                            pa.array(np.repeat(n, n))], MEMBER)
         none = pa.nulls(len(alone), pa.int64())
         yield from sliced([none, pa.array(alone.view("i8")), none, none], MEMBER)
@@ -524,8 +525,10 @@ def pairs_across(placed: DataFrame, texts: DataFrame, stages: Stages) -> DataFra
         F.min("root").alias("root"), F.min("size").alias("size"), F.collect_set("key").alias("bands"))
     lines = stages.table(texts.select("node", "line", *BITS).join(nodes, "node"), "split")
     rare = placed.sparkSession.sparkContext.broadcast(rarity(lines))          # RARITY numbers
+    # a line makes many rows of a prefix: lines are dealt evenly, not by the bytes of their file
+    width = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # most rows that meet lie in one component already; what only the others need is a struct, not read for those
-    rows = stages.table(prefixes(lines, rare), "prefixes") \
+    rows = stages.table(prefixes(lines.repartition(width, "node"), rare), "prefixes") \
         .select("token", "node", "root", "size", "at", "own", F.struct("before", "bands", *BITS).alias("rest"))
     # x is the smaller line; no more shingles are shared than stand behind the first one shared
     met = rows.where("own").alias("x").join(rows.alias("y"), F.expr(
