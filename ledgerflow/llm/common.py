@@ -87,12 +87,14 @@ class Stages:
             import tempfile
             root = tempfile.mkdtemp(prefix="stages-")     # a local session without the setting: tests
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.made: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
+        self.made.append(name)
         with scoped_conf(self.spark, **{"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -103,6 +105,11 @@ class Stages:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Remove all tables but these."""
+        self.drop(*[n for n in self.made if n not in names])
+        self.made = [n for n in self.made if n in names]
+
     @contextmanager
     def step(self, *names: str):
         yield self

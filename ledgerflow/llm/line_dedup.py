@@ -10,8 +10,9 @@ component one line stays: the first by document id and line number.
 Every candidate pair is checked, known to be in one component already, or proved
 unlike: at first a band's lines are checked against its least line. Where that
 leaves a band in several components, the pairs across them are checked: all of
-them in a band of ``SMALL`` lines at most (so a line has few), in a larger one
-those that an exact prefix filter leaves: shingles are ordered by rarity, and of
+them in a band of ``SMALL`` lines at most (so a line has few), in one of ``MIDDLE``
+those that bitmaps of the shingle sets leave, in a larger one those that an exact
+prefix filter leaves too: shingles are ordered by rarity, and of
 two lines that are alike some shingle is among the first ninth of the smaller
 line's and the first fifth of the larger one's, with enough shingles left behind
 it in both. A pair meets at the first shingle it shares. So the pairs of a large
@@ -58,8 +59,13 @@ WIDE = re.compile("[^\0-\u0fff]")    # characters of more than twelve bits
 NODE_SEED = 42                       # Spark's xxhash64 of a string has this seed
 #: Characters whose shingles are hashed at a time; the arrays of a chunk fit a processor's cache.
 CHUNK = 1 << 17
-#: Lines of a band whose pairs are taken as they are; larger bands go through the prefix filter.
+#: Lines of a band whose pairs are taken as they are.
 SMALL = 32
+#: Lines of a band whose bitmaps are compared by one worker, with a row a line; still larger bands go through the
+#: prefix filter, which takes a row for each of a line's rarest shingles.
+MIDDLE = 1024
+#: Lines of a band that are compared with all others at a time.
+ABREAST = 64
 #: Entries of the table that tells how rare a shingle is (by hash; it only orders the shingles).
 RARITY = 1 << 18
 #: A row of the prefix filter carries the shingles before its own, up to this many; a pair that
@@ -512,6 +518,36 @@ def prefixes(lines: DataFrame, rare) -> DataFrame:
     return lines.select("node", "line", "root", "size", "bands", *BITS).mapInArrow(spread, PREFIX)
 
 
+def maybe_pairs(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, maps: np.ndarray):
+    """Pairs ``a, b`` of nodes with different roots that ``maybe_alike`` doesn't rule out, ``ABREAST`` lines at a time."""
+    order = np.argsort(sizes, kind="stable")
+    nodes, roots, sizes, maps = nodes[order], roots[order], sizes[order], maps[order].view(np.uint64)
+    for at in range(0, len(nodes), ABREAST):
+        end = min(at + ABREAST, len(nodes))
+        last = np.searchsorted(SIMILAR * sizes, sizes[end - 1], side="right")      # larger lines are too large for all of these
+        some, rest = slice(at, end), slice(at, last)
+        apart = np.zeros((end - at, last - at), np.uint16)
+        for x, y in zip(maps[some].T, maps[rest].T):
+            apart += np.bitwise_count(x[:, None] ^ y[None, :])
+        both = sizes[some, None] + sizes[None, rest]
+        i, j = np.nonzero((roots[some, None] != roots[None, rest]) & (sizes[some, None] >= SIMILAR * sizes[None, rest])
+                          & (apart <= (1 - SIMILAR) / (1 + SIMILAR) * both + 1e-6) & (np.arange(end - at)[:, None] < np.arange(last - at)))
+        if len(i):
+            x, y = nodes[at + i], nodes[at + j]
+            yield np.minimum(x, y), np.maximum(x, y)
+
+
+def pairs_by_bitmaps(rows: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` within the bands of ``rows(key, node, root, size, b0, ...)``."""
+    def compare(band: pa.Table) -> pa.Table:
+        node, root, size, *bits = (band.column(c).to_numpy() for c in ("node", "root", "size", *BITS))
+        found = list(maybe_pairs(node, root, size, np.stack(bits, axis=1)))
+        a, b = concatenated(found) if found else (node[:0], node[:0])
+        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows.groupBy("key").applyInArrow(compare, "a long, b long")
+
+
 def pairs_across(placed: DataFrame, texts: DataFrame, stages: Stages) -> DataFrame:
     """Pairs ``(a, b)`` of lines that share a band, lie in different components and may be alike."""
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")) \
@@ -521,7 +557,9 @@ def pairs_across(placed: DataFrame, texts: DataFrame, stages: Stages) -> DataFra
     few = apart.where(F.col("n") <= SMALL).drop("n")
     in_full = few.alias("x").join(few.alias("y"), F.expr(
         f"x.key = y.key and x.root < y.root and least(x.size, y.size) >= {SIMILAR}D * greatest(x.size, y.size)"))
-    nodes = apart.where(F.col("n") > SMALL).groupBy("node").agg(
+    sized = texts.select("node", *BITS)
+    by_bitmaps = pairs_by_bitmaps(apart.where((F.col("n") > SMALL) & (F.col("n") <= MIDDLE)).drop("n").join(sized, "node"))
+    nodes = apart.where(F.col("n") > max(SMALL, MIDDLE)).groupBy("node").agg(
         F.min("root").alias("root"), F.min("size").alias("size"), F.collect_set("key").alias("bands"))
     lines = stages.table(texts.select("node", "line", *BITS).join(nodes, "node"), "split")
     rare = placed.sparkSession.sparkContext.broadcast(rarity(lines))          # RARITY numbers
@@ -537,7 +575,7 @@ def pairs_across(placed: DataFrame, texts: DataFrame, stages: Stages) -> DataFra
         and {maybe_alike("x", "y", "rest")}
         and arrays_overlap(x.rest.bands, y.rest.bands) and not arrays_overlap(x.rest.before, y.rest.before)"""))
     pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    pairs = stages.table(in_full.select(*pair).unionAll(met.select(*pair)).distinct(), "pairs")
+    pairs = stages.table(in_full.select(*pair).unionAll(by_bitmaps).unionAll(met.select(*pair)).distinct(), "pairs")
     stages.drop("prefixes", "split", "apart")
     return pairs
 
@@ -635,8 +673,11 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     told = classes.join(stays, "root").select("h", F.col("first.check").alias("check"), F.col("stays.doc").alias("kept_doc"),
                                               F.col("stays.text_key").alias("kept_key"), F.col("stays.no").alias("kept_line"))
     same = F.col("doc").eqNullSafe(F.col("kept_doc")) & (F.col("text_key") == F.col("kept_key")) & (F.col("no") == F.col("kept_line"))
-    return places.join(told, ["h", "check"]).where(~same) \
+    removed = places.join(told, ["h", "check"]).where(~same) \
         .select("doc", "text_key", F.col("no").alias("line"), "kept_doc", "kept_line")
+    removed = stages.table(removed, "removed")              # texts are shuffled when all else is gone
+    stages.keep("removed")
+    return removed
 
 
 def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -326,3 +326,58 @@ def test_a_full_bit_table_changes_no_result(spark, monkeypatch, rows):
     few = rows[:40] + rows[-6:]
     df = spark.createDataFrame(few, "doc_id long, text string").repartition(3)
     assert {(r.doc, r.line): (r.kept_doc, r.kept_line) for r in L.removed_lines(df).collect()} == brute(few)
+
+
+@pytest.mark.parametrize("told", [0, 64])
+def test_bands_beyond_the_middle_go_through_the_prefix_filter(spark, monkeypatch, told):
+    monkeypatch.setattr(L, "MIDDLE", 2)
+    test_prefix_filter_keeps_every_pair_that_holds(spark, monkeypatch, told, 2)
+
+
+@pytest.mark.parametrize("abreast", [1, 7, 64])
+def test_bitmaps_of_a_band_leave_what_the_sql_leaves(spark, monkeypatch, abreast):
+    monkeypatch.setattr(L, "ABREAST", abreast)
+    rnd = np.random.default_rng(8)
+    n = 150
+    maps = rnd.integers(-2 ** 63, 2 ** 63, (5, L.LONGS))[rnd.integers(0, 5, n)]
+    flips = rnd.random((n, L.LONGS)) < .6
+    maps = maps ^ np.where(flips, np.int64(1) << rnd.integers(0, 63, (n, L.LONGS)), 0)
+    rows = [(7, int(k) * 13 - 900, int(rnd.integers(0, 9)), int(rnd.integers(1, 90)), *map(int, m)) for k, m in enumerate(maps)]
+    df = spark.createDataFrame(rows, "key long, node long, root long, size long, " + ", ".join(f"{b} long" for b in L.BITS)).cache()
+    want = df.alias("x").join(df.alias("y"), L.F.expr(f"x.root != y.root and x.node < y.node and {L.maybe_alike('x', 'y')}"))
+    want = sorted((r[0], r[1]) for r in want.select("x.node", "y.node").collect())
+    got = sorted(map(tuple, L.pairs_by_bitmaps(df.withColumn("key", L.F.lit(1))).collect()))
+    assert got == want and 50 < len(got) < n * (n - 1) / 4
+
+
+class Counting(L.Stages):
+    """Tells how many rows each table had."""
+
+    def table(self, df, name):
+        out = super().table(df, name)
+        self.rows = getattr(self, "rows", {}) | {name: out.count()}
+        return out
+
+
+def test_a_line_of_a_middle_band_makes_one_row(spark):
+    """A row for each of its rarest shingles, twice, took more disk than the table at 6 GB."""
+    rnd = random.Random(3)
+    base = [f"word{i:03d}" for i in range(60)]
+    lines = [" ".join(f"w{rnd.randrange(9999)}" if rnd.random() < .1 else w for w in base) for _ in range(100)]
+    texts = L.with_sizes(spark.createDataFrame(list(enumerate(lines)), "node long, line string")).cache()
+    placed = texts.selectExpr("1L as key", "node", "node as root", "size")
+    stages = Counting(spark, "test")
+    got = {(r.a, r.b) for r in L.pairs_across(placed, texts, stages).collect()}
+    assert {(i, j) for i in range(100) for j in range(i + 1, 100) if similar(lines[i], lines[j])} <= got
+    assert stages.rows["prefixes"] == stages.rows["split"] == 0 and stages.rows["apart"] == 100
+
+
+def test_only_the_removed_lines_stay_on_disk(spark, monkeypatch, rows):
+    """The tables of all steps stayed until the session's end, while the texts were shuffled."""
+    made = []
+    monkeypatch.setattr(L, "Stages", lambda *a: made.append(Counting(*a)) or made[-1])
+    L.removed_lines(spark.createDataFrame(rows[:30], "doc_id long, text string"))
+    fs = spark._jvm.org.apache.hadoop.fs
+    root = fs.Path(made[0].root)
+    left = [x.getPath().getName() for x in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
+    assert left == ["removed"] and len(made[0].rows) > 8
