@@ -5,7 +5,10 @@ event id. The state of a bucket is the list of its claims, on RocksDB, and never
 claims that exist before the stream starts are its initial state. No micro-batch reads a
 claims table: a delivery only meets the claims of its own bucket. A bucket costs a few
 calls to the state store, however many events of it a micro-batch brings; with a key per
-event id those calls took most of the run. The claim and its outcome leave in one row.
+event id those calls took most of the run. The list is only appended to: which events a
+bucket has is also told by one value, as reading a list back costs a call's work for each of
+its claims, in every micro-batch. Through the keyed step go the claim key and what a claim
+tells; the rest of a record passes as one text. The claim and its outcome leave in one row.
 
 A delivery without a payment or a decision, or one that can't be decoded, claims nothing.
 It goes to the retry folder, a second source of the same stream, with its next attempt and
@@ -18,7 +21,9 @@ they were before it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -32,52 +37,63 @@ from .effectively_once import CommitLog
 _RECORD = ("topic string, partition int, offset bigint, key string, attempt int, next_attempt_at timestamp, "
            "delivered_at timestamp, value string")
 FATES = f"event_id string, fate string, payment_id string, decision string, risk_score double, reasons array<string>, reason string, {_RECORD}"
-_NAMES = [c.split()[0] for c in FATES.split(", ")]
-_fate = Row(*_NAMES)
+_fate = Row("fate", "record")
 _CLAIM = "event_id string, processed_at timestamp, decision string"
+#: What passes the keyed step as JSON: times as microseconds.
+_PASSED = FATES.replace(" fate string,", "").replace("timestamp", "bigint")
 #: Buckets of event ids; the checkpoint keeps them, so a stream has the same number for life.
 BUCKETS = 1 << 14
 DELIVERY = _RECORD
 
 PROCESSED, DUPLICATE, FAILED = "processed", "duplicate", "failed"
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 class Claims(StatefulProcessor):
-    """A list state per bucket of event ids: which were claimed, when, and with which decision."""
+    """A list state per bucket of event ids: which were claimed, when, and with which decision; and the ids alone."""
 
     def init(self, handle) -> None:
-        self.claim = handle.getListState("claim", _CLAIM)
+        self.claim, self.ids = handle.getListState("claim", _CLAIM), handle.getValueState("ids", "ids binary")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         for row in [initialState] if isinstance(initialState, Row) else initialState:
-            self.claim.appendList([(c["event_id"], c["processed_at"], None) for c in row.claims])
+            self._add([(c["event_id"], _at(c.get("us")), None) for c in json.loads(row.claims)], self._known())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        claimed, first = {c[0] for c in self.claim.get()}, {}
+        known, first = self._known(), {}
+        claimed = set(known)
         for r in rows:
             if r.claim_key in claimed:                      # null where the record has no event id
-                yield _told(r, DUPLICATE)
-            elif r.reason is not None:                      # can't be processed: no claim
-                yield _told(r, FAILED)
+                yield _fate(DUPLICATE, r.record)
+            elif r.failing:                                 # can't be processed: no claim
+                yield _fate(FAILED, r.record)
             elif (best := first.get(r.claim_key)) is None or _order(r) < _order(best):
                 if best is not None:
-                    yield _told(best, DUPLICATE)
+                    yield _fate(DUPLICATE, best.record)
                 first[r.claim_key] = r
             else:
-                yield _told(r, DUPLICATE)
+                yield _fate(DUPLICATE, r.record)
         if first:
-            self.claim.appendList([(k, r.delivered_at, r.decision) for k, r in first.items()])
+            self._add([(k, _at(r.us), r.decision) for k, r in first.items()], known)
         for r in first.values():
-            yield _told(r, PROCESSED)
+            yield _fate(PROCESSED, r.record)
 
+    def _known(self) -> list[str]:
+        told = self.ids.get()
+        return json.loads(bytes(told[0])) if told is not None else []
+
+    def _add(self, claims: list[tuple], known: list[str]) -> None:
+        self.claim.appendList(claims)
+        self.ids.update((json.dumps(known + [c[0] for c in claims]).encode(),))
 
-def _order(r: Row) -> tuple:
-    return r.delivered_at, r.topic, r.partition, r.offset
 
+def _at(us: int | None) -> datetime | None:
+    return None if us is None else _EPOCH + timedelta(microseconds=us)
 
-def _told(r: Row, fate: str) -> Row:
-    values = r.asDict()
-    return _fate(*[fate if n == "fate" else values[n] for n in _NAMES])
+
+def _order(r: Row) -> tuple:
+    record = json.loads(r.record)
+    return record["delivered_at"], record["topic"], record["partition"], record["offset"]
 
 
 def fates(deliveries: DataFrame, payments: DataFrame, decisions: DataFrame, claimed: DataFrame) -> DataFrame:
@@ -92,12 +108,17 @@ def fates(deliveries: DataFrame, payments: DataFrame, decisions: DataFrame, clai
                     F.concat(F.lit(S.REASON_NO_DECISION), F.col("payment_id"))))
     # a record that can't be read has no event id: it meets no claim, and its own place deals it to a bucket
     key = F.when(F.col("decode_error").isNull(), F.col("event_id"))
-    rows = looked_up.select(_bucket(F.coalesce(key, F.concat_ws("/", *P.RECORD))), key.alias("claim_key"), "event_id", "payment_id", "decision",
-                            F.col("risk_score").cast("double").alias("risk_score"), "reasons", reason.alias("reason"),
-                            *[c.split()[0] for c in _RECORD.split(", ")])
-    before = (claimed.filter(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.max("processed_at").alias("processed_at"))
-              .groupBy(_bucket(F.col("event_id"))).agg(F.collect_list(F.struct("event_id", "processed_at")).alias("claims")))
-    return rows.groupBy("bucket").transformWithState(Claims(), FATES, "append", "none", before.groupBy("bucket"))
+    told = {"risk_score": F.col("risk_score").cast("double"), "reason": reason,
+            "delivered_at": F.unix_micros("delivered_at"), "next_attempt_at": F.unix_micros("next_attempt_at")}
+    record = F.to_json(F.struct(*[told.get(n, F.col(n)).alias(n) for n in (c.split()[0] for c in _PASSED.split(", "))]))
+    rows = looked_up.select(_bucket(F.coalesce(key, F.concat_ws("/", *P.RECORD))), key.alias("claim_key"), reason.isNotNull().alias("failing"),
+                            told["delivered_at"].alias("us"), "decision", record.alias("record"))
+    before = (claimed.filter(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.unix_micros(F.max("processed_at")).alias("us"))
+              .groupBy(_bucket(F.col("event_id"))).agg(F.to_json(F.collect_list(F.struct("event_id", "us"))).alias("claims")))
+    out = rows.groupBy("bucket").transformWithState(Claims(), "fate string, record string", "append", "none", before.groupBy("bucket"))
+    r = out.select("fate", F.from_json("record", _PASSED).alias("r"))
+    times = {c: F.timestamp_micros(f"r.{c}") for c in ("delivered_at", "next_attempt_at")}
+    return r.select(*["fate" if n == "fate" else times.get(n, F.col(f"r.{n}")).alias(n) for n in (c.split()[0] for c in FATES.split(", "))])
 
 
 def _bucket(key: Column) -> Column:

@@ -1,5 +1,6 @@
 """Claims in keyed state: crash and restart, earlier claims, retries, and what the stream reads."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerflow.plans.q_stream import _processing_run, claim_run
@@ -89,3 +90,59 @@ def test_events_of_one_bucket_keep_their_claims_apart(spark, monkeypatch):
     assert stream.log.committed("dead_letters", DEAD_LETTERS).count() == 2
     state = spark.read.format("statestore").option("stateVarName", "claim").load(f"{root}/checkpoint")
     assert state.select("key").distinct().count() == 1 and state.count() == 40
+
+
+class Kept:
+    """A state variable in memory; the list of claims may not be read back."""
+
+    def __init__(self):
+        self.value, self.rows = None, []
+
+    def getListState(self, name, schema):
+        return self
+
+    getValueState = getListState
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def update(self, value):
+        self.value = value
+
+    def get(self):
+        return self.value
+
+
+def test_claims_are_told_by_one_value_and_rows_pass_as_one_text(spark):
+    """Reading a bucket's list in every micro-batch, and all columns of a record, made 6 GB run out of time."""
+    state, claims = Kept(), keyed_claims.Claims()
+    claims.init(state)
+    row = Row("claim_key", "failing", "us", "decision", "record")
+    at = lambda n: f'{{"topic":"t","partition":0,"offset":{n},"delivered_at":{n}}}'
+    before = Row("bucket", "claims")(1, '[{"event_id":"a\\nb","us":0},{"event_id":"e0"}]')
+    list(claims.handleInitialState((1,), before, None) or [])
+    told = [[(r.fate, r.record) for r in claims.handleInputRows((1,), iter(rows), None)] for rows in (
+        [row("e1", False, 9, "APPROVE", at(9)), row("e1", False, 5, "BLOCK", at(5)), row("e0", False, 1, "APPROVE", at(1)), row(None, True, 1, None, at(7))],
+        [row("e1", False, 2, "APPROVE", at(2)), row("a\nb", True, 2, "APPROVE", at(3)), row("e2", True, 2, None, at(4))])]
+    assert told == [[("duplicate", at(9)), ("duplicate", at(1)), ("failed", at(7)), ("processed", at(5))],
+                    [("duplicate", at(2)), ("duplicate", at(3)), ("failed", at(4))]]
+    assert [(c[0], c[2]) for c in state.rows] == [("a\nb", None), ("e0", None), ("e1", "BLOCK")]
+    assert [c[1] and c[1].microsecond for c in state.rows] == [0, None, 5]
+
+
+def test_a_record_is_whole_behind_the_keyed_step(spark):
+    root = run_folder(spark, "claims-test")
+    odd = spark.createDataFrame([("p1", "BLOCK", float("nan"), ['a "quoted"\n', None, "é🙂"])],
+                                "payment_id string, decision string, risk_score double, reasons array<string>")
+    pays = stored(spark, "p1")
+    stream = ClaimStream(spark, root, lambda: pays, lambda: odd, no_claims(spark), partitions=2)
+    deliveries(spark, [event("e1", "p1"), '{bad \\ " ']).write.parquet(f"{root}/input")
+    stream.start(f"{root}/input").awaitTermination()
+    stream.finish(f"{root}/input")
+    (got,) = stream.log.committed("claims", CLAIM_OUTCOMES).collect()
+    assert got.reasons == ['a "quoted"\n', None, "é🙂"] and got.risk_score != got.risk_score
+    sent = {r.value: r for r in spark.read.parquet(f"{root}/input").collect()}
+    assert got.processed_at in {r.delivered_at for r in sent.values()}
+    (dead,) = stream.log.committed("dead_letters", DEAD_LETTERS).collect()
+    assert (dead.topic, dead.offset, dead.payload, dead.delivered_at) == (
+        sent[dead.payload].topic, sent[dead.payload].offset, '{bad \\ " ', sent[dead.payload].delivered_at)
