@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerflow.operators.features import activity_snapshot
 from ledgerflow.schemas import RuleConfig
 from ledgerflow.session import scoped_conf
+from ledgerflow.streaming import triage_slices
 from ledgerflow.streaming.runs import stream_triage_run
 from ledgerflow.streaming.triage_slices import _ROW, stream_activity_slices, window_features
 from ledgerflow.streaming.triage_state import OUTPUT_SCHEMA
@@ -80,3 +81,13 @@ def test_runs_in_a_session_whose_state_store_has_no_column_families(spark):
     store = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
     with scoped_conf(spark, **{"spark.sql.streaming.stateStore.providerClass": store}):
         assert same(run(spark, df, CFG, 20).committed("features", OUTPUT_SCHEMA), activity_snapshot(df, CFG))
+
+
+def test_halos_are_kept_by_bucket_not_by_customer(spark, monkeypatch):
+    """A key per customer and slice, for a row or two each, made 6 GB run out of time."""
+    monkeypatch.setattr(triage_slices, "BUCKETS", 3)
+    df = table(spark, [(None if i % 40 == 39 else f"c{i % 40}", i, f"{i + 1}.50", ["US", "GB", None][i % 3]) for i in range(240)])
+    log = run(spark, df, CFG, 50)
+    assert same(log.committed("features", OUTPUT_SCHEMA), activity_snapshot(df, CFG))
+    halos = spark.read.format("statestore").option("stateVarName", "halo").option("operatorId", 0).load(log.root.rsplit("/", 1)[0] + "/checkpoint")
+    assert 0 < halos.select("key").distinct().count() <= 3 and halos.count() == 41       # customers, and the sentinel's
