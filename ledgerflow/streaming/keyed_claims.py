@@ -93,7 +93,7 @@ def _at(us: int | None) -> datetime | None:
 
 def _order(r: Row) -> tuple:
     record = json.loads(r.record)
-    return record["delivered_at"], record["topic"], record["partition"], record["offset"]
+    return tuple(record.get(c) for c in ("delivered_at", "topic", "partition", "offset"))        # nulls are left out
 
 
 def fates(deliveries: DataFrame, payments: DataFrame, decisions: DataFrame, claimed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ buffered rows of buckets that receive nothing new. Rows behind the watermark are
 by Spark before the state function and counted in the query progress
 (``numRowsDroppedByWatermark``); a row that still reaches the fold behind its customer's
 last folded row is emitted with ``late = true`` and no features, never folded out of
-order. Rows without a time are behind no watermark and ahead of none: they stay out.
+order. So is a row without a time, where ``keep_late`` lets it pass Spark's filter.
 
 The fold is the deque of the original (read previous country and prior average, append,
 trim, count inside the window), for all rows of a bucket at once: a customer's rows stand
@@ -49,7 +49,7 @@ OUTPUT_SCHEMA = (
 BUCKETS = 512
 STATE_SCHEMA = "rows binary"
 _NO_ID = -(1 << 63)                   # stands for a null event id, before all others
-_NEVER = -(1 << 62)
+_NEVER = -(1 << 62)                   # the time of rows without one, and of the last row of customers without any
 #: Amounts below this have ``units`` (of 1/10000); others, and nulls, have ``big`` (null: empty), and no units.
 _USUAL = Decimal(10 ** 11)
 _USUAL_UNITS = 10 ** 15
@@ -217,16 +217,16 @@ def stream_activity(stream: DataFrame, cfg: RuleConfig = DEFAULT_RULES, delay: s
     amount = F.col("amount").cast("decimal(19,4)")
     usual = F.coalesce(F.abs(amount) < F.lit(_USUAL), F.lit(False))
     src = (stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
-           .withWatermark("created_at", delay).where("created_at is not null")
+           .withWatermark("created_at", delay)
            .select(F.pmod(F.xxhash64("customer_id"), F.lit(BUCKETS)).alias("bucket"), clock, "payment_id", "customer_id",
-                   F.unix_micros("created_at").alias("t"), F.coalesce("event_id", F.lit(_NO_ID)).alias("event_id"),
+                   F.coalesce(F.unix_micros("created_at"), F.lit(_NEVER)).alias("t"), F.coalesce("event_id", F.lit(_NO_ID)).alias("event_id"),
                    F.when(usual, (amount * 10000).cast("bigint")).otherwise(F.lit(0)).alias("units"),
                    F.when(~usual, F.coalesce(amount.cast("string"), F.lit(""))).alias("big"), "currency", "country"))
     out = src.groupBy("bucket").applyInPandasWithState(
         make_fold(cfg, idle_ttl_seconds, keep_late), _FOLDED, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     on_time = lambda c: F.when(~F.col("late"), F.col(c)).alias(c)
     return out.select(
-        "payment_id", "customer_id", F.timestamp_micros("t").alias("created_at"), F.nullif("event_id", F.lit(_NO_ID)).alias("event_id"),
+        "payment_id", "customer_id", F.timestamp_micros(F.nullif("t", F.lit(_NEVER))).alias("created_at"), F.nullif("event_id", F.lit(_NO_ID)).alias("event_id"),
         F.when(F.col("big").isNull(), F.expr("units * 0.0001BD")).otherwise(F.nullif("big", F.lit("")).cast("decimal(19,4)"))
         .cast("decimal(19,4)").alias("amount"), "currency", "country", on_time("velocity_count"), on_time("geo_distinct"),
         "previous_country", F.when(F.col("averaged") > 0, F.expr("avg_cents * 0.01BD").cast("decimal(19,2)")).alias("avg_prior_amount"),

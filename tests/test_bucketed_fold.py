@@ -65,3 +65,11 @@ def test_late_rows_have_no_features(spark):
     (late,) = log.committed("late_rows", OUTPUT_SCHEMA).collect()
     assert late["payment_id"] == "p2" and late["amount"] == Decimal("5.0000")
     assert [late[c] for c in ("velocity_count", "geo_distinct", "previous_country", "avg_prior_amount", "history_retained")] == [None] * 5
+
+
+def test_rows_without_a_time_are_late_not_lost(spark):
+    rows = [(f"p{i}", i, None if i % 4 == 1 else T0 + timedelta(seconds=i), "c" if i < 8 else "d", Decimal("5.00"), "USD", None, "US", "m") for i in range(12)]
+    log = stream_triage_run(spark, spark.createDataFrame(rows, PAYMENT_COLS), CFG)
+    late = log.committed("late_rows", OUTPUT_SCHEMA).collect()
+    assert {(r["payment_id"], r["created_at"]) for r in late} == {("p1", None), ("p5", None), ("p9", None)}
+    assert {r["payment_id"] for r in log.committed("features", OUTPUT_SCHEMA).collect()} == {f"p{i}" for i in range(12) if i % 4 != 1}

@@ -146,3 +146,14 @@ def test_a_record_is_whole_behind_the_keyed_step(spark):
     (dead,) = stream.log.committed("dead_letters", DEAD_LETTERS).collect()
     assert (dead.topic, dead.offset, dead.payload, dead.delivered_at) == (
         sent[dead.payload].topic, sent[dead.payload].offset, '{bad \\ " ', sent[dead.payload].delivered_at)
+
+
+def test_copies_without_a_time_are_claimed_once(spark):
+    root = run_folder(spark, "claims-test")
+    pays, verdicts = stored(spark, "p1"), verdicts_of(spark)
+    stream = ClaimStream(spark, root, lambda: pays, lambda: verdicts, no_claims(spark), partitions=2)
+    rows = deliveries(spark, [event("e1", "p1")] * 3)
+    rows.withColumn("delivered_at", F.lit(None).cast("timestamp")).write.parquet(f"{root}/input")
+    stream.start(f"{root}/input").awaitTermination()
+    (got,) = stream.log.committed("claims", CLAIM_OUTCOMES).collect()
+    assert got.event_id == "e1" and got.processed_at is None and stream.log.committed("duplicates", "event_id string").count() == 2
